@@ -34,7 +34,7 @@ def raster_pairs(sources, targets, bucket):
     return box_join(s, t, "src_box", "dst_box", bucket, "src_scene_id").drop("src_box", "dst_box")
 
 
-def _paired_cells(cells, pairs, margin):
+def pair_cells(cells, pairs, margin=EXTRA_PIXELS):
     """Source cells next to each target they may serve, cropped to its bounds plus ``margin`` cells."""
     renamed = cells.withColumnRenamed("scene_id", "src_scene_id")
     joined = salted_join(renamed, pairs, ["src_scene_id"], salt_on=["r", "c"])
@@ -50,7 +50,7 @@ def _paired_cells(cells, pairs, margin):
 
 def crop_to_targets(cells, sources, targets, bucket, margin=EXTRA_PIXELS):
     """Source cells inside each overlapping target's bounds plus ``margin`` source cells."""
-    out = _paired_cells(cells, raster_pairs(sources, targets, bucket), margin)
+    out = pair_cells(cells, raster_pairs(sources, targets, bucket), margin)
     return out.select(F.col("dst_scene_id").alias("target_id"), F.col("src_scene_id").alias("scene_id"), "r", "c", "v")
 
 
@@ -80,9 +80,8 @@ def _nearest_targets(axis):
     )
 
 
-def nearest(cells, pairs):
+def nearest(paired):
     """Every (target cell, source) with the value of the source cell under its centre."""
-    paired = _paired_cells(cells, pairs, EXTRA_PIXELS)
     out = paired.withColumn("_tr", F.explode(_nearest_targets("r"))).withColumn("_tc", F.explode(_nearest_targets("c")))
     return out.select(
         F.col("dst_scene_id").alias("scene_id"), "src_scene_id", F.col("_tr").alias("r"), F.col("_tc").alias("c"), "v"
@@ -104,14 +103,14 @@ def _cubic_targets(axis):
     return _index_range(F.ceil((i - 1.5 - a) / b - 0.5), F.floor((i + 2.5 - a) / b - 0.5), size)
 
 
-def cubic(cells, pairs):
+def cubic(paired):
     """Cubic convolution of every source onto its targets, missing cells left out of the weight sum.
 
     The kernel is a product, so columns are done first and rows second; partial sums of value*weight
     and of weight are carried through, which equals the full 4x4 sum.
     """
     target, source = "dst_scene_id", "src_scene_id"
-    paired = _paired_cells(cells.filter(F.col("v").isNotNull()), pairs, EXTRA_PIXELS)
+    paired = paired.filter(F.col("v").isNotNull())
     centre = lambda axis, t: _axis(axis)[0] + _axis(axis)[1] * (F.col(t) + 0.5) - 0.5
     row_terms = ["dst_n", "dst_height", "dst_y_res", "src_n", "src_y_res"]
     spread = paired.withColumn("_tc", F.explode(_cubic_targets("c")))
@@ -145,7 +144,7 @@ def mosaic_weighted(resampled, keys=("scene_id", "r", "c"), weighted="vw", weigh
 
 
 def on_common_lattice(cells, sources):
-    """First-valid mosaic of sources that share one lattice, as a single raster ``scene_id`` 0.
+    """First-valid mosaic of sources that share one lattice and resolution, as a single raster.
 
     Merging before resampling lets a kernel reach across the seam between two files. Cell indices are
     counted from the lattice origin and may be negative.
@@ -158,10 +157,40 @@ def on_common_lattice(cells, sources):
             "r": (F.col("r") - F.round(F.col("n") / F.col("y_res"))).cast("int"),
         }
     )
-    return mosaic_first(placed, ("r", "c"), "scene_id").withColumn("scene_id", F.lit(0).cast("long"))
+    return mosaic_first(placed, ("r", "c", "x_res", "y_res"), "scene_id")
 
 
 def cut_to_targets(cells, sources, targets, bucket, method="nearest"):
     """Resample every overlapping source onto each target, then keep the first valid value."""
-    pairs = raster_pairs(sources, targets, bucket)
-    return mosaic_first({"nearest": nearest, "cubic": cubic}[method](cells, pairs))
+    paired = pair_cells(cells, raster_pairs(sources, targets, bucket))
+    return mosaic_first({"nearest": nearest, "cubic": cubic}[method](paired))
+
+
+def pair_merged(merged, sources, targets, bucket):
+    """Cells of a mosaic from ``on_common_lattice`` next to every target they may serve.
+
+    Only targets overlapping a source count. Cells and grown target boxes meet in square buckets of side
+    ``bucket``; a cell lies in one bucket, so no pair appears twice.
+    """
+    t = scene_boxes(targets, "dst")
+    pairs = box_join(t, scene_boxes(sources, "src"), "dst_box", "src_box", bucket, "dst_scene_id")
+    columns = [c for c in t.columns if c != "dst_box"]
+    used = pairs.groupBy(*columns).agg(F.max("src_x_res").alias("src_x_res"), F.max("src_y_res").alias("src_y_res"))
+    used = used.withColumns({"src_w": F.lit(0.0), "src_n": F.lit(0.0), "src_scene_id": F.lit(0).cast("long")})
+    index = lambda v: F.floor(v / F.lit(bucket)).cast("int")
+    grow_x, grow_y = F.col("src_x_res") * 2.5, F.col("src_y_res") * 2.5
+    left, right = F.col("dst_w") - grow_x, F.col("dst_w") + F.col("dst_width") * F.col("dst_x_res") + grow_x
+    top, bottom = F.col("dst_n") + grow_y, F.col("dst_n") - F.col("dst_height") * F.col("dst_y_res") - grow_y
+    used = used.withColumn("_bx", F.explode(F.sequence(index(left), index(right))))
+    used = used.withColumn("_by", F.explode(F.sequence(index(bottom), index(top))))
+    placed = merged.select(
+        "r", "c", "v",
+        index((F.col("c") + 0.5) * F.col("x_res")).alias("_bx"), index(-(F.col("r") + 0.5) * F.col("y_res")).alias("_by"),
+    )
+    return placed.join(used, ["_bx", "_by"]).drop("_bx", "_by")
+
+
+def cut_merged_to_targets(cells, sources, targets, bucket, method="cubic"):
+    """Merge sources of one lattice first, then resample the mosaic onto each target."""
+    paired = pair_merged(on_common_lattice(cells, sources), sources, targets, bucket)
+    return mosaic_first({"nearest": nearest, "cubic": cubic}[method](paired))

@@ -6,7 +6,7 @@ from terracell.functions.bands import blend_weight, has_image, zero_fill
 from terracell.operators import regrid
 from terracell.operators.layers import deployment_layers, drop_missing_chips
 from terracell.operators.scoring import chip_tensors, score_chips, scores_to_cells
-from terracell.plans.skew import attach_stats
+from terracell.plans.skew import attach_stats, salted_join
 
 
 def impute_wide(df, chip_keys, channels, limit=0.5):
@@ -32,12 +32,12 @@ def blended_mosaic(scores, scenes, targets, bucket, blend="weighted"):
     """Scores of overlapping grids on the target grids: weighted mean, or first valid in grid order."""
     pairs = regrid.raster_pairs(scenes, targets, bucket)
     if blend == "first":
-        out = regrid.mosaic_first(regrid.nearest(scores.withColumnRenamed("score", "v"), pairs))
+        out = regrid.mosaic_first(regrid.nearest(regrid.pair_cells(scores.withColumnRenamed("score", "v"), pairs)))
     else:
-        sized = regrid.salted_join(scores, scenes.select("scene_id", "height", "width"), ["scene_id"], salt_on=["r", "c"])
+        sized = salted_join(scores, scenes.select("scene_id", "height", "width"), ["scene_id"], salt_on=["r", "c"])
         weight = blend_weight(F.col("r"), F.col("c"), F.col("height"), F.col("width"))
         packed = sized.select("scene_id", "r", "c", F.struct((F.col("score") * weight).alias("vw"), weight.alias("w")).alias("v"))
-        near = regrid.nearest(packed, pairs)
+        near = regrid.nearest(regrid.pair_cells(packed, pairs))
         out = regrid.mosaic_weighted(near.select("scene_id", "r", "c", "v.vw", "v.w"))
     return out.withColumn("v", zero_fill(F.col("v")))
 
