@@ -16,6 +16,7 @@ from terracell.sources.manifests import pending
 def composite_sql(n, columns=BANDS):
     """The composite in plain SQL: one window for each step of the reading order."""
     picks = ", ".join(f"cast(coalesce(floor(avg(CASE WHEN w*{b}<>0 THEN w*{b} END)),0) AS int) AS {b}" for b in columns)
+    # a scene with one image is passed through
     return f"""WITH nb AS (SELECT *, coalesce(lag(clear) OVER (PARTITION BY scene_id,item_id,r ORDER BY c),0)
         + coalesce(lead(clear) OVER (PARTITION BY scene_id,item_id,r ORDER BY c),0) + coalesce(lag(clear) OVER (PARTITION BY scene_id,item_id,c ORDER BY r),0)
         + coalesce(lead(clear) OVER (PARTITION BY scene_id,item_id,c ORDER BY r),0) AS nb FROM stack),
@@ -23,7 +24,7 @@ def composite_sql(n, columns=BANDS):
     hx AS (SELECT *, max(edge) OVER (PARTITION BY scene_id,item_id,r ORDER BY c RANGE BETWEEN {n} PRECEDING AND {n} FOLLOWING) AS hx FROM ed),
     gr AS (SELECT *, CASE WHEN max(hx) OVER (PARTITION BY scene_id,item_id,c ORDER BY r RANGE BETWEEN {n} PRECEDING AND {n} FOLLOWING)=1 THEN 0 ELSE clear END AS dil FROM hx),
     ar AS (SELECT *, sum(dil) OVER (PARTITION BY scene_id,r,c) AS sd, sum(clear) OVER (PARTITION BY scene_id,r,c) AS sc FROM gr),
-    wt AS (SELECT *, CASE WHEN sd>0 THEN dil WHEN sc=0 THEN 1 ELSE clear END AS w FROM ar)
+    wt AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY scene_id,r,c)=1 THEN 1 WHEN sd>0 THEN dil WHEN sc=0 THEN 1 ELSE clear END AS w FROM ar)
     SELECT scene_id, r, c, {picks} FROM wt GROUP BY scene_id, r, c"""
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from checks.base import items, prints, query, r6, r6s, stack, table
+from checks.aggregates import composite_sql
+from checks.joins import NORMAL
 from terracell.functions.names import padded_key
 from terracell.operators import catalog, splits
 from terracell.plans.acquire import choose_items, tile_images
@@ -27,7 +29,23 @@ def catalogue(spark, folder):
 LADDER = dict(first_year=2024, cloud=1, max_cloud=50, step=5, min_year=2022)
 
 
-@query("t2_greedy_cover")
+# One candidate at a time in the order of the ladder; masks are 64-bit sets held in a wide integer.
+COVER = """WITH RECURSIVE cat AS (SELECT vec_id//4 AS tile, cast(vec_id%4 AS int) AS item_id, 2024-label%3 AS yr, cast(vec_id*7%60 AS int) AS cloud, cast(vec_id%10 AS int) AS nodata FROM embeddings),
+lad AS (SELECT cast(i AS int) AS tier, least(50,1+5*i) AS cap FROM range(11) a(i)),
+tie AS (SELECT tile, item_id, cloud+nodata AS score, min(tier) AS tier FROM (SELECT tile, item_id, cloud, nodata, tier FROM cat, lad WHERE yr=2024 AND cloud<cap
+    UNION ALL SELECT tile, item_id, cloud, nodata, 10+2024-yr FROM cat WHERE yr<2024 AND yr>=2022 AND cloud<50) GROUP BY ALL),
+msk AS (SELECT scene_id AS tile, item_id, cast(sum(CASE WHEN clear=1 THEN cast(1 AS hugeint)<<(r*8+c) ELSE 0 END) AS hugeint) AS mask FROM stack GROUP BY ALL),
+cand AS (SELECT tile, item_id, tier, mask, row_number() OVER (PARTITION BY tile ORDER BY tier, score, item_id) AS k FROM tie JOIN msk USING (tile, item_id)),
+walk AS (SELECT tile, cast(0 AS bigint) AS k, tier, cast(0 AS hugeint) AS mask, cast([] AS integer[]) AS chosen FROM cand WHERE k=1
+    UNION ALL SELECT tile, k, CASE WHEN take THEN ctier ELSE tier END, CASE WHEN take THEN mask|cmask ELSE mask END, CASE WHEN take THEN list_append(chosen, item_id) ELSE chosen END
+    FROM (SELECT w.tile, c.k, w.tier, c.tier AS ctier, w.mask, c.mask AS cmask, chosen, item_id,
+        len(chosen)<4 AND 1-bit_count(w.mask)/64e0>=1e-4 AND (c.tier=w.tier OR 1-bit_count(w.mask)/64e0>=0.5e0/5)
+        AND (bit_count(w.mask|c.mask)-bit_count(w.mask))/64e0>=0.1e0*(1-bit_count(w.mask)/64e0) AS take FROM walk w JOIN cand c ON c.tile=w.tile AND c.k=w.k+1)),
+fin AS (SELECT tile, arg_max(mask, k) AS mask, arg_max(chosen, k) AS chosen FROM walk GROUP BY tile),
+sel AS (SELECT tile, unnest(chosen) AS item_id, unnest(range(len(chosen))) AS place, bit_count(mask)/64e0 AS found FROM fin WHERE 1-bit_count(mask)/64e0<0.5e0)"""
+
+
+@query("t2_greedy_cover", f"{COVER} SELECT tile, cast(place AS int) AS place, item_id, found FROM sel", ["stack"])
 def t2(spark, folder):
     images = stack(spark, folder).withColumnRenamed("scene_id", "tile")
     tiles = images.groupBy("tile").agg(F.count_distinct("r", "c").alias("total"))
@@ -83,7 +101,12 @@ def t10(spark, folder):
     return splits.keep_sample(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", 10000 / 1000003, 9)
 
 
-@query("e4_acquired_images")
+IMAGES = f"{COVER}, pick AS (SELECT s.* FROM stack s JOIN sel ON s.scene_id=sel.tile AND s.item_id=sel.item_id), norm AS (SELECT scene_id, item_id, r, c, clear, {NORMAL} FROM pick WINDOW w AS (PARTITION BY scene_id, item_id)), " + composite_sql(1)[
+    len("WITH "):
+].replace("FROM stack", "FROM norm")
+
+
+@query("e4_acquired_images", IMAGES, ["stack"])
 def e4(spark, folder):
     images = stack(spark, folder).withColumnRenamed("scene_id", "tile")
     tiles = images.groupBy("tile").agg(F.count_distinct("r", "c").alias("total"))

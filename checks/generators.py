@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import cells, features, prints, query, r6s, rasters, relief, table, zones
+from checks.projections import rings
 from terracell.functions import affine, geodesy, geometry as G
 from terracell.operators import chips, grids
 
@@ -31,11 +32,15 @@ def g1(spark, folder):
     return r6s(out.drop("file_name"), *"wsen")
 
 
-@query("g1_reference_grids_in_rings")
-def g1_ring(spark, folder):
-    from checks.projections import rings
+RING_GRIDS = GRIDS.replace("w, s, e, n, (1/298", "w-2 AS w, s-2 AS s, e+2 AS e, n+2 AS n, (1/298").replace(
+    "WHERE bw<=re AND rw<=be AND bs<=rn AND rs<=bn", "WHERE greatest(bw-(rw+1), rw+1-be, 0)+greatest(bs-(rs+1), rs+1-bn, 0)<=3"
+)
 
-    return grids.reference_grids(rings(spark, folder), grid_width=100, step_size=50, grid_res=1000)
+
+@query("g1_reference_grids_in_rings", RING_GRIDS, ["zones"])
+def g1_ring(spark, folder):
+    out = grids.reference_grids(rings(spark, folder), grid_width=100, step_size=50, grid_res=1000)
+    return r6s(out.drop("file_name"), *"wsen")
 
 
 TILE = """degrees(atan(sinh(pi()*(1-2*{0}/pow(2e0,zoom)))))"""
@@ -97,7 +102,17 @@ def g5(spark, folder):
     return grids.to_chips(rasters(spark, folder), (F.lit(8), F.lit(8)), 4, 3, 3)
 
 
-@query("g6_chip_walk")
+WALK = """WITH RECURSIVE m AS (SELECT scene_id, r, c, sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY scene_id, r ORDER BY c RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING) AS k FROM relief),
+pos AS (SELECT scene_id, r, c, sum(k) OVER (PARTITION BY scene_id, c ORDER BY r RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING)<0.02e0*64 AS good FROM m),
+size AS (SELECT scene_id, max(r)+1 AS h, max(c)+1 AS w FROM relief GROUP BY scene_id),
+walk AS (SELECT scene_id, 0 AS r, 0 AS c, 1 AS k FROM size WHERE h>=8 AND w>=8
+    UNION ALL SELECT scene_id, r, c, k FROM (SELECT scene_id, h, CASE WHEN nc+8>w THEN nr+6 ELSE nr END AS r, CASE WHEN nc+8>w THEN 0 ELSE nc END AS c, k
+        FROM (SELECT a.scene_id, h, w, CASE WHEN good THEN a.r ELSE a.r+2*k END AS nr, CASE WHEN good THEN a.c+6 ELSE a.c+2*k END AS nc, CASE WHEN good THEN 1 ELSE k+1 END AS k
+            FROM walk a JOIN pos p ON a.scene_id=p.scene_id AND a.r=p.r AND a.c=p.c JOIN size z ON a.scene_id=z.scene_id)) WHERE r+8<=h)
+SELECT scene_id, cast(r AS int) AS chip_r0, cast(c AS int) AS chip_c0 FROM walk JOIN pos USING (scene_id, r, c) WHERE good"""
+
+
+@query("g6_chip_walk", WALK, ["relief"])
 def g6(spark, folder):
     raster = relief(spark, folder).withColumn("layer", F.lit("elevation"))
     scenes = raster.groupBy("scene_id").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))

@@ -91,8 +91,8 @@ tgt AS (SELECT g AS scene_id, cast(r AS int) AS r, cast(c AS int) AS c, g*6e0+0.
 NEAREST = f"WITH {TARGETS}, near AS (SELECT t.scene_id, src, r, c, v FROM tgt t JOIN src ON src BETWEEN scene_id-2 AND scene_id+2 AND sc=floor(x-w) AND sr=floor(8-y))"
 
 
-def raster_scenes(spark, folder):
-    ids = rasters(spark, folder).select("scene_id").distinct()
+def raster_scenes(spark, folder, cells=None):
+    ids = (rasters(spark, folder) if cells is None else cells).select("scene_id").distinct()
     f = lambda v: F.lit(float(v))
     sources = ids.select(
         "scene_id", (F.col("scene_id") * 6.0).alias("w"), f(8).alias("n"), f(1).alias("x_res"), f(1).alias("y_res"),

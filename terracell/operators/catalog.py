@@ -6,6 +6,7 @@ packed 64 cells to a word: ``tile``, ``item_id``, ``word``, ``mask``.
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terracell.plans.lineage import cut
 from terracell.plans.skew import salted_join
@@ -59,9 +60,8 @@ def latest_by_id(items, key="item_id", order="query"):
 def pack_masks(cells, width, keys=("tile", "item_id"), flag="clear"):
     """0/1 cells to words of 64 bits."""
     place = F.col("r").cast("long") * width + F.col("c")
-    bit = F.shiftleft(F.lit(1).cast("long"), 0)  # a long literal; the shift itself takes a column below
     packed = cells.filter(F.col(flag) == 1).select(
-        *keys, F.floor(place / 64).cast("long").alias("word"), (place % 64).cast("int").alias("_bit"), bit.alias("_one")
+        *keys, F.floor(place / 64).cast("long").alias("word"), (place % 64).cast("int").alias("_bit"), F.lit(1).cast("long").alias("_one")
     )
     return packed.groupBy(*keys, "word").agg(F.bit_or(F.expr("shiftleft(_one, _bit)")).alias("mask"))
 
@@ -110,12 +110,13 @@ def greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining,
     empty = masks.limit(0).select("tile", "word", "mask")
     covered = outside if outside is not None else empty
     counted = covered.groupBy("tile").agg(F.sum(F.bit_count("mask")).alias("_out"))
+    item_type = firsts.schema["item_id"].dataType
     state = (
         tiles.join(firsts.groupBy("tile").agg(F.min("key.tier").alias("tier")), "tile")
         .join(counted, "tile", "left")
         .select(
             "tile", "total", "tier", (F.coalesce("_out", F.lit(0)) / F.col("total")).alias("found"),
-            F.lit(None).cast(firsts.schema["key"].dataType).alias("last"), F.array().cast("array<bigint>").alias("chosen"),
+            F.lit(None).cast(firsts.schema["key"].dataType).alias("last"), F.array().cast(T.ArrayType(item_type)).alias("chosen"),
         )
     )
     state = cut(state)

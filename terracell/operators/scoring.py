@@ -60,12 +60,16 @@ def features(cells, spec, keys=("scene_id",), label=None):
 
 
 def chip_tensors(cells, chip_keys, channels):
-    """One row per chip: ``h``, ``w`` and a row-major array per channel. A chip is bounded by its size."""
+    """One row per chip: ``h``, ``w`` and a row-major array per channel.
+
+    Chips must be dense, one row per cell; a chip is bounded by its size.
+    """
     listed = F.array_sort(F.collect_list(F.struct("r", "c", *channels)))
     grouped = cells.groupBy(*chip_keys).agg(
         (F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), listed.alias("_cells")
     )
-    arrays = [F.transform("_cells", lambda x, ch=ch: x[ch].cast("double")).alias(ch) for ch in channels]
+    of_channel = lambda ch: F.transform("_cells", lambda x: x[ch].cast("double"))
+    arrays = [of_channel(ch).alias(ch) for ch in channels]
     return grouped.select(*chip_keys, "h", "w", *arrays)
 
 

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from terracell.functions.bands import blend_weight, has_image, zero_fill
+from terracell.functions.bands import blend_weight, zero_fill
 from terracell.operators import regrid
-from terracell.operators.layers import deployment_layers, drop_missing_chips
+from terracell.operators.grids import grid_cells
+from terracell.operators.layers import drop_missing_chips
 from terracell.operators.scoring import chip_tensors, score_chips, scores_to_cells
 from terracell.plans.skew import attach_stats, salted_join
 
@@ -18,14 +19,18 @@ def impute_wide(df, chip_keys, channels, limit=0.5):
     return out.withColumns({ch: fill(ch) for ch in channels}).drop("_gone", *[f"_{ch}" for ch in channels])
 
 
-def score_grids(image, elevation, channels, predict, prepare=None, per_call=32, chip_keys=("scene_id",)):
-    """Outer-join the layers of each grid, fill what may be filled, drop the rest, score."""
-    df = deployment_layers(image, elevation)
-    if prepare is not None:
-        df = prepare(df)
-    df = drop_missing_chips(impute_wide(df, list(chip_keys), channels), list(chip_keys), channels)
-    scores = score_chips(chip_tensors(df, chip_keys, channels), chip_keys, channels, predict, per_call)
-    return scores_to_cells(scores, chip_keys)
+def score_grids(image, elevation, grids, channels, predict, per_call=32, keys=("scene_id",)):
+    """Lay both layers on every cell of the grids, fill what may be filled, drop the rest, score.
+
+    ``grids`` (keys, ``height``, ``width``) defines the cells, so a grid that lacks a layer or part of it
+    is still complete, with missing values.
+    """
+    keys = list(keys)
+    cells = grid_cells(grids, keys).drop("v")
+    df = cells.join(image, [*keys, "r", "c"], "left").join(elevation, [*keys, "r", "c"], "left")
+    df = drop_missing_chips(impute_wide(df, keys, channels), keys, channels)
+    scores = score_chips(chip_tensors(df, keys, channels), keys, channels, predict, per_call)
+    return scores_to_cells(scores, keys)
 
 
 def blended_mosaic(scores, scenes, targets, bucket, blend="weighted"):
@@ -40,8 +45,3 @@ def blended_mosaic(scores, scenes, targets, bucket, blend="weighted"):
         near = regrid.nearest(regrid.pair_cells(packed, pairs))
         out = regrid.mosaic_weighted(near.select("scene_id", "r", "c", "v.vw", "v.w"))
     return out.withColumn("v", zero_fill(F.col("v")))
-
-
-def image_present(bands):
-    """Filter for grids with any image at all."""
-    return has_image(*[F.col(b) for b in bands])
