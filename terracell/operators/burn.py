@@ -3,50 +3,60 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from terracell.functions import geometry as G
 from terracell.functions.classes import JUNCTION_CLASS
+from terracell.functions.ranges import explode_range
 from terracell.plans.skew import salted_join
 
 RADIUS = 5e-5
 
 
-def _cell_box(r, c, w, n, x_res, y_res):
-    return F.struct(
-        (w + c * x_res).alias("w"), (n - (r + 1) * y_res).alias("s"), (w + (c + 1) * x_res).alias("e"), (n - r * y_res).alias("n")
+EPSILON = 1e-9
+
+
+def _side(sign, y, d):
+    """Left (-1) or right (+1) border at height ``y`` of the points within ``d`` of the segment.
+
+    The border is the segment moved sideways by ``d``, closed by a circle around either end.
+    """
+    x0, y0, x1, y1 = (F.col(k) for k in ("x0", "y0", "x1", "y1"))
+    dx, dy = x1 - x0, y1 - y0
+    length = F.sqrt(dx * dx + dy * dy)
+    arc = lambda x, centre: x + sign * F.sqrt(F.greatest(d * d - (y - centre) * (y - centre), F.lit(0.0)))
+    t = F.try_divide(y - y0 + sign * d * F.try_divide(dx * F.signum(dy), length), dy)
+    flat = arc(F.least(x0, x1) if sign < 0 else F.greatest(x0, x1), y0)
+    return (
+        F.when(dy == 0, flat).when(t < 0, arc(x0, y0)).when(t > 1, arc(x1, y1))
+        .otherwise(x0 + t * dx + sign * d * F.abs(dy) / length)
     )
 
 
 def touched_cells(segments, d, keys=("scene_id",), keep=("cls",)):
     """Cells whose box comes within ``d`` of a segment.
 
-    Segments carry x0,y0,x1,y1 and their raster's w, n, x_res, y_res, height, width. For each raster row
-    near the segment only the columns under the part crossing that row are generated, so a long diagonal
-    costs its length, not its bounding box; an exact distance test follows.
+    Segments carry x0,y0,x1,y1 and their raster's w, n, x_res, y_res, height, width. The points within
+    ``d`` of a segment form a convex shape, so what it shares with one raster row is one run of columns
+    whose ends have a closed form: the cost is the number of burned cells, with no candidates to test.
     """
     d = F.lit(float(d))
     x0, y0, x1, y1, w, n, x_res, y_res = (F.col(k) for k in ("x0", "y0", "x1", "y1", "w", "n", "x_res", "y_res"))
-
-    def span(low, high, size):
-        first, last = F.greatest(F.floor(low), F.lit(0)).cast("int"), F.least(F.floor(high), size - 1).cast("int")
-        return F.when(first <= last, F.sequence(first, F.greatest(first, last)))
-
     top, bottom = F.greatest(y0, y1) + d, F.least(y0, y1) - d
-    # one row extra on both sides keeps cells that touch on their border
-    rows = segments.withColumn("r", F.explode(span((n - top) / y_res - 1, (n - bottom) / y_res + 1, F.col("height"))))
-    strip = F.struct(
-        F.lit(float("-inf")).alias("w"), (n - (F.col("r") + 1) * y_res - d).alias("s"),
-        F.lit(float("inf")).alias("e"), (n - F.col("r") * y_res + d).alias("n"),
+    rows = explode_range(
+        segments, "r", F.ceil((n - top) / y_res - 1 - EPSILON), F.floor((n - bottom) / y_res + EPSILON), F.col("height")
+    )
+    low = F.greatest(n - (F.col("r") + 1) * y_res, bottom)
+    high = F.least(n - F.col("r") * y_res, top)
+    # each border bulges most at the end point on its side, so its extreme in the row is nearest to that height
+    rows = rows.withColumns(
+        {
+            "_yl": F.least(F.greatest(F.when(x0 <= x1, y0).otherwise(y1), low), high),
+            "_yr": F.least(F.greatest(F.when(x0 >= x1, y0).otherwise(y1), low), high),
+        }
+    )
+    rows = rows.withColumns({"_xl": _side(-1, F.col("_yl"), d), "_xr": _side(1, F.col("_yr"), d)})
+    cells = explode_range(
+        rows, "c", F.ceil((F.col("_xl") - w) / x_res - 1 - EPSILON), F.floor((F.col("_xr") - w) / x_res + EPSILON), F.col("width")
     )
-    dy = y1 - y0
-    ta, tb = F.try_divide(strip["s"] - y0, dy), F.try_divide(strip["n"] - y0, dy)
-    t0 = F.when(dy == 0, F.lit(0.0)).otherwise(F.greatest(F.least(ta, tb), F.lit(0.0)))
-    t1 = F.when(dy == 0, F.lit(1.0)).otherwise(F.least(F.greatest(ta, tb), F.lit(1.0)))
-    rows = rows.withColumns({"_xa": x0 + F.least(t0, F.lit(1.0)) * (x1 - x0), "_xb": x0 + F.greatest(t1, F.lit(0.0)) * (x1 - x0)})
-    left, right = F.least("_xa", "_xb") - d, F.greatest("_xa", "_xb") + d
-    cells = rows.withColumn("c", F.explode(span((left - w) / x_res - 1, (right - w) / x_res + 1, F.col("width"))))
-    box = _cell_box(F.col("r"), F.col("c"), w, n, x_res, y_res)
-    near = G.segment_box_distance(x0, y0, x1, y1, box) <= d + F.lit(1e-12)
-    return cells.filter(near).select(*keys, *keep, "r", "c")
+    return cells.select(*keys, *keep, "r", "c")
 
 
 def filled_cells(edges, keys=("scene_id",), feature="fid", keep=("cls",)):
@@ -57,18 +67,18 @@ def filled_cells(edges, keys=("scene_id",), feature="fid", keep=("cls",)):
     """
     x0, y0, x1, y1, w, n, x_res, y_res = (F.col(k) for k in ("x0", "y0", "x1", "y1", "w", "n", "x_res", "y_res"))
     low, high = F.least(y0, y1), F.greatest(y0, y1)
-    first = F.greatest(F.floor((n - high) / y_res - 0.5), F.lit(0)).cast("int")
-    last = F.least(F.ceil((n - low) / y_res - 0.5), F.col("height") - 1).cast("int")
-    rows = edges.withColumn("r", F.explode(F.when(first <= last, F.sequence(first, F.greatest(first, last)))))
+    rows = explode_range(
+        edges, "r", F.floor((n - high) / y_res - 0.5), F.ceil((n - low) / y_res - 0.5), F.col("height")
+    )
     y = n - (F.col("r") + 0.5) * y_res
     rows = rows.filter((y0 > y) != (y1 > y)).withColumn("_x", x0 + (y - y0) * (x1 - x0) / (y1 - y0))
     line = Window.partitionBy(*keys, feature, "r").orderBy("_x")
     rows = rows.withColumns({"_i": F.row_number().over(line), "_to": F.lead("_x").over(line)}).filter(F.col("_i") % 2 == 1)
-    start = F.greatest(F.ceil((F.col("_x") - w) / x_res - 0.5), F.lit(0)).cast("int")
     # a centre on the right crossing is outside
-    stop = F.least(F.ceil((F.col("_to") - w) / x_res - 0.5) - 1, F.col("width") - 1).cast("int")
-    runs = F.when(start <= stop, F.sequence(start, F.greatest(start, stop)))
-    return rows.withColumn("c", F.explode(runs)).select(*keys, *keep, "r", "c")
+    cells = explode_range(
+        rows, "c", F.ceil((F.col("_x") - w) / x_res - 0.5), F.ceil((F.col("_to") - w) / x_res - 0.5) - 1, F.col("width")
+    )
+    return cells.select(*keys, *keep, "r", "c")
 
 
 def burn(touched, keys=("scene_id",), cls="cls"):

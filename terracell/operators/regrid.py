@@ -8,7 +8,7 @@ aggregation that is needed anyway collects the contributions with map-side combi
 
 from pyspark.sql import functions as F
 
-from terracell.functions import geometry as G
+from terracell.functions.ranges import explode_range
 from terracell.operators.spatial import box_join
 from terracell.plans.skew import salted_join
 
@@ -65,24 +65,17 @@ def _axis(name):
     return a, b, F.col("dst_height")
 
 
-def _index_range(low, high, size):
-    first, last = F.greatest(low, F.lit(0)).cast("int"), F.least(high, size - 1).cast("int")
-    return F.when(first <= last, F.sequence(first, F.greatest(first, last)))
-
-
-def _nearest_targets(axis):
-    # centres with i <= a + b*(t + 0.5) < i + 1
+def _explode_nearest(df, axis, out):
+    # centres with i <= a + b*(t + 0.5) < i + 1; one more on each side, then an exact test of few candidates
     a, b, size = _axis(axis)
     i = F.col(axis)
-    low, high = F.floor((i - a) / b - 0.5), F.ceil((i + 1 - a) / b - 0.5)
-    return F.filter(
-        _index_range(low, high, size), lambda t: F.floor(a + b * (t + 0.5)).cast("int") == i
-    )
+    df = explode_range(df, out, F.floor((i - a) / b - 0.5), F.ceil((i + 1 - a) / b - 0.5), size)
+    return df.filter(F.floor(a + b * (F.col(out) + 0.5)) == i)
 
 
 def nearest(paired):
     """Every (target cell, source) with the value of the source cell under its centre."""
-    out = paired.withColumn("_tr", F.explode(_nearest_targets("r"))).withColumn("_tc", F.explode(_nearest_targets("c")))
+    out = _explode_nearest(_explode_nearest(paired, "r", "_tr"), "c", "_tc")
     return out.select(
         F.col("dst_scene_id").alias("scene_id"), "src_scene_id", F.col("_tr").alias("r"), F.col("_tc").alias("c"), "v"
     )
@@ -96,11 +89,12 @@ def cubic_weight(t, a=-0.5):
     return F.when(d <= 1, near).when(d < 2, far).otherwise(F.lit(0.0))
 
 
-def _cubic_targets(axis):
+def _explode_cubic(df, axis, out):
     # targets whose kernel support of two source cells reaches this cell
     a, b, size = _axis(axis)
     i = F.col(axis)
-    return _index_range(F.ceil((i - 1.5 - a) / b - 0.5), F.floor((i + 2.5 - a) / b - 0.5), size)
+    df = explode_range(df, out, F.ceil((i - 1.5 - a) / b - 0.5), F.floor((i + 2.5 - a) / b - 0.5), size)
+    return df.withColumn("_k", cubic_weight(a + b * (F.col(out) + 0.5) - 0.5 - i))
 
 
 def cubic(paired):
@@ -111,16 +105,13 @@ def cubic(paired):
     """
     target, source = "dst_scene_id", "src_scene_id"
     paired = paired.filter(F.col("v").isNotNull())
-    centre = lambda axis, t: _axis(axis)[0] + _axis(axis)[1] * (F.col(t) + 0.5) - 0.5
     row_terms = ["dst_n", "dst_height", "dst_y_res", "src_n", "src_y_res"]
-    spread = paired.withColumn("_tc", F.explode(_cubic_targets("c")))
-    spread = spread.withColumn("_k", cubic_weight(centre("c", "_tc") - F.col("c")))
+    spread = _explode_cubic(paired, "c", "_tc")
     # the affine terms are constant within a pair, so they ride along as first values
     by_row = spread.groupBy(target, source, "r", "_tc").agg(
         F.sum(F.col("_k") * F.col("v")).alias("_vw"), F.sum("_k").alias("_w"), *[F.first(t).alias(t) for t in row_terms]
     )
-    spread = by_row.withColumn("_tr", F.explode(_cubic_targets("r")))
-    spread = spread.withColumn("_k", cubic_weight(centre("r", "_tr") - F.col("r")))
+    spread = _explode_cubic(by_row, "r", "_tr")
     summed = spread.groupBy(target, source, "_tr", "_tc").agg(
         F.sum(F.col("_k") * F.col("_vw")).alias("_vw"), F.sum(F.col("_k") * F.col("_w")).alias("_w")
     )
