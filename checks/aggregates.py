@@ -170,7 +170,7 @@ def a14(spark, folder):
 
 @query("a15_channel_means", "SELECT scene_id, item_id, r, c, round(avg(v) OVER (PARTITION BY scene_id, item_id),6) AS mean FROM cells", ["cells"])
 def a15(spark, folder):
-    out = attach_stats(cells(spark, folder), ["scene_id", "item_id"], [F.avg("v").alias("mean")], salt_on=["r", "c"])
+    out = attach_stats(cells(spark, folder), ["scene_id", "item_id"], [F.avg("v").alias("mean")])
     return r6s(out.drop("v"), "mean")
 
 

@@ -220,7 +220,7 @@ def f5(spark, folder):
     from terracell.plans.skew import attach_stats
 
     stats = [F.avg("v").alias("m"), F.stddev_pop("v").alias("s")]
-    out = attach_stats(cells(spark, folder), ["scene_id", "item_id"], stats, salt_on=["r", "c"])
+    out = attach_stats(cells(spark, folder), ["scene_id", "item_id"], stats)
     return out.select("scene_id", "item_id", "r", "c", r6(B.z_score(F.col("v"), F.col("m"), F.col("s"))).alias("z"))
 
 

@@ -20,7 +20,7 @@ def position_hash(channel, r, c, seed):
 
 def remove_positions(cells, image_keys, channel="channel", value="v", label_channel=None, percent=25, seed=0):
     """Replace a fixed share of (channel, r, c) positions by their channel mean, labels excepted."""
-    out = attach_stats(cells, [*image_keys, channel], [F.avg(value).alias("_mean")], salt_on=["r", "c"])
+    out = attach_stats(cells, [*image_keys, channel], [F.avg(value).alias("_mean")])
     chosen = position_hash(F.col(channel), F.col("r"), F.col("c"), seed) % 100 < percent
     if label_channel is not None:
         chosen = chosen & (F.col(channel) != label_channel)

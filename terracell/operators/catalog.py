@@ -83,7 +83,7 @@ def coverage_gain(cells, order, keys=("tile",), item="item_id", flag="clear"):
     totals = added.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     added = added.filter(F.col(order).isNotNull())
     listed = cells.select(*keys, item, order).distinct()
-    out = salted_join(listed, totals, keys).join(added, [*keys, order], "left")
+    out = listed.join(totals, list(keys)).join(added, [*keys, order], "left")
     new = F.coalesce(F.col("_n"), F.lit(0))
     return out.select(*keys, item, order, new.alias("new_cells"), (new / F.col("_total")).alias("gain"))
 
@@ -120,7 +120,7 @@ def greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining,
         )
     )
     state = cut(state)
-    masks = cut(salted_join(masks, firsts.select("tile", "item_id"), ["tile", "item_id"], "left_semi"))
+    masks = cut(masks.join(firsts.select("tile", "item_id"), ["tile", "item_id"], "left_semi"))
     for _ in range(max_items):
         left = 1 - F.col("found")
         open_tiles = state.filter(left >= FULL).select("tile", "found", "total", "tier", "last")
@@ -132,7 +132,7 @@ def greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining,
         words = masks.join(waiting.select("tile", "item_id"), ["tile", "item_id"], "left_semi")
         seen = covered.withColumnRenamed("mask", "_seen")
         gains = (
-            salted_join(words, seen, ["tile", "word"], "left", salt_on=["item_id"])
+            words.join(seen, ["tile", "word"], "left")
             .groupBy("tile", "item_id").agg(F.sum(new_bits).alias("_gain"))
         )
         taken = (

@@ -20,7 +20,7 @@ def normalise(images, keys, bands, scl="scl"):
     """Centre each image's bands on their clear-sky mean and stretch them to 0..255."""
     usable = lambda b: F.when((B.clear_mask(F.col(scl)) == 1) & (F.col(b) > 0), F.col(b).cast("double"))
     aggregates = [f(usable(b)).alias(f"_{b}_{n}") for b in bands for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    out = attach_stats(images, keys, aggregates, salt_on=["r", "c"])
+    out = attach_stats(images, keys, aggregates)
     stretched = {
         b: B.logistic_stretch(
             B.z_score(F.when(F.col(b) > 0, F.col(b).cast("double")), F.col(f"_{b}_m"), F.col(f"_{b}_s"))

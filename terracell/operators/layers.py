@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from terracell.functions import bands as B
-from terracell.plans.skew import attach_stats, salted_join
+from terracell.plans.skew import attach_stats, join_patches, patch_extent
 
 CELL = ("scene_id", "r", "c")
 
@@ -29,8 +29,7 @@ def mask_image(df, bands):
 
 def rebase(df, keys, value="v", scale=1.0):
     """Subtract the least valid value of each raster; optionally divide by ``scale``."""
-    salt_on = [c for c in ("r", "c") if c in df.columns] or None
-    out = attach_stats(df, keys, [F.min(value).alias("_least")], salt_on=salt_on)
+    out = attach_stats(df, keys, [F.min(value).alias("_least")])
     return out.withColumn(value, (F.col(value) - F.col("_least")) / F.lit(float(scale))).drop("_least")
 
 
@@ -51,17 +50,17 @@ def drop_missing_chips(cells, chip_keys, values):
     for v in values:
         x = F.col(v).cast("double")
         bad = bad | x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    bad_chips = cells.groupBy(*chip_keys).agg(F.bool_or(bad).alias("_bad")).filter("_bad").drop("_bad")
-    return salted_join(cells, bad_chips, chip_keys, "left_anti")
+    bad_chips = cells.groupBy(*chip_keys).agg(F.bool_or(bad).alias("_bad"), *patch_extent()).filter("_bad").drop("_bad")
+    return join_patches(cells, bad_chips, chip_keys, "left_anti")
 
 
 def drop_odd_sized_chips(cells, chip_keys, side):
     """Remove whole chips that are not ``side`` x ``side``."""
     size = cells.groupBy(*chip_keys).agg(
-        (F.max("r") - F.min("r") + 1).alias("_h"), (F.max("c") - F.min("c") + 1).alias("_w")
+        (F.max("r") - F.min("r") + 1).alias("_h"), (F.max("c") - F.min("c") + 1).alias("_w"), *patch_extent()
     )
     whole = size.filter((F.col("_h") == side) & (F.col("_w") == side)).drop("_h", "_w")
-    return salted_join(cells, whole, chip_keys, "left_semi")
+    return join_patches(cells, whole, chip_keys, "left_semi")
 
 
 def impute(cells, chip_keys, channel="channel", value="v", limit=0.5):
@@ -70,13 +69,15 @@ def impute(cells, chip_keys, channel="channel", value="v", limit=0.5):
     Only chips with less than ``limit`` of all their values missing are filled.
     """
     channels = cells.groupBy(*chip_keys, channel).agg(
-        F.avg(value).alias("_mean"), F.count(value).alias("_have"), F.count(F.lit(1)).alias("_all")
+        F.avg(value).alias("_mean"), F.count(value).alias("_have"), F.count(F.lit(1)).alias("_all"),
+        *patch_extent(),
     )
     chips = channels.groupBy(*chip_keys).agg((1 - F.sum("_have") / F.sum("_all")).alias("_gone"))
     fill = channels.join(chips, list(chip_keys)).select(
-        *chip_keys, channel, F.when(F.col("_gone") < limit, F.coalesce("_mean", F.lit(0.0))).alias("_fill")
+        *chip_keys, channel, F.when(F.col("_gone") < limit, F.coalesce("_mean", F.lit(0.0))).alias("_fill"),
+        "_r0", "_r1", "_c0", "_c1",
     )
-    out = salted_join(cells, fill, [*chip_keys, channel], salt_on=["r", "c"])
+    out = join_patches(cells, fill, [*chip_keys, channel])
     return out.withColumn(value, F.coalesce(value, "_fill")).drop("_fill")
 
 

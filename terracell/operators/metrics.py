@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from terracell.functions import bands as B
 from terracell.operators.neighbourhood import max_pool, spread, with_halo, without_halo
-from terracell.plans.skew import salted_join
+from terracell.plans.skew import join_patches, patch_extent
 
 COUNTS = ("num_correct", "num_model_one", "num_target_one", "num_one_correct", "num_wrong")
 
@@ -142,7 +142,8 @@ def boosted_weights(cells, image_ratios, keys, t="t", w="weight"):
         .when(everything & (F.col(t) == 0), F.col(w) + 0.5)
         .otherwise(F.col(w))
     )
-    return salted_join(cells, ratios, keys, salt_on=["r", "c"]).withColumn(w, weight).drop("a_f", "r_f", "f1")
+    placed = cells.groupBy(*keys).agg(*patch_extent()).join(ratios, list(keys))
+    return join_patches(cells, placed, keys).withColumn(w, weight).drop("a_f", "r_f", "f1")
 
 
 def clip_hard_images(entropies, batch="batch", value="entropy", keep=20, spread_limit=2.5, segment=100_000):
@@ -162,7 +163,7 @@ def clip_hard_images(entropies, batch="batch", value="entropy", keep=20, spread_
     mean = F.col("_s") / F.col("_n")
     deviation = F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0)))
     limits = rolled.select(batch, (mean + spread_limit * deviation).alias("_top"))
-    out = salted_join(entropies, limits, [batch])
+    out = entropies.join(limits, batch)
     return out.withColumn("clipped", F.when(v > F.col("_top"), F.lit(0.0)).otherwise(v)).drop("_top")
 
 

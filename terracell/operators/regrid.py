@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terracell.functions.ranges import explode_range
 from terracell.operators.spatial import box_join
-from terracell.plans.skew import salted_join
+from terracell.plans.skew import join_patches, join_scenes, patch_range
 
 EXTRA_PIXELS = 20
 
@@ -31,13 +31,24 @@ def scene_boxes(scenes, prefix):
 def raster_pairs(sources, targets, bucket):
     """Overlapping source and target rasters: columns ``src_*`` and ``dst_*``."""
     s, t = scene_boxes(sources, "src"), scene_boxes(targets, "dst")
-    return box_join(s, t, "src_box", "dst_box", bucket, "src_scene_id").drop("src_box", "dst_box")
+    return box_join(s, t, "src_box", "dst_box", bucket, "src_scene_id", "dst_scene_id").drop("src_box", "dst_box")
 
 
 def pair_cells(cells, pairs, margin=EXTRA_PIXELS):
     """Source cells next to each target they may serve, cropped to its bounds plus ``margin`` cells."""
     renamed = cells.withColumnRenamed("scene_id", "src_scene_id")
-    joined = salted_join(renamed, pairs, ["src_scene_id"], salt_on=["r", "c"])
+    # only the patches of the source that lie under the target take part
+    def span(start, res, low, high, size, axis):
+        first, last = F.floor((low - start) / res) - margin - 1, F.floor((high - start) / res) + margin + 1
+        clip = lambda v: F.least(F.greatest(v, F.lit(0)), size - 1)
+        return patch_range(clip(first), clip(last), axis)
+
+    p = F.col
+    ranges = [
+        *span(-p("src_n"), p("src_y_res"), -p("dst_n"), p("dst_height") * p("dst_y_res") - p("dst_n"), p("src_height"), "r"),
+        *span(p("src_w"), p("src_x_res"), p("dst_w"), p("dst_w") + p("dst_width") * p("dst_x_res"), p("src_width"), "c"),
+    ]
+    joined = join_patches(renamed, pairs.select("*", *ranges), ["src_scene_id"])
     x = F.col("src_w") + (F.col("c") + 0.5) * F.col("src_x_res")
     y = F.col("src_n") - (F.col("r") + 0.5) * F.col("src_y_res")
     mx, my = F.col("src_x_res") * margin, F.col("src_y_res") * margin
@@ -140,8 +151,8 @@ def on_common_lattice(cells, sources):
     Merging before resampling lets a kernel reach across the seam between two files. Cell indices are
     counted from the lattice origin and may be negative.
     """
-    meta = sources.select("scene_id", "w", "n", "x_res", "y_res")
-    placed = salted_join(cells, meta, ["scene_id"], salt_on=["r", "c"])
+    meta = sources.select("scene_id", "w", "n", "x_res", "y_res", "height", "width")
+    placed = join_scenes(cells, meta)
     placed = placed.withColumns(
         {
             "c": (F.col("c") + F.round(F.col("w") / F.col("x_res"))).cast("int"),
@@ -164,7 +175,7 @@ def pair_merged(merged, sources, targets, bucket):
     ``bucket``; a cell lies in one bucket, so no pair appears twice.
     """
     t = scene_boxes(targets, "dst")
-    pairs = box_join(t, scene_boxes(sources, "src"), "dst_box", "src_box", bucket, "dst_scene_id")
+    pairs = box_join(t, scene_boxes(sources, "src"), "dst_box", "src_box", bucket, "dst_scene_id", "src_scene_id")
     columns = [c for c in t.columns if c != "dst_box"]
     used = pairs.groupBy(*columns).agg(F.max("src_x_res").alias("src_x_res"), F.max("src_y_res").alias("src_y_res"))
     used = used.withColumns({"src_w": F.lit(0.0), "src_n": F.lit(0.0), "src_scene_id": F.lit(0).cast("long")})

@@ -14,34 +14,36 @@ def _to_buckets(df, box, cell):
     return df.withColumn("_by", F.explode(F.sequence(index(F.col(box)["s"]), index(F.col(box)["n"]))))
 
 
-def box_join(left, right, left_box, right_box, cell, left_id, hot=HOT_BUCKET):
+def box_join(left, right, left_box, right_box, cell, left_id, right_id=None, hot=HOT_BUCKET):
     """Pairs of rows whose closed boxes intersect.
 
     Boxes are structs w,s,e,n in columns ``left_box`` and ``right_box``, and column names of the two
     sides must differ. Both sides are dealt to square buckets of side ``cell`` (choose about a typical
     box), so the overlap test becomes a filter on an equi join. A pair is reported only from the bucket
     that holds the lower left corner of its overlap, so no distinct is needed. Buckets with more than
-    ``hot`` rows of the left side are split over several tasks.
+    ``hot`` rows on either side are split over several tasks by the ids (by the box where none is given).
     """
     keys = ["_bx", "_by"]
-    a, b = split_hot(_to_buckets(left, left_box, cell), _to_buckets(right, right_box, cell), keys, hot, [left_id])
+    a, b = split_hot(
+        _to_buckets(left, left_box, cell), _to_buckets(right, right_box, cell), keys, hot, [left_id], [right_id or right_box]
+    )
     corner = lambda side: F.floor(F.greatest(F.col(left_box)[side], F.col(right_box)[side]) / F.lit(cell)).cast("int")
-    joined = a.join(b, keys + ["_part"])
+    joined = a.join(b, keys + ["_pl", "_pr"])
     joined = joined.filter(G.boxes_intersect(F.col(left_box), F.col(right_box)))
-    return joined.filter((corner("w") == F.col("_bx")) & (corner("s") == F.col("_by"))).drop(*keys, "_part")
+    return joined.filter((corner("w") == F.col("_bx")) & (corner("s") == F.col("_by"))).drop(*keys, "_pl", "_pr")
 
 
 def regions_to_footprints(regions, footprints, cell, ring="ring", region_id="region_id", file="file_name"):
     """Pairs of a region with a convex ring and the footprints (box column ``box``) it meets."""
     r = regions.withColumn("region_box", G.ring_bounds(F.col(ring)))
-    pairs = box_join(footprints, r, "box", "region_box", cell, file)
+    pairs = box_join(footprints, r, "box", "region_box", cell, file, region_id)
     return pairs.filter(G.box_meets_convex_ring(F.col("box"), F.col(ring))).select(region_id, file)
 
 
 def tiles_for_regions(tiles, regions, cell, expand=0.15, shrink=2e-7, region_id="region_id"):
     """Tiles (``tile``, ``box``) whose box meets a region's box grown by ``expand``; boxes come back shrunk."""
     r = regions.withColumn("region_box", G.grow(F.col("region_box"), expand))
-    pairs = box_join(tiles, r, "box", "region_box", cell, "tile")
+    pairs = box_join(tiles, r, "box", "region_box", cell, "tile", region_id)
     return pairs.select(region_id, "tile", G.grow(F.col("box"), -shrink).alias("box"))
 
 
@@ -55,9 +57,16 @@ def segments_in_boxes(segments, boxes, cell, segment_id="fid"):
         ),
     )
     pairs = box_join(s, boxes, "segment_box", "box", cell, segment_id)
-    clipped = G.clip_segment(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("box"))
-    pairs = pairs.withColumn("_clip", clipped).filter(F.col("_clip").isNotNull())
-    return pairs.withColumns({k: F.col("_clip")[k] for k in ("x0", "y0", "x1", "y1")}).drop("_clip", "segment_box")
+    x0, y0, x1, y1 = (F.col(k) for k in ("x0", "y0", "x1", "y1"))
+    t0, t1, dx, dy = F.col("_t.t0"), F.col("_t.t1"), x1 - x0, y1 - y0
+    part = F.struct(
+        (x0 + t0 * dx).alias("cx0"), (y0 + t0 * dy).alias("cy0"), (x0 + t1 * dx).alias("cx1"), (y0 + t1 * dy).alias("cy1")
+    )
+    pairs = pairs.withColumn("_t", G.clip_range(x0, y0, x1, y1, F.col("box")))
+    # inline drops pairs without a common part, and unlike a filter is not moved below the clipping
+    pairs = pairs.select("*", F.inline(F.when(t0 <= t1, F.array(part))))
+    clipped = {k: F.col(f"c{k}") for k in ("x0", "y0", "x1", "y1")}
+    return pairs.withColumns(clipped).drop("_t", "segment_box", *[f"c{k}" for k in clipped])
 
 
 def cells_in_ring(cells, ring, x="x", y="y"):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from terracell.functions.hashing import MODULUS, sample_hash
-from terracell.plans.skew import numbered, salted_join
+from terracell.plans.skew import numbered
 
 
 def holdout_regions(regions, seed=0, region="region_id", per=100):
@@ -53,6 +53,7 @@ def paged(df, key, epochs, per_load, seed=0):
     placed = numbered(spread_out, ["epoch"], "h", MODULUS // 64 + 1, tie=(key,))
     sizes = spread_out.groupBy("epoch").agg(F.count(F.lit(1)).alias("_n"))
     position = F.col("epoch") * F.col("_n") + F.col("rn") - 1
-    return salted_join(placed, sizes, ["epoch"], salt_on=[key]).select(
+    # one row per epoch, and the number of epochs is a parameter
+    return placed.join(F.broadcast(sizes), "epoch").select(
         "epoch", key, position.alias("position"), F.floor(position / per_load).cast("long").alias("load")
     )

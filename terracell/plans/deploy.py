@@ -7,14 +7,14 @@ from terracell.operators import regrid
 from terracell.operators.grids import grid_cells
 from terracell.operators.layers import drop_missing_chips
 from terracell.operators.scoring import chip_tensors, score_chips, scores_to_cells
-from terracell.plans.skew import attach_stats, salted_join
+from terracell.plans.skew import attach_stats, join_scenes
 
 
 def impute_wide(df, chip_keys, channels, limit=0.5):
     """Fill missing channels by their chip mean where less than ``limit`` of the whole chip is missing."""
     means = [F.avg(ch).alias(f"_{ch}") for ch in channels]
     gone = (sum(F.sum(F.isnull(ch).cast("int")) for ch in channels) / (len(channels) * F.count(F.lit(1)))).alias("_gone")
-    out = attach_stats(df, chip_keys, [*means, gone], salt_on=["r", "c"])
+    out = attach_stats(df, chip_keys, [*means, gone])
     fill = lambda ch: F.coalesce(ch, F.when(F.col("_gone") < limit, F.coalesce(f"_{ch}", F.lit(0.0))))
     return out.withColumns({ch: fill(ch) for ch in channels}).drop("_gone", *[f"_{ch}" for ch in channels])
 
@@ -39,7 +39,7 @@ def blended_mosaic(scores, scenes, targets, bucket, blend="weighted"):
     if blend == "first":
         out = regrid.mosaic_first(regrid.nearest(regrid.pair_cells(scores.withColumnRenamed("score", "v"), pairs)))
     else:
-        sized = salted_join(scores, scenes.select("scene_id", "height", "width"), ["scene_id"], salt_on=["r", "c"])
+        sized = join_scenes(scores, scenes.select("scene_id", "height", "width"))
         weight = blend_weight(F.col("r"), F.col("c"), F.col("height"), F.col("width"))
         packed = sized.select("scene_id", "r", "c", F.struct((F.col("score") * weight).alias("vw"), weight.alias("w")).alias("v"))
         near = regrid.nearest(regrid.pair_cells(packed, pairs))

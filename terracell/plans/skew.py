@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 SALTS = 16
+PATCH = 512
 
 
 def _salt(columns, salts):
@@ -14,9 +15,10 @@ def _salt(columns, salts):
 def salted_join(big, small, keys, how="inner", salts=SALTS, salt_on=None):
     """Join ``big`` to ``small`` on coarse ``keys`` whose rows in ``big`` may be very uneven.
 
-    ``small`` is repeated once per salt, so a hot key is spread over ``salts`` tasks. No side is
-    forced to broadcast; Spark may still choose to when the measured size allows it. ``how`` may be
-    ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    ``small`` is repeated once per salt, so a hot key is spread over ``salts`` tasks, which adaptive
+    execution splits further when they stay too large. No side is forced to broadcast; Spark may still
+    choose to when the measured size allows it. ``how`` may be ``inner``, ``left``, ``left_semi`` or
+    ``left_anti``. For cells use :func:`join_patches`.
     """
     keys = list(keys)
     salt_on = list(salt_on or [c for c in big.columns if c not in keys] or keys)
@@ -25,46 +27,75 @@ def salted_join(big, small, keys, how="inner", salts=SALTS, salt_on=None):
     return left.join(right, keys + ["_salt"], how).drop("_salt")
 
 
-def attach_stats(df, keys, aggregates, salts=SALTS, salt_on=None):
-    """Add per-group aggregates to every row without sorting a whole group in one task.
+def patch_range(low, high, axis):
+    """Columns ``_r0``, ``_r1`` (or ``_c0``, ``_c1``): first and last patch between two cell indices."""
+    index = lambda x: F.floor(x / PATCH).cast("int")
+    return index(low).alias(f"_{axis}0"), index(high).alias(f"_{axis}1")
+
+
+def patch_extent():
+    """Aggregates giving the patches a group of cells covers."""
+    return [*patch_range(F.min("r"), F.max("r"), "r"), *patch_range(F.min("c"), F.max("c"), "c")]
+
 
-    The aggregation combines on the map side first; the one-row-per-group result is joined back
-    with :func:`salted_join`. This replaces ``agg(...) over (partition by keys)`` for coarse keys.
+def join_patches(cells, rows, keys, how="inner"):
+    """Join cells to one or more rows per raster without gathering a raster in one task.
+
+    A patch of ``PATCH`` x ``PATCH`` cells becomes part of the join key. ``rows`` carries the patch ranges
+    ``_r0``, ``_r1``, ``_c0``, ``_c1`` and is repeated once per patch, so a join key never has more cells
+    than a patch, however large the raster, and small rasters are not repeated at all.
     """
-    stats = df.groupBy(*keys).agg(*aggregates)
-    return salted_join(df, stats, keys, salts=salts, salt_on=salt_on)
+    spread = rows.withColumn("_pr", F.explode(F.sequence("_r0", "_r1"))).withColumn("_pc", F.explode(F.sequence("_c0", "_c1")))
+    spread = spread.drop("_r0", "_r1", "_c0", "_c1")
+    index = lambda axis: F.floor(F.col(axis) / PATCH).cast("int")
+    placed = cells.withColumns({"_pr": index("r"), "_pc": index("c")})
+    return placed.join(spread, [*keys, "_pr", "_pc"], how).drop("_pr", "_pc")
 
 
-def hot_keys(df, keys, target):
-    """Keys with more than ``target`` rows and the number of parts to cut each into."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > target)
-        .select(*keys, F.ceil(F.col("_n") / target).cast("int").alias("_parts"))
-    )
+def join_scenes(cells, scenes, keys=("scene_id",)):
+    """Cells joined to raster metadata that has ``height`` and ``width``."""
+    ranges = [*patch_range(F.lit(0), F.col("height") - 1, "r"), *patch_range(F.lit(0), F.col("width") - 1, "c")]
+    return join_patches(cells, scenes.select("*", *ranges), keys)
+
 
+def attach_stats(df, keys, aggregates):
+    """Add per-group aggregates to every row without sorting a whole group in one task.
+
+    The aggregation combines on the map side first; the one-row-per-group result is joined back patch by
+    patch for cells, and with :func:`salted_join` for other rows. This replaces
+    ``agg(...) over (partition by keys)`` for coarse keys.
+    """
+    keys = list(keys)
+    if "r" in df.columns and "c" in df.columns:
+        return join_patches(df, df.groupBy(*keys).agg(*aggregates, *patch_extent()), keys)
+    return salted_join(df, df.groupBy(*keys).agg(*aggregates), keys)
 
-def split_hot(left, right, keys, target, split_on):
+
+def split_hot(left, right, keys, target, left_on, right_on):
     """Prepare both sides of an equi join so that a hot key becomes several join keys.
 
-    Rows of a hot key in ``left`` are dealt to parts by a hash of ``split_on``; the matching rows of
-    ``right`` are repeated once per part. Cold keys keep one part, so they cost nothing extra.
-    Returns both frames with a ``_part`` column to be added to the join keys.
+    A key with many rows on the left is cut into ``pl`` parts there and its right rows are repeated for
+    each; many rows on the right are cut into ``pr`` parts likewise. Together they form a grid of parts,
+    and every pair of rows still meets exactly once. Cold keys keep one part and are not repeated.
+    Returns both frames with ``_pl`` and ``_pr`` to be added to the join keys.
     """
-    hot = hot_keys(left, keys, target)
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    left = (
-        left.join(hot, keys, "left")
-        .withColumn("_part", F.pmod(F.xxhash64(*split_on), parts).cast("int"))
-        .drop("_parts")
+    count = lambda df, side: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(side))
+    hot = (
+        count(left, "_nl").filter(F.col("_nl") > target)
+        .join(count(right, "_nr").filter(F.col("_nr") > target), keys, "full")
+        .select(*keys, *[F.coalesce(F.ceil(F.col(n) / target), F.lit(1)).cast("int").alias(k) for n, k in (("_nl", "_kl"), ("_nr", "_kr"))])
     )
-    right = (
-        right.join(hot, keys, "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("_parts")
+
+    def deal(df, own, own_parts, other, other_parts, on):
+        parts = F.coalesce(own_parts, F.lit(1))
+        df = df.join(hot, keys, "left").withColumn(own, F.pmod(F.xxhash64(*on), parts).cast("int"))
+        everywhere = F.sequence(F.lit(0), F.coalesce(F.col(other_parts), F.lit(1)) - 1)
+        return df.withColumn(other, F.explode(everywhere)).drop("_kl", "_kr")
+
+    return (
+        deal(left, "_pl", F.col("_kl"), "_pr", "_kr", left_on),
+        deal(right, "_pr", F.col("_kr"), "_pl", "_kl", right_on),
     )
-    return left, right
 
 
 def numbered(df, keys, order, segment, tie=(), name="rn"):

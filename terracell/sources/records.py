@@ -2,8 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from terracell.plans.skew import salted_join
-
 
 def write_split_lists(chips, directory, mode="overwrite"):
     """One folder of text files per split."""
@@ -36,7 +34,7 @@ def read_log(spark, path, schema):
 
 def extended(old, new, on="file_name"):
     """Stored rows plus the new rows whose key is not stored yet; columns may differ."""
-    fresh = salted_join(new, old.select(on).distinct(), [on], "left_anti")
+    fresh = new.join(old.select(on).distinct(), on, "left_anti")
     return old.unionByName(fresh, allowMissingColumns=True)
 
 

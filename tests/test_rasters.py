@@ -189,3 +189,31 @@ def test_normalise_single_value_and_no_clear_cell(spark):
     df = spark.createDataFrame(rows, "scene_id long, item_id int, r int, c int, b08 int, scl int")
     out = {(x["scene_id"], x["c"]): x["b08"] for x in composite.normalise(df, ["scene_id", "item_id"], ["b08"]).collect()}
     assert {out[0, c] for c in range(3)} == {127} and {out[1, c] for c in range(3)} == {0}
+
+
+def test_joins_by_patch_equal_joins_by_raster(spark, monkeypatch):
+    from terracell.operators import regrid
+    from terracell.plans import skew
+
+    a = np.random.default_rng(8).integers(1, 90, (13, 17)).astype(float)
+    a[2, 5] = np.nan
+    cells = frame(spark, a).unionByName(frame(spark, a + 5, scene=1))
+    meta = spark.createDataFrame(
+        [(0, 0.0, 13.0, 1.0, 1.0, 13, 17), (1, 8.0, 13.0, 1.0, 1.0, 13, 17)],
+        "scene_id long, w double, n double, x_res double, y_res double, height int, width int",
+    )
+    target = spark.createDataFrame([(5, 3.2, 11.0, 0.5, 0.5, 9, 30)], meta.schema)
+
+    def results():
+        return [
+            sorted(map(tuple, layers.rebase(cells, ["scene_id"]).select("scene_id", "r", "c", "v").collect()), key=str),
+            sorted(map(tuple, regrid.cut_to_targets(cells, meta, target, 8.0, "nearest").collect()), key=str),
+            sorted((x["r"], x["c"], round(x["v"], 9)) for x in regrid.cut_to_targets(cells, meta, target, 8.0, "cubic").collect()),
+            layers.drop_missing_chips(cells, ["scene_id"], ["v"]).count(),
+            layers.drop_odd_sized_chips(cells, ["scene_id"], 13).count(),
+        ]
+
+    whole = results()
+    monkeypatch.setattr(skew, "PATCH", 4)
+    assert results() == whole
+    assert len(whole[0]) == 2 * a.size and len(whole[1]) == 270 and whole[3:] == [0, 0]
