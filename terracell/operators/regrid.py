@@ -48,7 +48,7 @@ def pair_cells(cells, pairs, margin=EXTRA_PIXELS):
         *span(-p("src_n"), p("src_y_res"), -p("dst_n"), p("dst_height") * p("dst_y_res") - p("dst_n"), p("src_height"), "r"),
         *span(p("src_w"), p("src_x_res"), p("dst_w"), p("dst_w") + p("dst_width") * p("dst_x_res"), p("src_width"), "c"),
     ]
-    joined = join_patches(renamed, pairs.select("*", *ranges), ["src_scene_id"])
+    joined = join_patches(renamed, _with_affine(pairs).select("*", *ranges), ["src_scene_id"])
     x = F.col("src_w") + (F.col("c") + 0.5) * F.col("src_x_res")
     y = F.col("src_n") - (F.col("r") + 0.5) * F.col("src_y_res")
     mx, my = F.col("src_x_res") * margin, F.col("src_y_res") * margin
@@ -56,7 +56,7 @@ def pair_cells(cells, pairs, margin=EXTRA_PIXELS):
         (x >= F.col("dst_w") - mx) & (x <= F.col("dst_w") + F.col("dst_width") * F.col("dst_x_res") + mx)
         & (y <= F.col("dst_n") + my) & (y >= F.col("dst_n") - F.col("dst_height") * F.col("dst_y_res") - my)
     )
-    return joined.filter(inside)
+    return joined.filter(inside).select(*PAIRED)
 
 
 def crop_to_targets(cells, sources, targets, bucket, margin=EXTRA_PIXELS):
@@ -65,15 +65,21 @@ def crop_to_targets(cells, sources, targets, bucket, margin=EXTRA_PIXELS):
     return out.select(F.col("dst_scene_id").alias("target_id"), F.col("src_scene_id").alias("scene_id"), "r", "c", "v")
 
 
+def _with_affine(pairs):
+    """Target-to-source affine of each pair: source index + 0.5 = a + b * (target index + 0.5), per axis."""
+    return pairs.withColumns(
+        {
+            "_ra": (F.col("src_n") - F.col("dst_n")) / F.col("src_y_res"), "_rb": F.col("dst_y_res") / F.col("src_y_res"),
+            "_ca": (F.col("dst_w") - F.col("src_w")) / F.col("src_x_res"), "_cb": F.col("dst_x_res") / F.col("src_x_res"),
+        }
+    )
+
+
+PAIRED = ("dst_scene_id", "src_scene_id", "r", "c", "v", "_ra", "_rb", "_ca", "_cb", "dst_height", "dst_width")
+
+
 def _axis(name):
-    """Target-to-source affine along one axis: source coordinate = a + b * target index + b/2, in source cells."""
-    if name == "c":
-        b = F.col("dst_x_res") / F.col("src_x_res")
-        a = (F.col("dst_w") - F.col("src_w")) / F.col("src_x_res")
-        return a, b, F.col("dst_width")
-    b = F.col("dst_y_res") / F.col("src_y_res")
-    a = (F.col("src_n") - F.col("dst_n")) / F.col("src_y_res")
-    return a, b, F.col("dst_height")
+    return F.col(f"_{name}a"), F.col(f"_{name}b"), F.col("dst_width" if name == "c" else "dst_height")
 
 
 def _explode_nearest(df, axis, out):
@@ -116,7 +122,7 @@ def cubic(paired):
     """
     target, source = "dst_scene_id", "src_scene_id"
     paired = paired.filter(F.col("v").isNotNull())
-    row_terms = ["dst_n", "dst_height", "dst_y_res", "src_n", "src_y_res"]
+    row_terms = ["_ra", "_rb", "dst_height"]
     spread = _explode_cubic(paired, "c", "_tc")
     # the affine terms are constant within a pair, so they ride along as first values
     by_row = spread.groupBy(target, source, "r", "_tc").agg(
@@ -189,7 +195,7 @@ def pair_merged(merged, sources, targets, bucket):
         "r", "c", "v",
         index((F.col("c") + 0.5) * F.col("x_res")).alias("_bx"), index(-(F.col("r") + 0.5) * F.col("y_res")).alias("_by"),
     )
-    return placed.join(used, ["_bx", "_by"]).drop("_bx", "_by")
+    return placed.join(_with_affine(used), ["_bx", "_by"]).select(*PAIRED)
 
 
 def cut_merged_to_targets(cells, sources, targets, bucket, method="cubic"):
