@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import items, prints, query, r6, r6s, stack, table
+from checks.base import bands, items, prints, query, relief, scored, stack, table
 from checks.aggregates import composite_sql
 from checks.joins import NORMAL
 from terracell.functions.names import padded_key
 from terracell.operators import catalog, splits
 from terracell.plans.acquire import choose_items, tile_images
+from terracell.plans.training import training_chips
 
 HASH = "({0}*2654435761+{1}*40503)%1000003"
 
@@ -112,3 +113,21 @@ def e4(spark, folder):
     tiles = images.groupBy("tile").agg(F.count_distinct("r", "c").alias("total"))
     chosen = choose_items(catalogue(spark, folder), images, tiles, 8, LADDER, min_share=0.1, max_items=4, max_remaining=0.5)
     return tile_images(images.drop("clear", "v"), chosen, ("b08", "b04", "b03", "b02"), 1)
+
+
+@query(
+    "e1_training_chips",
+    """WITH l AS (SELECT scene_id, r, c, b08, e.v AS elevation, cls FROM bands JOIN relief e USING (scene_id, r, c) JOIN scored USING (scene_id, r, c)),
+    k AS (SELECT scene_id, cast(y*2 AS int) AS chip_r0, cast(x*2 AS int) AS chip_c0, cast(r-y*2 AS int) AS r, cast(c-x*2 AS int) AS c, b08, elevation, cls
+        FROM l, range(3) a(y), range(3) b(x) WHERE r BETWEEN y*2 AND y*2+3 AND c BETWEEN x*2 AND x*2+3)
+    SELECT k.*, CASE WHEN scene_id IN (SELECT r_regionkey FROM region) THEN 'test' ELSE 'train' END AS split FROM k
+    WHERE (scene_id, chip_r0, chip_c0) IN (SELECT (scene_id, chip_r0, chip_c0) FROM k GROUP BY scene_id, chip_r0, chip_c0 HAVING avg(CASE WHEN elevation IS NULL THEN 1 ELSE 0 END)<0.1e0)""",
+    ["bands", "relief", "scored"],
+)
+def e1(spark, folder):
+    stacked = [
+        bands(spark, folder).select("scene_id", "r", "c", "b08"), relief(spark, folder).withColumnRenamed("v", "elevation"),
+        scored(spark, folder).drop("prob"),
+    ]
+    lists = table(spark, folder, "region").select(F.col("r_regionkey").cast("long").alias("scene_id"), F.lit("test").alias("split"))
+    return training_chips(stacked, ["b08", "elevation", "cls"], 4, 2, 2, lists=lists, shape=(8, 8))

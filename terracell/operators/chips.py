@@ -1,44 +1,55 @@
 """Cutting chips while stepping around missing data."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-MAX_SIDE = 20_000
 
+def missing_runs(cells, value="v", layer="layer"):
+    """Runs of missing columns per raster line, as one sorted array of (start, end) per line.
 
-def missing_lines(cells, value="v", layer="layer"):
-    """Columns with missing data per raster line: at most one array of a line's width per row."""
-    gone = cells.filter(F.isnull(value))
-    return gone.groupBy("scene_id", layer, "r").agg(F.collect_set("c").alias("cols"))
+    A swath without data is one run per line, so this is far smaller than the cells. Copies of a cell
+    share their rank and count once.
+    """
+    line = Window.partitionBy("scene_id", layer, "r").orderBy("c")
+    gone = cells.filter(F.isnull(value)).select("scene_id", layer, "r", "c", (F.col("c") - F.dense_rank().over(line)).alias("_run"))
+    runs = gone.groupBy("scene_id", layer, "r", "_run").agg(F.min("c").alias("start"), (F.max("c") + 1).alias("end"))
+    return runs.groupBy("scene_id", layer, "r").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
 def walk_chips(cells, scenes, size, row_step=None, col_step=None, missing_step=25, limit=0.1, start=(0, 0)):
     """Chips found by a walk that steps past missing data, per scene.
 
     A chip with ``limit`` or more of a layer missing is passed over: the walk moves right and down by 25,
-    then 50, ... cells until a chip is good, and by the column step after a good chip. The walk depends
-    on its own past, so a scene is one group; the group holds only packed lines of missing columns, and
-    a scene larger than ``MAX_SIDE`` is refused.
+    then 50, ... cells until a chip is good, and by the column step after a good chip. Each step depends
+    on the one before, so a scene is one group; what reaches it is one row per raster line that has
+    missing cells, with the runs of missing columns, however many rows the scene has.
     """
     row_step, col_step = row_step or size, col_step or size
-    max_side = MAX_SIDE
 
     def walk(pdf):
         import numpy as np
         import pandas as pd
 
         height, width = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
-        if max(height, width) > max_side:
-            raise ValueError("scene is larger than MAX_SIDE; cut it to grids first")
-        sums = []
+        layers = []
         for _, lines in pdf[pdf["r"].notna()].groupby("layer"):
-            table = np.zeros((height + 1, width + 1), dtype=np.int64)
-            for r, cols in zip(lines["r"].astype(int), lines["cols"]):
-                table[r + 1, np.asarray(cols, dtype=int) + 1] = 1
-            sums.append(table.cumsum(axis=0).cumsum(axis=1))
+            by_row = {}
+            for r, runs in zip(lines["r"].astype(int), lines["runs"]):
+                ends = np.array([[run["start"], run["end"]] for run in runs])
+                by_row[r] = (ends[:, 0], ends[:, 1], np.concatenate([[0], np.cumsum(ends[:, 1] - ends[:, 0])]))
+            layers.append(by_row)
+
+        def before(line, x):
+            starts, ends, total = line
+            i = np.searchsorted(starts, x)
+            return total[i] - max(0, ends[i - 1] - x) if i else 0
 
         def too_empty(r, c):
-            count = max((t[r + size, c + size] - t[r, c + size] - t[r + size, c] + t[r, c] for t in sums), default=0)
-            return count >= limit * size * size
+            for by_row in layers:
+                lines = (by_row[i] for i in range(r, r + size) if i in by_row)
+                if sum(before(line, c + size) - before(line, c) for line in lines) >= limit * size * size:
+                    return True
+            return False
 
         found = []
         r, c = start
@@ -57,5 +68,5 @@ def walk_chips(cells, scenes, size, row_step=None, col_step=None, missing_step=2
         out.insert(0, "scene_id", pdf["scene_id"].iloc[0])
         return out
 
-    lines = scenes.select("scene_id", "height", "width").join(missing_lines(cells), "scene_id", "left")
+    lines = scenes.select("scene_id", "height", "width").join(missing_runs(cells), "scene_id", "left")
     return lines.groupBy("scene_id").applyInPandas(walk, "scene_id long, chip_r0 int, chip_c0 int")

@@ -30,58 +30,38 @@ def normalise(images, keys, bands, scl="scl"):
     return out.withColumns(stretched).drop(*[f"_{b}_{n}" for b in bands for n in "ms"])
 
 
-def arbitrated_weights(masked, keys=("scene_id",), clear="clear", grown="clear_grown", time="item_id"):
-    """Weight of each acquisition at each cell.
+def mask_tier(clear="clear", grown="clear_grown"):
+    """2 where clear after growing the clouds, 1 where only the plain mask is clear, 0 elsewhere."""
+    return F.col(clear) + F.col(grown)
 
-    Where any acquisition is clear after growing the clouds, the grown mask counts; else the plain
-    mask; else every acquisition. Cell keys are fine-grained, so the per-cell flags are aggregated
-    and joined back on the cell.
+
+def arbitrated_weights(masked, keys=("scene_id",)):
+    """Weight of each acquisition at each cell: 1 for those of the best tier met there, else 0.
+
+    So the grown mask counts where any acquisition passes it, else the plain mask, else every acquisition.
     """
     cell = [*keys, "r", "c"]
-    flags = masked.groupBy(*cell).agg(F.max(grown).alias("_any_grown"), F.max(clear).alias("_any_clear"))
-    weight = (
-        F.when(F.col("_any_grown") == 1, F.col(grown))
-        .when(F.col("_any_clear") == 1, F.col(clear))
-        .otherwise(F.lit(1))
-    )
-    return masked.join(flags, cell).withColumn("weight", weight).drop("_any_grown", "_any_clear")
+    best = masked.groupBy(*cell).agg(F.max(mask_tier()).alias("_best"))
+    return masked.join(best, cell).withColumn("weight", (mask_tier() == F.col("_best")).cast("int")).drop("_best")
 
 
 def composite(images, bands, n, keys=("scene_id",), time="item_id", scl="scl"):
     """Cloud-masked temporal mean of every band, truncated to whole numbers.
 
-    The choice between grown mask, plain mask and no mask is made on three pairs of partial sums, so
-    one aggregation per cell does arbitration and mean together. A scene with one acquisition is
-    passed through unmasked.
+    Acquisitions of one cell are averaged per tier of the mask and the best tier is kept, so no window
+    over time is needed and both aggregations combine before their exchange. A scene with one acquisition
+    has only one tier and is passed through.
     """
     keys = list(keys)
     kept = images.select(*keys, time, "r", "c", *bands, B.clear_mask(F.col(scl)).alias("clear"))
     masked = grown_cloud_mask(kept, [*keys, time], n)
-    tiers = {"g": F.col("clear_grown") == 1, "p": F.col("clear") == 1, "a": F.lit(True)}
-    sums = [
-        f(F.when(condition & (F.col(b) != 0), F.col(b))).alias(f"_{b}_{tier}_{name}")
-        for b in bands
-        for tier, condition in tiers.items()
-        for name, f in (("s", F.sum), ("n", F.count))
-    ]
-    grouped = masked.groupBy(*keys, "r", "c").agg(
-        *sums,
-        F.max("clear_grown").alias("_g"), F.max("clear").alias("_p"),
-        F.min(time).alias("_t0"), F.max(time).alias("_t1"),
+    seen = lambda b: F.when(F.col(b) != 0, F.col(b))
+    per_tier = masked.groupBy(*keys, "r", "c", mask_tier().alias("_tier")).agg(
+        *[f(seen(b)).alias(f"_{b}_{name}") for b in bands for name, f in (("s", F.sum), ("n", F.count))]
     )
-    mean = lambda b, tier: F.try_divide(F.col(f"_{b}_{tier}_s").cast("double"), F.col(f"_{b}_{tier}_n"))
-
-    def pick(b):
-        alone = F.col("_t0") == F.col("_t1")
-        chosen = (
-            F.when(alone, mean(b, "a"))
-            .when(F.col("_g") == 1, mean(b, "g"))
-            .when(F.col("_p") == 1, mean(b, "p"))
-            .otherwise(mean(b, "a"))
-        )
-        return B.uint8(F.coalesce(chosen, F.lit(0.0))).alias(b)
-
-    return grouped.select(*keys, "r", "c", *[pick(b) for b in bands])
+    mean = lambda b: F.coalesce(F.try_divide(F.col(f"_{b}_s").cast("double"), F.col(f"_{b}_n")), F.lit(0.0))
+    means = per_tier.select(*keys, "r", "c", "_tier", *[B.uint8(mean(b)).alias(b) for b in bands])
+    return means.groupBy(*keys, "r", "c").agg(*[F.max_by(b, "_tier").alias(b) for b in bands])
 
 
 def zero_report(images, keys, bands):
