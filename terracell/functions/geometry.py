@@ -48,18 +48,35 @@ def ring_edges(ring):
     )
 
 
-def box_meets_convex_ring(box, ring):
-    """Separating-axis test between a box and a closed convex ring."""
-    bounds_meet = boxes_intersect(box, ring_bounds(ring))
+def convex_edges(ring):
+    """Edges of a closed convex ring with the span ``lo``..``hi`` of the ring across each edge.
 
-    def separates(edge):
+    Worth storing once per ring when it is tested against many boxes.
+    """
+    def measured(edge):
         dx, dy = edge["x1"] - edge["x0"], edge["y1"] - edge["y0"]
-        side = lambda x, y: dx * (y - edge["y0"]) - dy * (x - edge["x0"])
-        corners = F.array(*[side(box[i], box[j]) for i in "we" for j in "sn"])
-        points = F.transform(ring, lambda p: side(p["x"], p["y"]))
-        return (F.array_min(corners) > F.array_max(points)) | (F.array_max(corners) < F.array_min(points))
+        across = F.transform(ring, lambda p: dx * (p["y"] - edge["y0"]) - dy * (p["x"] - edge["x0"]))
+        return F.struct(
+            edge["x0"].alias("x0"), edge["y0"].alias("y0"), dx.alias("dx"), dy.alias("dy"),
+            F.array_min(across).alias("lo"), F.array_max(across).alias("hi"),
+        )
+
+    return F.transform(ring_edges(ring), measured)
 
-    return bounds_meet & ~F.exists(ring_edges(ring), separates)
+
+def box_meets_edges(box, edges):
+    """Separating-axis test of a box against ``convex_edges``; the bounds must be known to meet."""
+    def separates(edge):
+        ys, yn = edge["dx"] * (box["s"] - edge["y0"]), edge["dx"] * (box["n"] - edge["y0"])
+        xw, xe = edge["dy"] * (box["w"] - edge["x0"]), edge["dy"] * (box["e"] - edge["x0"])
+        return (F.least(ys, yn) - F.greatest(xw, xe) > edge["hi"]) | (F.greatest(ys, yn) - F.least(xw, xe) < edge["lo"])
+
+    return ~F.exists(edges, separates)
+
+
+def box_meets_convex_ring(box, ring):
+    """A box and a closed convex ring share at least a point."""
+    return boxes_intersect(box, ring_bounds(ring)) & box_meets_edges(box, convex_edges(ring))
 
 
 def point_in_ring(x, y, ring):

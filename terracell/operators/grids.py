@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from terracell.functions import geodesy
-from terracell.functions.geometry import box_meets_convex_ring, boxes_intersect, ring_bounds
+from terracell.functions.geometry import box_meets_edges, boxes_intersect, convex_edges, ring_bounds
 from terracell.functions.names import bbox_name
 
 # Grids stay inside this longitude.
@@ -21,6 +21,7 @@ def reference_grids(regions, grid_width=2560, step_size=1280, grid_res=10, ring=
     half = grid_width / 2
     b = ring_bounds(F.col(ring))
     df = regions.withColumns({"_w": b["w"], "_s": b["s"], "_e": b["e"], "_n": b["n"]})
+    df = df.withColumns({"_bounds": F.struct(*[F.col(f"_{k}").alias(k) for k in "wsen"]), "_edges": convex_edges(F.col(ring))})
     df = df.withColumn("_yres", geodesy.degrees_north(grid_res, (F.col("_s") + F.col("_n")) / 2))
     df = df.withColumns({"_s": F.col("_s") - F.col("_yres") * half, "_n": F.col("_n") + F.col("_yres") * half})
     df = df.withColumn("_xres", geodesy.degrees_east(grid_res, (F.col("_s") + F.col("_n")) / 2))
@@ -51,7 +52,7 @@ def reference_grids(regions, grid_width=2560, step_size=1280, grid_res=10, ring=
         }
     )
     box = F.struct("w", "s", "e", "n")
-    df = df.filter(boxes_intersect(box, ring_bounds(F.col(ring))) & box_meets_convex_ring(box, F.col(ring)))
+    df = df.filter(boxes_intersect(box, F.col("_bounds")) & box_meets_edges(box, F.col("_edges")))
     name = bbox_name(F.col("w"), F.col("s"), F.col("e"), F.col("n"))
     return df.select(*keys, "grid_row", "grid_col", "w", "s", "e", "n", name.alias("file_name"))
 

@@ -4,6 +4,7 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terracell.functions import bands as B
 from terracell.model import blocks_to_cells
@@ -79,8 +80,8 @@ def score_chips(tensors, chip_keys, channels, predict, per_call=32):
     ``predict`` is supplied by the user and is shipped with the task. Chips of one batch may differ in
     shape; equal shapes are scored together, at most ``per_call`` per call.
     """
-    schema = tensors.select(*chip_keys).schema.simpleString()[len("struct<"):-1]
-    schema = ", ".join(p.replace(":", " ", 1) for p in schema.split(",")) + ", h int, w int, data array<double>"
+    scored = T.StructType.fromDDL("h int, w int, data array<double>")
+    schema = T.StructType([*tensors.select(*chip_keys).schema.fields, *scored.fields])
     chip_keys, channels = list(chip_keys), list(channels)
 
     def run(batches):

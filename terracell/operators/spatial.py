@@ -35,9 +35,9 @@ def box_join(left, right, left_box, right_box, cell, left_id, right_id=None, hot
 
 def regions_to_footprints(regions, footprints, cell, ring="ring", region_id="region_id", file="file_name"):
     """Pairs of a region with a convex ring and the footprints (box column ``box``) it meets."""
-    r = regions.withColumn("region_box", G.ring_bounds(F.col(ring)))
+    r = regions.select(region_id, G.ring_bounds(F.col(ring)).alias("region_box"), G.convex_edges(F.col(ring)).alias("edges"))
     pairs = box_join(footprints, r, "box", "region_box", cell, file, region_id)
-    return pairs.filter(G.box_meets_convex_ring(F.col("box"), F.col(ring))).select(region_id, file)
+    return pairs.filter(G.box_meets_edges(F.col("box"), F.col("edges"))).select(region_id, file)
 
 
 def tiles_for_regions(tiles, regions, cell, expand=0.15, shrink=2e-7, region_id="region_id"):

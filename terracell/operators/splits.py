@@ -45,12 +45,13 @@ def keep_sample(df, key, share, seed=0):
 def paged(df, key, epochs, per_load, seed=0):
     """Shuffled list per epoch, cut into loads of ``per_load`` that run on across epochs.
 
-    Positions come from the two-level numbering over hash ranges, not from one global sort task.
+    Positions come from the two-level numbering over hash ranges, not from one global sort task; an
+    epoch has about ten thousand ranges.
     """
     spread_out = df.select(F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), key)
     # the epoch takes part in the hash, so each epoch has its own order
     spread_out = spread_out.withColumn("h", (sample_hash(F.col(key), seed) * (F.col("epoch") * 2 + 1)) % MODULUS)
-    placed = numbered(spread_out, ["epoch"], "h", MODULUS // 64 + 1, tie=(key,))
+    placed = numbered(spread_out, ["epoch"], "h", MODULUS // 10_000, tie=(key,))
     sizes = spread_out.groupBy("epoch").agg(F.count(F.lit(1)).alias("_n"))
     position = F.col("epoch") * F.col("_n") + F.col("rn") - 1
     # one row per epoch, and the number of epochs is a parameter

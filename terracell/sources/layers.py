@@ -21,7 +21,9 @@ def write_layer(df, path, layer, mode="append"):
     One directory per layer, not per scene: with millions of scenes the directories would outnumber the
     data, while min/max statistics on ``scene_id`` prune as well.
     """
-    ordered = df.withColumn("layer", F.lit(layer)).repartitionByRange("scene_id").sortWithinPartitions("scene_id")
+    # the position within the scene takes part, so that one large scene is written by several tasks
+    order = ["scene_id", *[c for c in ("br", "bc", "r", "c") if c in df.columns]]
+    ordered = df.withColumn("layer", F.lit(layer)).repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.write.mode(mode).partitionBy("layer").parquet(path)
 
 

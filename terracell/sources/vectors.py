@@ -16,8 +16,9 @@ def union_layers(layers, extra=("geometry",)):
 
 
 def write_features(features, path, mode="append"):
-    """One directory per region key; rows of a region are spread over several files by hash."""
-    features.write.mode(mode).partitionBy("region_key").parquet(path)
+    """One directory per region key; a large region is spread over several tasks by a hash of its rows."""
+    dealt = features.withColumn("_h", F.xxhash64(*features.columns)).repartitionByRange("region_key", "_h").drop("_h")
+    dealt.write.mode(mode).partitionBy("region_key").parquet(path)
 
 
 def region_hulls(hulls, regions_with_data, code="huc4"):

@@ -1,6 +1,7 @@
 """New scenes, running totals and duplicate acquisitions with Structured Streaming."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def process_new(source, transform, sink, checkpoint, key):
@@ -14,8 +15,8 @@ def process_new(source, transform, sink, checkpoint, key):
     def write(batch, batch_id):
         out = transform(batch)
         if batch_id > 0:
-            done = spark.read.schema(out.schema.simpleString()[len("struct<"):-1].replace(":", " ") + ", batch long").parquet(sink)
-            done = done.filter(F.col("batch") < batch_id).select(key).distinct()
+            stored = T.StructType([*out.schema.fields, T.StructField("batch", T.LongType())])
+            done = spark.read.schema(stored).parquet(sink).filter(F.col("batch") < batch_id).select(key).distinct()
             out = out.join(done, key, "left_anti")
         out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
