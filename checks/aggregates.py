@@ -2,11 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import BANDS, bands, cells, classed, items, query, r6, r6s, rasters, relief, scored, stack, table
-from checks.joins import BURNED, CUBIC, JUNCTIONS, NEAREST, classed as _classed, placed, print_boxes, raster_scenes, touched_sql
+from checks.base import BANDS, cells, classed, query, r6s, rasters, relief, stack, table
+from checks.joins import BURNED, JUNCTIONS, NEAREST, print_boxes, raster_scenes, touched_sql
 from checks.projections import CHIP, CHIPPED, CHOSEN, relief_chips, rings
 from checks.sources import HYDRO, hydro_layers
-from terracell.functions.hashing import MODULUS  # noqa: F401
 from terracell.operators import augment, burn, catalog, composite, layers, logs, neighbourhood, regrid, spatial, splits
 from terracell.plans.skew import attach_stats
 from terracell.sources import records, vectors

@@ -1,5 +1,7 @@
 """Registry of queries and the views they share."""
 
+import re
+
 from pyspark.sql import functions as F
 
 QUERIES = {}
@@ -85,10 +87,9 @@ def with_views(names, body):
     def need(name):
         if name in ordered:
             return
-        for other in VIEWS:
-            if other != name and f"FROM {other}" in VIEWS[name].replace(")", " ").replace("\n", " "):
-                if f"FROM {other} " in VIEWS[name].replace(")", " ").replace("\n", " ") + " ":
-                    need(other)
+        for other in re.findall(r"FROM (\w+)", VIEWS[name]):
+            if other in VIEWS:
+                need(other)
         ordered.append(name)
 
     for name in names:

@@ -2,15 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import bands, canvas, cells, classed, features, items, prints, query, r6s, rasters, relief, scored, stack, table, zones
-from checks.projections import ALONG, CLIP_OUT, CLIPPED, POINT_SEGMENT, rings
-from terracell.functions import geometry as G
-from terracell.operators import burn, catalog, composite, layers, regrid, spatial, splits
-from terracell.plans.skew import attach_stats
+from checks.base import bands, canvas, cells, classed, features, prints, query, r6s, rasters, relief, scored, stack, table, zones
+from checks.projections import ALONG, CLIP_OUT, CLIPPED, rings
+from terracell.operators import burn, composite, layers, regrid, spatial, splits
 from terracell.sources.manifests import existing, pending
 
-BOX = F.struct
-
 
 def print_boxes(spark, folder):
     return prints(spark, folder).select("fid", "file_name", F.struct("w", "s", "e", "n").alias("box"))
@@ -224,7 +220,6 @@ def j13(spark, folder):
     "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) AND p_partkey IN (SELECT s_suppkey FROM supplier)",
 )
 def j14(spark, folder):
-    key = F.lit(None)
     lines = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
     sup = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("p_partkey"))
     return existing(table(spark, folder, "part").select("p_partkey", "p_name"), [lines, sup], "p_partkey")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import BANDS, bands, cells, classed, features, items, prints, query, r6, r6s, rasters, relief, scored, stack, table, zones
+from checks.base import BANDS, bands, cells, classed, features, items, prints, query, r6, r6s, rasters, relief, stack, table, zones
 from terracell.functions import affine, bands as B, classes, geodesy, geometry as G, names
 from terracell.operators import augment, catalog, layers
 

@@ -2,11 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import cells, prints, query, r6s, rasters, relief, table
+from checks.base import cells, prints, query, r6s, rasters, table
 from terracell.functions.names import padded_key
 from terracell.model import blocks_to_cells, cells_to_blocks
 from terracell.operators.grids import to_chips
-from terracell.operators.metrics import confusion
 from terracell.plans.lineage import scratch_path
 from terracell.sources import layers, manifests, records, vectors
 

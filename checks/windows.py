@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import cells, history, mark, query, r6, r6s, rasters, relief, scored, stack, table
+from checks.base import history, mark, query, r6s, relief, scored, stack, table
 from checks.aggregates import composite_sql
 from terracell.operators import catalog, composite, logs, neighbourhood as N, splits
 

@@ -44,7 +44,6 @@ def compare(spark, con, folder, name, fn, sql):
     theirs = [tuple(_plain(row[i]) for i in order) for row in theirs_raw.fetchall()]
     kinds = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema}
     wrong = {n: (kinds[n], described[n]) for n in names if kinds[n] != described[n]}
-    key = lambda row: tuple((v is None, str(type(v)), v) if v is not None else (True, "", 0) for v in row)
     loose = lambda rows: sorted(rows, key=lambda row: tuple((v is None, str(v)) for v in row))
     a, b = loose(ours), loose(theirs)
     if len(a) != len(b):

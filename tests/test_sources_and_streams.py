@@ -1,6 +1,5 @@
 """Sinks read back, streams equal batches, plans run end to end."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from terracell.operators.metrics import confusion, confusion_columns
