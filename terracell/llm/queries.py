@@ -61,3 +61,25 @@ def op9(spark, folder):
     from terracell.llm.sharding import shard_by_bytes
 
     return shard_by_bytes(table(spark, folder, "documents"), shards=40)
+
+
+OP4_SQL = r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+iw AS (SELECT item_id, ws, len(ws) AS m, least(13, len(ws)) AS n FROM (SELECT item_id::VARCHAR AS item_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark) WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(ws[s:s+n-1], ' ') AS g FROM (SELECT *, unnest(range(1, m-n+2)) AS s FROM iw)),
+dg AS (SELECT doc_id, n, s, array_to_string(ws[s:s+n-1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws)-n+2)) AS s FROM dw, (SELECT DISTINCT n FROM win))),
+hit AS (SELECT doc_id, s, n, item_id FROM dg JOIN win USING (n, g)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s+n)) AS p FROM (SELECT DISTINCT doc_id, s, n FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
+@query("op4_decontamination", OP4_SQL)
+def op4(spark, folder):
+    from terracell.llm.decontaminate import judge
+
+    return judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
