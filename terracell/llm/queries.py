@@ -83,3 +83,19 @@ def op4(spark, folder):
     from terracell.llm.decontaminate import judge
 
     return judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS p, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
+j AS (SELECT k.*, first IS NULL OR first = doc_id AS stays FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE NOT stays)::BIGINT AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE stays), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+
+
+@query("op6_line_dedup", OP6_SQL)
+def op6(spark, folder):
+    from terracell.llm.line_dedup import dedup_report
+
+    return dedup_report(table(spark, folder, "documents"))
