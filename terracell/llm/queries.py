@@ -99,3 +99,10 @@ def op6(spark, folder):
     from terracell.llm.line_dedup import dedup_report
 
     return dedup_report(table(spark, folder, "documents"))
+
+
+@query("op3_packing")
+def op3(spark, folder):
+    from terracell.llm.packing import pieces
+
+    return pieces(table(spark, folder, "documents"))
