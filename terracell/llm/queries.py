@@ -106,3 +106,10 @@ def op3(spark, folder):
     from terracell.llm.packing import pieces
 
     return pieces(table(spark, folder, "documents"))
+
+
+@query("op10_jaccard_join")
+def op10(spark, folder):
+    from terracell.llm.jaccard_join import classes
+
+    return classes(table(spark, folder, "documents"))
