@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terracell.llm.common import numbered_by, parallelism, written
+from terracell.plans.skew import salted_join
 
 OVERHEAD = 16
 WHOLE_GROUP = 0.01
@@ -33,7 +34,7 @@ def shard_by_bytes(docs, shards, id="doc_id", text="text", overhead=OVERHEAD, wh
     group = ["_h", "size", "text_crc32"]
     groups = placed.groupBy(*group).agg(F.min("_before").alias("_start"), F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
     groups = groups.filter((F.col("_n") > 1) & (F.col("_bytes") <= total / shards * whole_group))
-    moved = placed.join(groups.select(*group, "_start"), group, "left")
+    moved = salted_join(placed, groups.select(*group, "_start"), group, "left", salt_on=["_id"])
     at = F.expr(f"coalesce(_start, _before) * {shards} div {total}")
     moved = moved.withColumn("shard", F.least(at, F.lit(shards - 1)).cast("int")).drop("_start")
     # shards are runs of the global order, so a row's slot is its rank minus the rank of the shard's first row
