@@ -113,3 +113,10 @@ def op10(spark, folder):
     from terracell.llm.jaccard_join import classes
 
     return classes(table(spark, folder, "documents"))
+
+
+@query("op7_token_counts")
+def op7(spark, folder):
+    from terracell.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, folder, "documents"))
