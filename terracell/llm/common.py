@@ -156,6 +156,20 @@ def text_bytes(column):
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]
 
 
+def chunks(batches, size):
+    """Lists of ids and of texts (bytes) of about ``size`` bytes from Arrow batches of (id, text)."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+            ids.append(i), texts.append(t)
+            held += len(t)
+            if held >= size or len(ids) == 65_535:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def token_file(name):
     """Path of a public tokenizer's file; ``TERRACELL_TOKENIZERS`` names another folder."""
     folder = os.environ.get("TERRACELL_TOKENIZERS")

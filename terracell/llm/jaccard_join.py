@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terracell.llm.common import free_name, mix64, parallelism, shingle_hashes, text_bytes, word_hashes, written
+from terracell.llm.common import chunks, free_name, mix64, parallelism, shingle_hashes, word_hashes, written
 
 K = 4
 THRESHOLD = 85  # per cent
@@ -51,20 +51,6 @@ def _sets(texts, k):
     return h, doc, np.bincount(doc, minlength=len(texts)).astype(np.int64)
 
 
-def _chunks(batches, size):
-    """Runs of (id, text) of about ``size`` bytes."""
-    ids, texts, held = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-            ids.append(i), texts.append(t)
-            held += len(t)
-            if held >= size or len(ids) == 65_535:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 # --- 1: shared shingles per document ---
 
 _PARTS = pa.schema([("fragment", pa.int32()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary())])
@@ -88,7 +74,7 @@ def _fragments(k, fragments):
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32
-        for n, (ids, texts) in enumerate(_chunks(batches, CHUNK_BYTES)):
+        for n, (ids, texts) in enumerate(chunks(batches, CHUNK_BYTES)):
             h, doc, sizes = _sets(texts, k)
             mixed = mix64(h.copy())
             ends = np.concatenate(([0], np.cumsum(sizes)))
@@ -122,13 +108,13 @@ _COUNTS = pa.schema([("chunk", pa.int64()), ("header", pa.binary()), ("docs", pa
 
 def _shared(key, table):
     """Per chunk the documents of the fragment's tokens that another chunk has too, one entry per token."""
-    chunks, tokens, docs = (table.column(c).to_pylist() for c in ("chunk", "tokens", "docs"))
+    names, tokens, docs = (table.column(c).to_pylist() for c in ("chunk", "tokens", "docs"))
     if key[0].as_py() < 0:
-        return pa.table({"chunk": chunks, "header": tokens, "docs": docs}, schema=_COUNTS)
+        return pa.table({"chunk": names, "header": tokens, "docs": docs}, schema=_COUNTS)
     tokens = [_unpack(t) for t in tokens]
     sizes, token = np.array([len(t) for t in tokens]), np.concatenate(tokens)
     owner = np.concatenate([np.frombuffer(o, np.uint16) for o in docs])
-    at = np.repeat(np.arange(len(chunks)), sizes)
+    at = np.repeat(np.arange(len(names)), sizes)
     order = np.argsort(token, kind="stable")
     ranked = token[order]
     same = ranked[1:] == ranked[:-1]
@@ -137,8 +123,8 @@ def _shared(key, table):
     hit[order[:-1]] |= same
     hit &= owner != 65535
     at, owner = at[hit], owner[hit]
-    ends = np.searchsorted(at, np.arange(len(chunks) + 1))
-    out = [(c, None, owner[ends[i] : ends[i + 1]].tobytes()) for i, c in enumerate(chunks) if ends[i + 1] > ends[i]]
+    ends = np.searchsorted(at, np.arange(len(names) + 1))
+    out = [(c, None, owner[ends[i] : ends[i + 1]].tobytes()) for i, c in enumerate(names) if ends[i + 1] > ends[i]]
     return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_COUNTS)], schema=_COUNTS)
 
 
@@ -170,7 +156,7 @@ def sizes(docs, k, fragments):
 
 def _tokens(k):
     def run(batches):
-        for ids, texts in _chunks(batches, CHUNK_BYTES):
+        for ids, texts in chunks(batches, CHUNK_BYTES):
             h, doc, n = _sets(texts, k)
             parts = np.split(h, np.cumsum(n)[:-1])
             yield pa.RecordBatch.from_arrays(

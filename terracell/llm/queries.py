@@ -141,3 +141,10 @@ def op2(spark, folder):
 
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return judge(table(spark, folder, "pages"), rules)
+
+
+@query("op1_importance_resampling")
+def op1(spark, folder):
+    from terracell.llm.resample import resample
+
+    return resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
