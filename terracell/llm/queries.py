@@ -148,3 +148,10 @@ def op1(spark, folder):
     from terracell.llm.resample import resample
 
     return resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_html_extraction")
+def op5(spark, folder):
+    from terracell.llm.html_text import extract
+
+    return extract(table(spark, folder, "pages"))
