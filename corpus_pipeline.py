@@ -10,11 +10,43 @@ def quality_rules(spark, docs, sf_dir):
     return kept_documents(docs)
 
 
+def line_dedup(spark, docs, sf_dir):
+    """Lines that an earlier document has go; the texts that stay keep all other lines."""
+    from terracell.llm.line_dedup import dedup_documents
+
+    return dedup_documents(docs, chars="n_chars")
+
+
+def jaccard_join(spark, docs, sf_dir):
+    """Of each group of near copies the document of the smallest id stays."""
+    from terracell.llm.jaccard_join import distinct_documents
+
+    return distinct_documents(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that benchmark windows cover in part go."""
+    from terracell.llm.decontaminate import clean_documents
+
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark, docs, sf_dir):
+    """Token sequences of at most 1024 ids, one row per piece."""
+    from terracell.llm.packing import pack
+
+    return pack(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
 ]
 
-# Later stages need word windows, connected components and a tokenizer, which SQL can't express.
+# Connected components and a tokenizer are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
@@ -24,5 +56,5 @@ def run(spark, sf_dir):
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
+            docs = written(docs, name.replace(" ", "-").lower())
     return docs
