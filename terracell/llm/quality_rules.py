@@ -84,13 +84,15 @@ def repeated(words, n=3):
 
 
 def measure(df, text):
-    """``df`` with the measures appended; ``df`` must hold none of their names (callers select first)."""
+    """``df`` with the measures appended; ``df`` must hold none of their names (callers select first).
+
+    What is built on the measures goes through :func:`once`.
+    """
     t = F.col("_text")
     df = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumns({"_words": words_of(t), "_lines": F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")})
     grams, twice, covered = repeated(F.col("_words"))
     df = df.withColumn("_grams", grams).withColumn("_at", twice(F.col("_grams")))
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
     df = df.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
@@ -100,6 +102,7 @@ def measure(df, text):
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": covered(F.col("_at")),
             "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))).cast("long"),
+            "_n": F.monotonically_increasing_id(),
         }
     )
     return df.drop("_text", "_words", "_lines", "_grams", "_at")
@@ -108,18 +111,25 @@ def measure(df, text):
 MEASURED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
 
 
+def once(column):
+    """``column``, tied to the row number of :func:`measure`.
+
+    The optimiser moves filters below projections and copies each measure into them, once for every use; it does
+    not move them below a row number.
+    """
+    return F.when(F.col("_n") >= 0, column)
+
+
 def judge(docs, rules=RULES, id="doc_id", text="text"):
     """One row per document: its id, the measures, ``base_failed`` and ``kept``."""
     out = measure(docs.select(F.col(id).alias("_id"), F.col(text).alias("_raw")), "_raw").drop("_raw")
-    out = out.withColumns({"base_failed": ~compile_rules(BASE), "kept": compile_rules(rules)})
-    return out.select(F.col("_id").alias(id), *MEASURED, "base_failed", "kept")
+    verdicts = {"base_failed": ~compile_rules(BASE), "kept": compile_rules(rules)}
+    return out.select(F.col("_id").alias(id), *[once(F.col(c)).alias(c) for c in MEASURED], *[once(v).alias(c) for c, v in verdicts.items()])
 
 
 def kept_documents(docs, rules=RULES, text="text"):
     """The documents that keep every rule, with their own columns. ``rules`` should begin with those of ``BASE``."""
     whole = free_name(docs, "_row")
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(whole), F.col(text).alias("_raw"))
-    # the row number keeps the optimiser from copying the measures into the filter, once for every use
-    out = measure(held, "_raw").select(whole, compile_rules(rules).alias("_kept"), F.monotonically_increasing_id().alias("_n"))
-    out = out.filter("_kept and _n >= 0")
+    out = measure(held, "_raw").filter(once(compile_rules(rules)))
     return out.select(*[F.col(whole)[c].alias(c) for c in docs.columns])
