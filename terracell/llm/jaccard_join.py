@@ -189,42 +189,50 @@ def _segments(fragments):
     return run
 
 
-_RARE = pa.schema([("doc", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
-
-
-def _frequencies(key, table):
-    """The fragment's shingles that two or more documents have, per document, with how many have them."""
-    doc = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
-    token = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()])
-    _, back, counts = np.unique(token, return_inverse=True, return_counts=True)
-    count = counts[back]
-    order = np.flatnonzero(count > 1)
-    order = order[np.argsort(doc[order], kind="stable")]
-    doc, token, count = doc[order], token[order], count[order].astype(np.int64)
-    ids, starts = np.unique(doc, return_index=True)
-    ends = np.append(starts[1:], len(doc))
-    return pa.table(
-        [pa.array(ids), pa.array([token[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()), pa.array([count[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())],
-        schema=_RARE,
-    )
+_RARE = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("tokens", pa.binary()), ("counts", pa.binary())])
+
+
+def _frequencies(buckets):
+    """The fragment's shingles that two or more documents have, with how many have them, by bucket of documents."""
+
+    def run(key, table):
+        doc = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
+        token = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()])
+        _, back, counts = np.unique(token, return_inverse=True, return_counts=True)
+        count = counts[back]
+        order = np.flatnonzero(count > 1)
+        bucket = doc[order] % buckets
+        order, bucket = order[np.argsort(bucket, kind="stable")], np.sort(bucket)
+        doc, token, count = doc[order], token[order], count[order].astype(np.int64)
+        used, starts = np.unique(bucket, return_index=True)
+        cut = lambda x: pa.array([part.tobytes() for part in np.split(x, starts[1:])] if len(used) else [], pa.binary())
+        return pa.table([pa.array(used), cut(doc), cut(token), cut(count)], schema=_RARE)
+
+    return run
 
 
 _PREFIX = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("i", pa.int64())])
 
 
 def _prefix(threshold):
-    """The necessary prefix of a document in rarity order, without the shingles that only it has."""
-
-    def run(key, table):
-        n = table.column("n")[0].as_py()
-        token = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()])
-        count = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-        length = n - -(-threshold * n // 100) + 1
-        alone = n - len(token)
-        order = np.lexsort((token, count))[: max(0, length - alone)]
-        i = alone + np.arange(len(order))
-        same = np.full(len(order), 1, np.int64)
-        return pa.table([pa.array(token[order].view(np.int64)), pa.array(same * key[0].as_py()), pa.array(same * n), pa.array(i)], schema=_PREFIX)
+    """The necessary prefixes of a bucket's documents in rarity order, without shingles that only one has."""
+
+    def run(key, rare, sized):
+        if not rare.num_rows:
+            return _PREFIX.empty_table()
+        doc, token, count = (
+            np.concatenate([np.frombuffer(x, kind) for x in rare.column(c).to_pylist()]) for c, kind in (("docs", np.int64), ("tokens", np.uint64), ("counts", np.int64))
+        )
+        order = np.lexsort((token, count, doc))
+        doc, token = doc[order], token[order]
+        ids, starts, shared = np.unique(doc, return_index=True, return_counts=True)
+        known, sizes = sized.column("doc").to_numpy(), sized.column("n").to_numpy()
+        by = np.argsort(known)
+        n = sizes[by][np.searchsorted(known[by], ids)]
+        i = np.arange(len(doc)) - np.repeat(starts - (n - shared), shared)
+        n = np.repeat(n, shared)
+        inside = i < n - -(-threshold * n // 100) + 1
+        return pa.table([pa.array(x[inside]) for x in (token.view(np.int64), doc, n, i)], schema=_PREFIX)
 
     return run
 
@@ -396,9 +404,9 @@ def classes(docs, id="doc_id", text="text", k=K, threshold=THRESHOLD, fragments=
     held = written(_one_set_each(held), "sets-one")
 
     segments = held.select("doc", "tokens").mapInArrow(_segments(fragments), "fragment int, docs binary, tokens binary")
-    rare = segments.groupBy("fragment").applyInArrow(_frequencies, "doc bigint, tokens binary, counts binary")
-    rare = rare.join(held.select("doc", "n"), "doc")
-    postings = rare.groupBy("doc").applyInArrow(_prefix(threshold), "token bigint, doc bigint, n bigint, i bigint")
+    rare = segments.groupBy("fragment").applyInArrow(_frequencies(fragments), "bucket bigint, docs binary, tokens binary, counts binary")
+    sized_left = held.select("doc", "n", F.pmod("doc", F.lit(fragments)).alias("bucket"))
+    postings = rare.groupBy("bucket").cogroup(sized_left.groupBy("bucket")).applyInArrow(_prefix(threshold), "token bigint, doc bigint, n bigint, i bigint")
     postings = written(postings, "postings")
 
     near = written(verified(_near(postings, threshold), segments, fragments, threshold), "near")
