@@ -12,8 +12,8 @@ documents they are not contaminated, as items they have no window. A window repe
 counts for each item holding it. Repeated document rows are judged each on its own, repeated item rows count once per
 distinct item_id; items without an id are ignored. Empty tables give no rows, or no hits.
 
-``small`` bounds the shingles and anchors that are broadcast. A larger benchmark is joined by exchanging the shingles
-of the documents instead.
+``small`` bounds the rows of whatever is broadcast (shingles, anchors, items, ids of documents that were met). Beyond
+it the same joins exchange their rows instead.
 """
 
 from pyspark.sql import functions as F
@@ -103,21 +103,18 @@ def hits(docs, benchmark, id="doc_id", text="text", item_id="item_id", item_text
     wanted = items.select(F.explode(F.expr("sequence(0, m - k)")).alias("p"), "w", "k")
     wanted = wanted.select(F.xxhash64("k", F.get("w", F.col("p")), *[_word_or_nothing("w", j) for j in (1, 2)]).alias("g")).distinct()
     wanted = written(wanted, "shingles")
-    seen = _exploded(rows, sizes, []).join(_maybe_broadcast(wanted, wanted.count(), small), "g", "left_semi")
+    # the places of benchmark shingles in the documents: what follows works on these alone
+    seen = _exploded(rows, sizes, ["d"]).join(_maybe_broadcast(wanted, wanted.count(), small), "g", "left_semi")
+    seen = written(seen, "seen")
     counts = written(seen.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "counts")
-    anchors = written(_anchors(items, counts), "anchors")
-
-    n_anchors = anchors.count()
-    if n_anchors <= small:
-        side = F.broadcast(anchors.withColumnRenamed("w", "v"))
-        found = _exploded(rows, sizes, ["d", "w"]).join(side, "g")
-    else:
-        # too many anchors to broadcast: exchange shingles, then fetch the words of the documents that matched
-        slim = anchors.drop("w").withColumnRenamed("g", "a")
-        met = _exploded(rows, sizes, ["d"]).join(slim, F.col("g") == F.col("a")).drop("a")
-        words = items.select("item", F.col("w").alias("v"))
-        found = met.join(words, "item").join(rows, "d")
-    found = found.filter((F.col("p") >= F.col("before")) & (F.col("p") + F.col("k") + F.col("after") <= F.size("w")))
+    anchors = written(_anchors(items, counts).drop("w"), "anchors")
+    met = seen.join(_maybe_broadcast(anchors, anchors.count(), small), "g").filter("p >= before")
+    met = written(met, "met")
+    named = written(met.select("d").distinct(), "named")
+    words = rows.join(_maybe_broadcast(named, named.count(), small), "d", "left_semi")
+    sides = items.select("item", F.col("w").alias("v"))
+    found = met.join(words, "d").join(_maybe_broadcast(sides, items.count(), small), "item")
+    found = found.filter(F.col("p") + F.col("k") + F.col("after") <= F.size("w"))
     limit = WINDOW - 1
     found = found.withColumns({"left": _equal_run(F.col("w"), F.col("v"), -1, limit), "right": _equal_run(F.col("w"), F.col("v"), 1, limit)})
     return found.filter(F.col("left") + F.col("k") + F.col("right") >= F.col("n")).select(
