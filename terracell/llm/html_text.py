@@ -107,7 +107,7 @@ def blocks(html):
 def features(found):
     """Names of the features of each block of a page."""
     out = []
-    for i, (text, linked, above) in enumerate(found):
+    for text, linked, above in found:
         tags = [tag for tag, _, _ in above]
         near = [t for t in tags if t in BLOCKS][-1:]
         names = {"bias", *(f"tag:{t}" for t in tags if t in BLOCKS), *(f"leaf:{t}" for t in near)}
@@ -119,11 +119,10 @@ def features(found):
             names.add("sentence end")
         if re.search(r"©|\(c\)", text):
             names.add("sign")
-        if i == 0:
-            names.add("first")
-        if i == len(found) - 1:
-            names.add("last")
         out.append(sorted(names))
+    if len(out) > 3:
+        out[0].append("first")
+        out[-1].append("last")
     return out
 
 
