@@ -52,7 +52,7 @@ def _score(weights):
     def run(batches):
         for ids, texts in chunks(batches, CHUNK_BYTES):
             bucket, text = buckets_of(texts, len(weights))
-            total = np.bincount(text, weights=weights[bucket], minlength=len(texts))
+            total = np.bincount(text, weights=weights[bucket], minlength=len(texts)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total)], names=["doc", "log_weight"])
 
     return run
