@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import BANDS, cells, classed, query, r6s, rasters, relief, stack, table
-from checks.joins import BURNED, JUNCTIONS, NEAREST, print_boxes, raster_scenes, touched_sql
+from checks.joins import BURNED, CLASSED_ENDS, CLASSED_LINES, JUNCTIONS, NEAREST, junction_sql, print_boxes, raster_scenes, touched_sql
 from checks.projections import CHIP, CHIPPED, CHOSEN, relief_chips, rings
 from checks.sources import HYDRO, hydro_layers
 from terracell.operators import augment, burn, catalog, composite, layers, logs, neighbourhood, regrid, spatial, splits
@@ -115,6 +115,17 @@ def a8(spark, folder):
     return r6s(layers.missing_share(chips, [*CHIP, "layer"]), "missing_share")
 
 
+@query(
+    "a8_missing_share_of_area",
+    f"SELECT scene_id, chip_r0, chip_c0, round(1-count(CASE WHEN (r%8+c%8)%5<>0 THEN v END)/64e0,6)+0e0 AS missing_share FROM {CHIPPED} WHERE (r%8*3+c%8)%7<>0 GROUP BY ALL",
+    ["relief"],
+)
+def a8_area(spark, folder):
+    chips = relief_chips(spark, folder).filter((F.col("r") % 8 * 3 + F.col("c") % 8) % 7 != 0)
+    holed = chips.withColumn("v", F.when((F.col("r") % 8 + F.col("c") % 8) % 5 != 0, F.col("v")).otherwise(F.lit(float("nan"))))
+    return r6s(layers.missing_share(holed, CHIP, area=64), "missing_share")
+
+
 @query(
     "a8_tolerated_chips",
     f"SELECT scene_id, chip_r0, chip_c0 FROM {CHIPPED} GROUP BY ALL HAVING avg(CASE WHEN v IS NULL THEN 1 ELSE 0 END)<0.02e0", ["relief"],
@@ -123,9 +134,9 @@ def a8_chips(spark, folder):
     return layers.tolerated_chips(relief_chips(spark, folder).withColumn("layer", F.lit("elevation")), CHIP, limit=0.02)
 
 
-@query("a9_lines_per_end_point", "SELECT scene_id, x, y, count(DISTINCT fid) AS lines FROM (SELECT scene_id, fid, x0 AS x, y0 AS y FROM classed UNION ALL SELECT scene_id, fid, x1, y1 FROM classed) GROUP BY ALL HAVING count(DISTINCT fid)>=2", ["classed"])
+@query("a9_lines_per_end_point", f"SELECT * FROM {junction_sql(CLASSED_ENDS, CLASSED_LINES, 2)}", ["classed"])
 def a9(spark, folder):
-    return burn.junctions(burn.end_points(classed(spark, folder)), least=2)
+    return burn.line_junctions(classed(spark, folder), 4.0, least=2)
 
 
 @query("a10_rebased_elevation", "SELECT scene_id, r, c, v-min(v) OVER (PARTITION BY scene_id) AS v FROM relief", ["relief"])

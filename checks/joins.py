@@ -153,7 +153,22 @@ def touched_sql(source, d):
 
 
 BURNED = f"""(SELECT scene_id, cast(r AS int) AS r, cast(c AS int) AS c, max(cls) AS label FROM {touched_sql('classed', '0.3e0')} GROUP BY scene_id, r, c)"""
-JUNCTIONS = "(SELECT scene_id, x, y, count(DISTINCT fid) AS lines FROM (SELECT scene_id, fid, x0 AS x, y0 AS y FROM classed UNION ALL SELECT scene_id, fid, x1, y1 FROM classed) GROUP BY ALL HAVING count(DISTINCT fid)>2)"
+
+
+def junction_sql(ends, segments, least=3):
+    """Line ends lying on at least ``least`` lines (feature and part); both inputs are SQL with scene_id, fid, part."""
+    return f"""(SELECT p.scene_id, x, y, count(DISTINCT (s.fid, s.part)) AS lines FROM (SELECT DISTINCT scene_id, x, y FROM {ends}) p JOIN {segments} s ON p.scene_id=s.scene_id
+    AND x BETWEEN least(x0,x1) AND greatest(x0,x1) AND y BETWEEN least(y0,y1) AND greatest(y0,y1) AND (x1-x0)*(y-y0)=(y1-y0)*(x-x0)
+    GROUP BY ALL HAVING count(DISTINCT (s.fid, s.part))>={least})"""
+
+
+CLASSED_ENDS = "(SELECT scene_id, x0 AS x, y0 AS y FROM classed UNION ALL SELECT scene_id, x1, y1 FROM classed)"
+CLASSED_LINES = "(SELECT *, 0 AS part FROM classed)"
+JUNCTIONS = junction_sql(CLASSED_ENDS, CLASSED_LINES)
+# two-segment lines, two of them to a feature, with a vertex in the middle
+POLYLINES = """(SELECT scene_id, fid//8 AS fid, cast(fid%8 AS int) AS part, seq, CASE seq WHEN 0 THEN x0 ELSE x0+2 END AS x0, CASE seq WHEN 0 THEN y0 ELSE y0+2 END AS y0,
+    CASE seq WHEN 0 THEN x0+2 ELSE x1 END AS x1, CASE seq WHEN 0 THEN y0+2 ELSE y1 END AS y1 FROM classed, (SELECT unnest([0,1]) AS seq))"""
+POLYLINE_ENDS = "(SELECT scene_id, x0 AS x, y0 AS y FROM classed UNION ALL SELECT scene_id, x1, y1 FROM classed)"
 
 
 def placed(spark, folder):
@@ -200,7 +215,16 @@ def j10_fill(spark, folder):
 
 @query("j11_junctions", f"SELECT * FROM {JUNCTIONS}", ["classed"])
 def j11(spark, folder):
-    return burn.junctions(burn.end_points(classed(spark, folder)))
+    return burn.line_junctions(classed(spark, folder), 4.0)
+
+
+@query("j11_junctions_of_polylines", f"SELECT * FROM {junction_sql(POLYLINE_ENDS, POLYLINES)}", ["classed"])
+def j11_polylines(spark, folder):
+    lines = classed(spark, folder).withColumns({"part": (F.col("fid") % 8).cast("int"), "fid": F.expr("fid div 8")})
+    mid = {"mx": F.col("x0") + 2, "my": F.col("y0") + 2}
+    piece = lambda seq, *at: F.struct(F.lit(seq).alias("seq"), *[F.col(c).alias(k) for c, k in zip(at, ("x0", "y0", "x1", "y1"))])
+    both = lines.withColumns(mid).select("scene_id", "fid", "part", F.inline(F.array(piece(0, "x0", "y0", "mx", "my"), piece(1, "mx", "my", "x1", "y1"))))
+    return burn.line_junctions(both, 4.0)
 
 
 @query("j12_images_with_scene_class", "SELECT scene_id, item_id, r, c, b08, scl FROM stack", ["stack"])

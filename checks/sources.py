@@ -120,6 +120,18 @@ def s8(spark, folder):
     return layers.read_layer(spark, path, "image")
 
 
+@query("s8_read_layer_in_bounds", "SELECT scene_id, r, c, v FROM rasters WHERE scene_id BETWEEN 20 AND 30 AND NOT (scene_id=20 AND c<3)", ["rasters"])
+def s8_bounds(spark, folder):
+    cells = rasters(spark, folder)
+    scenes = cells.select("scene_id").distinct().select(
+        "scene_id", (F.col("scene_id") * 10.0).alias("w"), F.lit(8.0).alias("n"), F.lit(1.0).alias("x_res"), F.lit(1.0).alias("y_res"), F.lit(8).alias("height"), F.lit(8).alias("width")
+    )
+    path = scratch_path(spark, "bounded")
+    layers.write_layer(cells, path, "image", scenes=scenes)
+    # the bounds begin inside scene 20
+    return layers.read_layer(spark, path, "image", (203.5, 0.0, 308.0, 8.0)).drop("layer")
+
+
 @query(
     "s8_resized_raster_metadata",
     "SELECT fid, w, s, e, n, round(2e0/416,9) AS x_res, round(2e0/832,9) AS y_res, 832 AS height, 416 AS width FROM prints",
@@ -165,7 +177,7 @@ METRIC_NAMES = ("click", "error", "purchase", "signup", "view")
 @query(
     "s11_training_log",
     "SELECT cast(day(ts) AS int) AS epoch, user_id AS data_index, "
-    + ", ".join(f"round(avg(CASE WHEN event_type='{m}' THEN floor(value) END),6)+0e0 AS wwm_{m}" for m in METRIC_NAMES)
+    + ", ".join(f"round(avg(CASE WHEN event_type='{m}' THEN floor(value) END),6)+0e0 AS net_{m}" for m in METRIC_NAMES)
     + " FROM events GROUP BY ALL",
 )
 def s11(spark, folder):
@@ -173,10 +185,10 @@ def s11(spark, folder):
     rows = table(spark, folder, "events").select(
         F.dayofmonth("ts").alias("epoch"), F.col("user_id").alias("data_index"), "event_type", F.floor("value").alias("value")
     )
-    log = records.log_rows(rows, ["epoch", "data_index"], "event_type", "value", "wwm", METRIC_NAMES)
+    log = records.log_rows(rows, ["epoch", "data_index"], "event_type", "value", "net", METRIC_NAMES)
     records.append_log(log, path)
-    schema = "data_index long, " + ", ".join(f"wwm_{m} double" for m in METRIC_NAMES) + ", epoch int"
-    return r6s(records.read_log(spark, path, schema), *[f"wwm_{m}" for m in METRIC_NAMES])
+    schema = "data_index long, " + ", ".join(f"net_{m} double" for m in METRIC_NAMES) + ", epoch int"
+    return r6s(records.read_log(spark, path, schema), *[f"net_{m}" for m in METRIC_NAMES])
 
 
 @query(

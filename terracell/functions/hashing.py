@@ -8,8 +8,3 @@ MODULUS = 1000003
 def sample_hash(key, seed=0):
     """0..MODULUS-1; meant for integer keys below about 3e9."""
     return (key.cast("long") * F.lit(2654435761) + F.lit(seed * 40503)) % F.lit(MODULUS)
-
-
-def text_hash(key, seed=0):
-    """The same range for text keys."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(MODULUS))

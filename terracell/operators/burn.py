@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from terracell.functions.classes import JUNCTION_CLASS
+from terracell.functions.geometry import point_segment_distance
 from terracell.functions.ranges import explode_range
 from terracell.plans.skew import salted_join
 
@@ -103,6 +104,39 @@ def end_points(segments, keys=("scene_id",), feature="fid"):
     return segments.select(*keys, feature, F.inline(F.array(point("x0", "y0"), point("x1", "y1"))))
 
 
+def line_ends(segments, line):
+    """Head and tail of each line.
+
+    With a column ``seq`` they come from its first and last segment. Without, they are the points that an odd number
+    of its segments begin or end at, so a closed line has none, and both points of a segment without length.
+    """
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    if "seq" in segments.columns:
+        ends = segments.groupBy(*line).agg(F.min_by(point("x0", "y0"), "seq").alias("_head"), F.max_by(point("x1", "y1"), "seq").alias("_tail"))
+        return ends.select(*line, F.inline(F.array("_head", "_tail"))).distinct()
+    flat = (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))
+    ends = segments.select(*line, flat.alias("_flat"), F.inline(F.array(point("x0", "y0"), point("x1", "y1"))))
+    kept = ends.groupBy(*line, "x", "y").agg(((F.count(F.lit(1)) % 2 == 1) | F.bool_or("_flat")).alias("_end"))
+    return kept.filter("_end").drop("_end")
+
+
+def line_junctions(segments, bucket, keys=("scene_id",), line=None, least=3, tolerance=1e-9):
+    """Ends of lines that lie on at least ``least`` lines, their own included.
+
+    A line is the segments of one part of one feature; an end may lie on the inside of another line, and a vertex
+    inside its own line is no end. Ends meet the segments of their square buckets of side ``bucket``.
+    """
+    line = list(line or ([*keys, "fid", "part"] if "part" in segments.columns else [*keys, "fid"]))
+    place = lambda v: F.floor(v / F.lit(bucket)).cast("long")
+    points = line_ends(segments, line).select(*keys, "x", "y").distinct().withColumns({"_bx": place(F.col("x")), "_by": place(F.col("y"))})
+    span = lambda a, b: F.explode(F.sequence(place(F.least(a, b) - tolerance), place(F.greatest(a, b) + tolerance)))
+    dealt = segments.select(*line, "x0", "y0", "x1", "y1").withColumn("_bx", span(F.col("x0"), F.col("x1"))).withColumn("_by", span(F.col("y0"), F.col("y1")))
+    far = point_segment_distance(F.col("x"), F.col("y"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    met = points.join(dealt, [*keys, "_bx", "_by"]).filter(far <= tolerance)
+    own = [c for c in line if c not in keys]
+    return met.groupBy(*keys, "x", "y").agg(F.count_distinct(*own).alias("lines")).filter(F.col("lines") >= least)
+
+
 def mark_junctions(labels, near, keys=("scene_id",), junction_class=JUNCTION_CLASS):
     """Labelled cells near a junction become the junction class."""
     cell = [*keys, "r", "c"]
@@ -112,10 +146,14 @@ def mark_junctions(labels, near, keys=("scene_id",), junction_class=JUNCTION_CLA
     return out.withColumn("label", marked).drop("_near")
 
 
-def burn_lines(segments, scenes, d=RADIUS, keys=("scene_id",)):
-    """Label raster of classified segments: touch, highest class, junctions on top."""
+def burn_lines(segments, scenes, d=RADIUS, keys=("scene_id",), bucket=None):
+    """Label raster of classified segments: touch, highest class, junctions on top.
+
+    Segments belong to the line ``fid`` (and ``part``, if there is such a column); ``bucket`` is for
+    :func:`line_junctions`, by default a thousand times ``d``.
+    """
     placed = salted_join(segments, scenes, keys)
     labels = burn(touched_cells(placed, d, keys), keys)
-    points = salted_join(junctions(end_points(segments, keys), keys), scenes, keys)
+    points = salted_join(line_junctions(segments, bucket or 1000 * d, keys), scenes, keys)
     points = points.withColumns({"x0": F.col("x"), "x1": F.col("x"), "y0": F.col("y"), "y1": F.col("y")})
     return mark_junctions(labels, touched_cells(points, 4 * d, keys, keep=()), keys)

@@ -51,9 +51,9 @@ def tiered(items, first_year, cloud, max_cloud, step, min_year):
 
 
 def latest_by_id(items, key="item_id", order="query"):
-    """One row per item, the last query wins."""
+    """One row per item, the last query wins; among equal queries the largest row does."""
     others = [c for c in items.columns if c != key]
-    best = items.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_row"))
+    best = items.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(order, *others)).alias("_row"))
     return best.select(key, *[F.col("_row")[c].alias(c) for c in others])
 
 

@@ -33,14 +33,25 @@ def rebase(df, keys, value="v", scale=1.0):
     return out.withColumn(value, (F.col(value) - F.col("_least")) / F.lit(float(scale))).drop("_least")
 
 
-def missing_share(cells, keys, value="v"):
-    """Share of missing cells per chip and layer."""
-    return cells.groupBy(*keys).agg(F.avg(F.isnull(value).cast("int")).alias("missing_share"))
+def is_value(value):
+    """Neither missing nor NaN nor infinite."""
+    x = F.col(value).cast("double")
+    return F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), F.lit(False))
 
 
-def tolerated_chips(cells, chip_keys, layer="layer", value="v", limit=0.1):
+def missing_share(cells, keys, value="v", area=None):
+    """Share of missing cells per chip and layer.
+
+    ``area`` is the number of cells that a chip has; a cell without a row is then missing like one without
+    a value. Without it the chip's rows are taken as its area.
+    """
+    area = F.count(F.lit(1)) if area is None else F.lit(area)
+    return cells.groupBy(*keys).agg((1 - F.count_if(is_value(value)) / area).alias("missing_share"))
+
+
+def tolerated_chips(cells, chip_keys, layer="layer", value="v", limit=0.1, area=None):
     """Chips none of whose layers lacks ``limit`` or more of its cells."""
-    shares = missing_share(cells, [*chip_keys, layer], value)
+    shares = missing_share(cells, [*chip_keys, layer], value, area)
     return shares.groupBy(*chip_keys).agg(F.bool_and(F.col("missing_share") < limit).alias("ok")).filter("ok").drop("ok")
 
 
@@ -55,11 +66,11 @@ def drop_missing_chips(cells, chip_keys, values):
 
 
 def drop_odd_sized_chips(cells, chip_keys, side):
-    """Remove whole chips that are not ``side`` x ``side``."""
+    """Remove whole chips that are not ``side`` x ``side``, or that lack a cell."""
     size = cells.groupBy(*chip_keys).agg(
-        (F.max("r") - F.min("r") + 1).alias("_h"), (F.max("c") - F.min("c") + 1).alias("_w"), *patch_extent()
+        (F.max("r") - F.min("r") + 1).alias("_h"), (F.max("c") - F.min("c") + 1).alias("_w"), F.count_distinct("r", "c").alias("_n"), *patch_extent()
     )
-    whole = size.filter((F.col("_h") == side) & (F.col("_w") == side)).drop("_h", "_w")
+    whole = size.filter((F.col("_h") == side) & (F.col("_w") == side) & (F.col("_n") == side * side)).drop("_h", "_w", "_n")
     return join_patches(cells, whole, chip_keys, "left_semi")
 
 

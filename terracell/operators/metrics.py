@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from terracell.functions import bands as B
 from terracell.operators.neighbourhood import max_pool, spread, with_halo, without_halo
-from terracell.plans.skew import join_patches, patch_extent
+from terracell.plans.skew import join_patches, numbered, patch_extent
 
 COUNTS = ("num_correct", "num_model_one", "num_target_one", "num_one_correct", "num_wrong")
 
@@ -149,19 +149,25 @@ def boosted_weights(cells, image_ratios, keys, t="t", w="weight"):
 def clip_hard_images(entropies, batch="batch", value="entropy", keep=20, spread_limit=2.5, segment=100_000):
     """Entropy of each image, 0 where above mean + 2.5 deviations of the last ``keep`` batches.
 
-    Batches are reduced to their moments first; the rolling sum then runs over batch numbers cut into
-    segments with a border of ``keep`` batches, so no single task sees the whole history.
+    Batches are reduced to their moments first and numbered; the rolling window then runs over the numbers cut
+    into segments with a border of ``keep`` batches, so no single task sees the whole history. Variances are merged
+    around the window's mean, which does not cancel for large values.
     """
     v = F.col(value)
-    moments = entropies.groupBy(batch).agg(F.count(v).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
+    batches = entropies.select(batch).distinct()
+    # batches are counted, not their numbers: gaps don't shorten the history
+    ranks = numbered(batches.filter(F.col(batch).isNotNull()), [], batch, segment, name="_rank")
+    moments = entropies.groupBy(batch).agg(F.count(v).alias("_n"), F.sum(v).alias("_s"), F.var_pop(v).alias("_q")).join(ranks, batch)
     seg = lambda x: F.floor(x / F.lit(segment))
-    spread_out = moments.withColumn("_seg", F.explode(F.sequence(seg(F.col(batch)), seg(F.col(batch) + keep - 1))))
-    w = Window.partitionBy("_seg").orderBy(batch).rangeBetween(-(keep - 1), 0)
+    spread_out = moments.withColumn("_seg", F.explode(F.sequence(seg(F.col("_rank")), seg(F.col("_rank") + keep - 1))))
+    w = Window.partitionBy("_seg").orderBy("_rank").rowsBetween(-(keep - 1), 0)
     rolled = spread_out.select(
-        batch, "_seg", F.sum("_n").over(w).alias("_n"), F.sum("_s").over(w).alias("_s"), F.sum("_q").over(w).alias("_q")
-    ).filter(seg(F.col(batch)) == F.col("_seg"))
+        batch, "_seg", "_rank", F.sum("_n").over(w).alias("_n"), F.sum("_s").over(w).alias("_s"), F.collect_list(F.struct("_n", "_s", "_q")).over(w).alias("_of")
+    ).filter(seg(F.col("_rank")) == F.col("_seg"))
     mean = F.col("_s") / F.col("_n")
-    deviation = F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0)))
+    off = lambda m: m["_s"] / m["_n"] - mean
+    spread_of = F.aggregate(F.filter("_of", lambda m: m["_n"] > 0), F.lit(0.0), lambda a, m: a + m["_n"] * (m["_q"] + off(m) * off(m)))
+    deviation = F.sqrt(spread_of / F.col("_n"))
     limits = rolled.select(batch, (mean + spread_limit * deviation).alias("_top"))
     out = entropies.join(limits, batch)
     return out.withColumn("clipped", F.when(v > F.col("_top"), F.lit(0.0)).otherwise(v)).drop("_top")

@@ -63,7 +63,8 @@ def features(cells, spec, keys=("scene_id",), label=None):
 def chip_tensors(cells, chip_keys, channels):
     """One row per chip: ``h``, ``w`` and a row-major array per channel.
 
-    Chips must be dense, one row per cell; a chip is bounded by its size.
+    A chip that lacks a cell inside its bounds (a ragged chip) cannot be scored and is left out. Rows are one
+    per cell; a chip is bounded by its size.
     """
     listed = F.array_sort(F.collect_list(F.struct("r", "c", *channels)))
     grouped = cells.groupBy(*chip_keys).agg(
@@ -71,6 +72,7 @@ def chip_tensors(cells, chip_keys, channels):
     )
     of_channel = lambda ch: F.transform("_cells", lambda x: x[ch].cast("double"))
     arrays = [of_channel(ch).alias(ch) for ch in channels]
+    grouped = grouped.filter(F.size("_cells") == F.col("h") * F.col("w"))
     return grouped.select(*chip_keys, "h", "w", *arrays)
 
 

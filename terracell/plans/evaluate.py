@@ -1,7 +1,7 @@
 """Scoring labelled chips and extending the evaluation table."""
 
 from terracell.operators.layers import drop_missing_chips
-from terracell.operators.metrics import evaluation_table, pixel_stats, score_against_labels
+from terracell.operators.metrics import evaluation_table, score_against_labels
 from terracell.operators.scoring import chip_tensors, score_chips, scores_to_cells
 from terracell.sources.manifests import pending
 
@@ -14,8 +14,3 @@ def evaluate_chips(cells, labels, chip_keys, channels, predict, finished=None, p
     good = drop_missing_chips(cells, chip_keys, channels)
     scores = scores_to_cells(score_chips(chip_tensors(good, chip_keys, channels), chip_keys, channels, predict, per_call), chip_keys)
     return evaluation_table(score_against_labels(scores, labels, chip_keys, pool_steps), chip_keys, "score")
-
-
-def summary(table):
-    """Micro averages over all evaluated chips."""
-    return pixel_stats(table)

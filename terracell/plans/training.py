@@ -10,13 +10,16 @@ from terracell.operators.splits import route
 def training_chips(layers, values, size, row_step=None, col_step=None, lists=None, shape=(832, 832), limit=0.1):
     """Join layers, cut lattice chips, drop those with too much missing, attach their split.
 
-    ``values`` names the value column of each layer after the join.
+    ``values`` names the value column of each layer after the join. The layers are joined from all sides, and
+    a chip's area is its side squared, so a cell that a layer does not hold counts as missing there.
     """
-    cells = L.training_layers(layers)
+    cells, *rest = layers
+    for layer in rest:
+        cells = cells.join(layer, list(L.CELL), "full")
     height, width = (F.lit(s) if isinstance(s, int) else s for s in shape)
     chips = to_chips(cells, (height, width), size, row_step, col_step)
     keys = ["scene_id", "chip_r0", "chip_c0"]
-    shares = chips.groupBy(*keys).agg(*[F.avg(F.isnull(v).cast("int")).alias(v) for v in values])
+    shares = chips.groupBy(*keys).agg(*[(1 - F.count_if(L.is_value(v)) / F.lit(size * size)).alias(v) for v in values])
     kept = shares.filter(F.greatest(*values) < limit if len(values) > 1 else F.col(values[0]) < limit).select(*keys)
     chips = chips.join(kept, keys, "left_semi")
     return chips if lists is None else route(chips, lists, "scene_id")

@@ -3,25 +3,48 @@
 from pyspark.sql import functions as F
 
 from terracell.functions.affine import window_bounds
-from terracell.model import blocks_to_cells
+from terracell.model import BLOCK, blocks_to_cells
+from terracell.plans.skew import join_scenes, salted_join
 
 
 def read_layer(spark, path, layer, bounds=None):
-    """Cells of one layer; ``bounds`` (w, s, e, n) prunes row groups by the stored block corners."""
+    """Cells of one layer; ``bounds`` (w, s, e, n) keeps the stored rows (cells or whole blocks) that meet them.
+
+    Bounds need the corners that :func:`write_layer` stores when it is given ``scenes``.
+    """
     blocks = spark.read.parquet(path).filter(F.col("layer") == layer)
-    if bounds is not None and "bw" in blocks.columns:
+    if bounds is not None:
+        if "bw" not in blocks.columns:
+            raise ValueError(f"{path} was written without scenes: it holds no corners to compare with bounds")
         w, s, e, n = bounds
         blocks = blocks.filter((F.col("bw") <= e) & (F.col("be") >= w) & (F.col("bs") <= n) & (F.col("bn") >= s))
-    return blocks_to_cells(blocks, ["scene_id"]) if "data" in blocks.columns else blocks
+    return blocks_to_cells(blocks, ["scene_id"]) if "data" in blocks.columns else blocks.drop("bw", "bs", "be", "bn")
+
 
+def with_corners(df, scenes):
+    """Cells or blocks with the bounds ``bw, bs, be, bn`` of each row, from the scenes' metadata."""
+    blocks = "data" in df.columns
+    meta = scenes.select("scene_id", *[F.col(c).alias(f"_s_{c}") for c in ("w", "n", "x_res", "y_res", "height", "width")])
+    row, col, high, wide = (F.col("br") * BLOCK, F.col("bc") * BLOCK, F.col("h"), F.col("w")) if blocks else (F.col("r"), F.col("c"), F.lit(1), F.lit(1))
+    if blocks:
+        joined = salted_join(df, meta, ["scene_id"], salt_on=["br", "bc"])
+    else:
+        joined = join_scenes(df, meta.withColumns({"height": F.col("_s_height"), "width": F.col("_s_width")})).drop("height", "width")
+    west, north = F.col("_s_w") + col * F.col("_s_x_res"), F.col("_s_n") - row * F.col("_s_y_res")
+    corners = {"bw": west, "be": west + wide * F.col("_s_x_res"), "bn": north, "bs": north - high * F.col("_s_y_res")}
+    return joined.withColumns(corners).drop(*[c for c in joined.columns if c.startswith("_s_")])
 
-def write_layer(df, path, layer, mode="append"):
+
+def write_layer(df, path, layer, mode="append", scenes=None):
     """Write cells or blocks under ``layer=...``, ranged by scene so that row groups hold few scenes.
 
+    With ``scenes`` every row also stores its bounds, by which :func:`read_layer` can select.
+
     One directory per layer, not per scene: with millions of scenes the directories would outnumber the
     data, while min/max statistics on ``scene_id`` prune as well.
     """
     # the position within the scene takes part, so that one large scene is written by several tasks
+    df = df if scenes is None else with_corners(df, scenes)
     order = ["scene_id", *[c for c in ("br", "bc", "r", "c") if c in df.columns]]
     ordered = df.withColumn("layer", F.lit(layer)).repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.write.mode(mode).partitionBy("layer").parquet(path)

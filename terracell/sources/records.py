@@ -32,18 +32,28 @@ def read_log(spark, path, schema):
     return spark.read.schema(schema).option("header", "true").csv(path)
 
 
+def _one_per_key(rows, on):
+    """The largest row of each key."""
+    others = [c for c in rows.columns if c != on]
+    best = rows.groupBy(on).agg(F.max(F.struct(*others)).alias("_row"))
+    return best.select(*[F.col("_row")[c].alias(c) if c != on else F.col(on) for c in rows.columns])
+
+
+def _exists(spark, path):
+    """Whether ``path`` is there, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def extended(old, new, on="file_name"):
-    """Stored rows plus the new rows whose key is not stored yet; columns may differ."""
-    fresh = new.join(old.select(on).distinct(), on, "left_anti")
+    """Stored rows plus one new row for each key that is not stored yet; columns may differ."""
+    fresh = _one_per_key(new, on).join(old.select(on).distinct(), on, "left_anti")
     return old.unionByName(fresh, allowMissingColumns=True)
 
 
 def append_stats(spark, new, path, on="file_name"):
-    """Extend an evaluation table on disk; a restart adds only images not scored yet."""
-    try:
-        stored = spark.read.parquet(path).select(on).distinct()
-        new = new.join(stored, on, "left_anti")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    """Extend an evaluation table on disk; a restart adds only images not scored yet, each once."""
+    new = _one_per_key(new, on)
+    if _exists(spark, path):
+        new = new.join(spark.read.parquet(path).select(on).distinct(), on, "left_anti")
     new.write.mode("append").parquet(path)

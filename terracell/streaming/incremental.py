@@ -4,8 +4,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def process_new(source, transform, sink, checkpoint, key):
-    """Transform arriving rows and append those whose ``key`` is not in the sink yet.
+def process_new(source, transform, sink, checkpoint, key, part=None):
+    """Transform arriving rows and append those that no earlier batch has brought.
+
+    A scene (``key``) may arrive in pieces: ``part`` names the columns of the result that tell its pieces apart (file,
+    block, cell), by default all of them. A piece that came before is left out, a further piece of a known scene is not.
+    Pieces are compared by a 64-bit hash, the only column besides ``key`` that is read back from the sink.
 
     Each micro-batch overwrites its own ``batch=`` folder, so a replayed batch after a lost executor or
     driver leaves one copy. Runs over what is available and stops.
@@ -14,15 +18,18 @@ def process_new(source, transform, sink, checkpoint, key):
 
     def write(batch, batch_id):
         out = transform(batch)
+        out = out.withColumn("_piece", F.xxhash64(*(out.columns if part is None else part)))
         if batch_id > 0:
             stored = T.StructType([*out.schema.fields, T.StructField("batch", T.LongType())])
-            done = spark.read.schema(stored).parquet(sink).filter(F.col("batch") < batch_id).select(key).distinct()
-            out = out.join(done, key, "left_anti")
+            done = spark.read.schema(stored).parquet(sink).filter(F.col("batch") < batch_id)
+            done = done.select(F.col(key).alias("_done"), F.col("_piece").alias("_known")).distinct()
+            known = out[key].eqNullSafe(done["_done"]) & (out["_piece"] == done["_known"])
+            out = out.join(done, known, "left_anti")
         out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     query = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(sink).drop("batch")
+    return spark.read.parquet(sink).drop("batch", "_piece")
 
 
 def running_totals(source, keys, aggregates, sink, checkpoint):

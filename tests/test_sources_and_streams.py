@@ -89,7 +89,7 @@ def test_running_totals_equal_the_batch(spark, tmp_path):
 def test_new_scenes_are_processed_once(spark, tmp_path):
     source = files_of(spark, str(tmp_path / "in"), PARTS)
     run = lambda: incremental.process_new(
-        source, lambda df: df.groupBy("img").agg(F.sum("p").alias("total")), str(tmp_path / "out"), str(tmp_path / "ck"), "img"
+        source, lambda df: df.groupBy("img").agg(F.sum("p").alias("total")), str(tmp_path / "out"), str(tmp_path / "ck"), "img", part=["img"]
     )
     assert sorted(r["img"] for r in run().collect()) == [1, 2, 3]
     spark.createDataFrame([(1, 9, 9), (8, 1, 1)], "img long, p int, t int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
