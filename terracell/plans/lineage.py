@@ -22,10 +22,13 @@ def shared_dir(spark):
 
 def scratch_path(spark, name):
     """A fresh path under the shared folder; what is written there goes when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    home = f"{shared_dir(spark).rstrip('/')}/terracell-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(home)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        store.mkdirs(place)
+        store.deleteOnExit(place)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df):
