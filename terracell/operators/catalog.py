@@ -94,19 +94,20 @@ def greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining,
     ``candidates`` (tile, item_id, granule_id, tier, score) are walked in the order tier, score, id. An
     item is taken when it adds at least ``min_share`` of what is still uncovered; a tile stops when it is
     full or has ``max_items``, goes to the next tier only while at least ``max_remaining / 5`` is
-    uncovered, and returns nothing if ``max_remaining`` or more stays uncovered. ``tiles`` has ``total``
+    uncovered (a full tile that is asked to go on looks at the first of each further tier only), and returns nothing if ``max_remaining`` or more stays uncovered. ``tiles`` has ``total``
     cells per tile, ``outside`` the words outside the polygon, which count as covered.
 
     What a tile takes next is the first remaining candidate with enough gain, so the walk needs at most
     ``max_items`` rounds whatever the number of candidates; a round is a distributed sum over words for
     all tiles at once. No tile's candidates are gathered in one task.
     """
-    if max_remaining / 5 < FULL:
-        raise ValueError("max_remaining must be at least 5e-4")
+    enough = max_remaining / 5
     key = F.struct("tier", "score", "item_id")
     # a granule counts only where it is first met
     firsts = candidates.groupBy("tile", "granule_id").agg(F.min(key).alias("key")).drop("granule_id")
-    firsts = cut(firsts.withColumn("item_id", F.col("key.item_id")))
+    firsts = firsts.withColumns({"item_id": F.col("key.item_id"), "_tier": F.col("key.tier")})
+    heads = firsts.groupBy("tile", "_tier").agg(F.min("key").alias("_head"))
+    firsts = cut(firsts.join(heads, ["tile", "_tier"]).withColumn("_head", F.col("_head") == F.col("key")).drop("_tier"))
     empty = masks.limit(0).select("tile", "word", "mask")
     covered = outside if outside is not None else empty
     counted = covered.groupBy("tile").agg(F.sum(F.bit_count("mask")).alias("_out"))
@@ -123,10 +124,13 @@ def greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining,
     masks = cut(masks.join(firsts.select("tile", "item_id"), ["tile", "item_id"], "left_semi"))
     for _ in range(max_items):
         left = 1 - F.col("found")
-        open_tiles = state.filter(left >= FULL).select("tile", "found", "total", "tier", "last")
+        open_tiles = state.filter(left >= min(FULL, enough)).select("tile", "found", "total", "tier", "last")
         waiting = salted_join(firsts, open_tiles, ["tile"]).filter(
             (F.col("last").isNull() | (F.col("key") > F.col("last")))
-            & ((F.col("key.tier") == F.col("tier")) | (left >= max_remaining / 5))
+            & (
+                (left >= FULL) & ((F.col("key.tier") == F.col("tier")) | (left >= enough))
+                | (left < FULL) & (left >= enough) & F.col("_head") & (F.col("key.tier") > F.col("tier"))
+            )
         )
         new_bits = F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long")))))
         words = masks.join(waiting.select("tile", "item_id"), ["tile", "item_id"], "left_semi")

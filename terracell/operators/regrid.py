@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terracell.functions.ranges import explode_range
 from terracell.operators.spatial import box_join
-from terracell.plans.skew import join_patches, join_scenes, patch_range
+from terracell.plans.skew import PATCH, join_patches, join_scenes, patch_range
 
 EXTRA_PIXELS = 20
 
@@ -177,25 +177,26 @@ def cut_to_targets(cells, sources, targets, bucket, method="nearest"):
 def pair_merged(merged, sources, targets, bucket):
     """Cells of a mosaic from ``on_common_lattice`` next to every target they may serve.
 
-    Only targets overlapping a source count. Cells and grown target boxes meet in square buckets of side
-    ``bucket``; a cell lies in one bucket, so no pair appears twice.
+    Only targets overlapping a source count; ``bucket`` is the bucket side of that join. Cells and grown target boxes
+    meet by patches of the lattice and are then tested exactly; a cell lies in one patch, so no pair appears
+    twice and no key holds more cells than a patch.
     """
     t = scene_boxes(targets, "dst")
     pairs = box_join(t, scene_boxes(sources, "src"), "dst_box", "src_box", bucket, "dst_scene_id", "src_scene_id")
     columns = [c for c in t.columns if c != "dst_box"]
     used = pairs.groupBy(*columns).agg(F.max("src_x_res").alias("src_x_res"), F.max("src_y_res").alias("src_y_res"))
     used = used.withColumns({"src_w": F.lit(0.0), "src_n": F.lit(0.0), "src_scene_id": F.lit(0).cast("long")})
-    index = lambda v: F.floor(v / F.lit(bucket)).cast("int")
+    patch = lambda i: F.floor(i / F.lit(PATCH)).cast("int")
     grow_x, grow_y = F.col("src_x_res") * 2.5, F.col("src_y_res") * 2.5
     left, right = F.col("dst_w") - grow_x, F.col("dst_w") + F.col("dst_width") * F.col("dst_x_res") + grow_x
     top, bottom = F.col("dst_n") + grow_y, F.col("dst_n") - F.col("dst_height") * F.col("dst_y_res") - grow_y
-    used = used.withColumn("_bx", F.explode(F.sequence(index(left), index(right))))
-    used = used.withColumn("_by", F.explode(F.sequence(index(bottom), index(top))))
-    placed = merged.select(
-        "r", "c", "v",
-        index((F.col("c") + 0.5) * F.col("x_res")).alias("_bx"), index(-(F.col("r") + 0.5) * F.col("y_res")).alias("_by"),
-    )
-    return placed.join(_with_affine(used), ["_bx", "_by"]).select(*PAIRED)
+    column, row = lambda x: x / F.col("src_x_res"), lambda y: -y / F.col("src_y_res")
+    used = used.withColumns({"_c0": F.floor(column(left)) - 1, "_c1": F.ceil(column(right)), "_r0": F.floor(row(top)) - 1, "_r1": F.ceil(row(bottom))})
+    used = used.withColumn("_pc", F.explode(F.sequence(patch(F.col("_c0")), patch(F.col("_c1")))))
+    used = used.withColumn("_pr", F.explode(F.sequence(patch(F.col("_r0")), patch(F.col("_r1")))))
+    placed = merged.select("r", "c", "v", patch(F.col("c")).alias("_pc"), patch(F.col("r")).alias("_pr"))
+    paired = placed.join(_with_affine(used), ["_pc", "_pr"])
+    return paired.filter(F.col("c").between(F.col("_c0"), F.col("_c1")) & F.col("r").between(F.col("_r0"), F.col("_r1"))).select(*PAIRED)
 
 
 def cut_merged_to_targets(cells, sources, targets, bucket, method="cubic"):
