@@ -8,12 +8,15 @@ from terracell.operators.composite import composite, normalise
 from terracell.plans.skew import salted_join
 
 
-def choose_items(items, cells, tiles, width, ladder, min_share, max_items, max_remaining):
-    """Search ladder and greedy cover; ``cells`` has tile, item_id, r, c, scl."""
+def choose_items(items, cells, tiles, width, ladder, min_share, max_items, max_remaining, outside=None):
+    """Search ladder and greedy cover; ``cells`` has tile, item_id, r, c, scl.
+
+    ``outside`` (tile, word, mask) marks the cells outside the tile's polygon, which need no image.
+    """
     flagged = cells.withColumn("clear", clear_mask(F.col("scl")))
     masks = catalog.pack_masks(flagged, width)
     candidates = catalog.tiered(items, **ladder).withColumn("score", catalog.score())
-    return catalog.greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining)
+    return catalog.greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining, outside)
 
 
 def tile_images(cells, chosen, bands, dilation):
