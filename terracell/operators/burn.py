@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from terracell.functions.classes import JUNCTION_CLASS
 from terracell.functions.geometry import point_segment_distance
 from terracell.functions.ranges import explode_range
+from terracell.operators.spatial import box_join
 from terracell.plans.skew import salted_join
 
 RADIUS = 5e-5
@@ -82,6 +83,39 @@ def filled_cells(edges, keys=("scene_id",), feature="fid", keep=("cls",)):
     return cells.select(*keys, *keep, "r", "c")
 
 
+def edges_in_grids(edges, grids, cell, grid="scene_id", feature="fid", by=0.0):
+    """Polygon edges next to every grid that their polygon's bounds (grown by ``by``) meet and whose rows they span.
+
+    Nothing is clipped: an edge beside a grid still decides what is inside, and a grid may lie wholly inside. Edges and
+    grids meet by polygon and by strip of height ``cell``, from the first strip they share only.
+    """
+    low, high = F.least("y0", "y1") - by, F.greatest("y0", "y1") + by
+    bounds = edges.groupBy(feature).agg(
+        F.struct(F.min(F.least("x0", "x1") - by).alias("w"), F.min(low).alias("s"), F.max(F.greatest("x0", "x1") + by).alias("e"), F.max(high).alias("n")).alias("feature_box")
+    )
+    south = F.col("n") - F.col("height") * F.col("y_res")
+    box = F.struct(F.col("w"), south.alias("s"), (F.col("w") + F.col("width") * F.col("x_res")).alias("e"), F.col("n"))
+    pairs = box_join(grids.withColumn("grid_box", box), bounds, "grid_box", "feature_box", cell, grid, feature).drop("feature_box")
+    strip = lambda v: F.floor(v / F.lit(cell)).cast("long")
+    pairs = pairs.withColumn("_strip", F.explode(F.sequence(strip(F.col("grid_box.s")), strip(F.col("grid_box.n")))))
+    dealt = edges.withColumns({"_low": low, "_high": high})
+    dealt = dealt.withColumn("_strip", F.explode(F.sequence(strip(F.col("_low")), strip(F.col("_high")))))
+    met = dealt.join(pairs, [feature, "_strip"]).filter((F.col("_low") <= F.col("grid_box.n")) & (F.col("_high") >= F.col("grid_box.s")))
+    first = F.greatest(strip(F.col("_low")), strip(F.col("grid_box.s")))
+    return met.filter(F.col("_strip") == first).drop("_strip", "_low", "_high", "grid_box")
+
+
+def burn_features(lines, polygons, grids, cell, d=RADIUS, grid="scene_id", feature="fid"):
+    """Label raster of each grid from lines and polygon edges together, all grown by ``d``; the highest class wins.
+
+    ``lines`` and ``polygons`` are segments (feature, x0, y0, x1, y1, cls); polygons are also filled, even-odd.
+    """
+    edges = edges_in_grids(polygons, grids, cell, grid, feature, d)
+    near = edges_in_grids(lines, grids, cell, grid, feature, d)
+    touched = touched_cells(near, d, (grid,)).union(touched_cells(edges, d, (grid,)))
+    return burn(touched.union(filled_cells(edges, (grid,), feature)), (grid,))
+
+
 def burn(touched, keys=("scene_id",), cls="cls"):
     """Label of each touched cell: the highest class."""
     return touched.groupBy(*keys, "r", "c").agg(F.max(cls).alias("label"))
