@@ -28,11 +28,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terracell.llm.common import chunks, free_name, mix64, parallelism, shingle_hashes, word_hashes, written
+from terracell.plans.skew import salted_join
 
 K = 4
 THRESHOLD = 85  # per cent
 CHUNK_BYTES = 4 << 20
 BLOCK = 4096
+LIST = 500
 SMALL = 500_000
 SHIFT = np.uint64(18)  # a shingle's first 46 bits, with the document's number in its chunk below
 
@@ -246,10 +248,17 @@ def _possible(a, b, threshold):
 
 
 def _near(postings, threshold):
-    """Each document with the first and the previous one of each of its prefix shingles."""
+    """Each document with the first and the previous one of each of its prefix shingles.
+
+    A shingle that many documents have is cut into lists of about ``LIST`` of them, all with the same first.
+    """
     own = F.struct("doc", "n", "i").alias("own")
-    order = Window.partitionBy("token").orderBy("i", "n", "doc")
-    met = postings.select("token", "doc", "n", "i", F.lag(F.struct("doc", "n", "i")).over(order).alias("prev"), F.first(F.struct("doc", "n", "i")).over(order).alias("head"))
+    heads = postings.groupBy("token").agg(F.min(F.struct("i", "n", "doc")).alias("_least"), F.count(F.lit(1)).alias("_many"))
+    listed = salted_join(postings, heads, ["token"], salt_on=["doc"])
+    listed = listed.withColumn("_list", F.pmod(F.xxhash64("doc"), F.ceil(F.col("_many") / LIST)))
+    order = Window.partitionBy("token", "_list").orderBy("i", "n", "doc")
+    head = F.struct(F.col("_least.doc").alias("doc"), F.col("_least.n").alias("n"), F.col("_least.i").alias("i")).alias("head")
+    met = listed.select("doc", "n", "i", F.lag(F.struct("doc", "n", "i")).over(order).alias("prev"), head)
     pair = lambda other: met.select(own, F.col(other).alias("other")).filter(F.col("other.doc") != F.col("own.doc"))
     both = pair("prev").union(pair("head")).filter(_possible("own", "other", threshold))
     return _ordered(both, "own", "other")
