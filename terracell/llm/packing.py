@@ -13,6 +13,7 @@ executor cannot change a sequence that others have seen.
 """
 
 import base64
+import re
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -39,13 +40,16 @@ class Encoder:
     """Ids of texts under the byte-level BPE ``name``.json.
 
     Ordinary text goes through the faster library on the same vocabulary, which gives the same ids; a text with the
-    special string goes through the first library, which knows it.
+    special string goes through the first library, which knows it. So does a run of ``long`` or more white space, on
+    which the faster one fails from a million characters up: no piece of the pattern holds white space after another
+    character, and the last character of a run may belong to the next piece, so the text is cut around the rest of it.
     """
 
     SPECIAL = "<|endoftext|>"
+    LONG = 100_000
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, name="byte_bpe_50k"):
+    def __init__(self, name="byte_bpe_50k", long=LONG):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -53,12 +57,27 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.full = Tokenizer.from_file(token_file(f"{name}.json"))
+        self.long = long
 
     def __call__(self, text):
         if self.SPECIAL in text:
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
+            return self._full(text)
+        if len(text) < self.long:
+            return self._fast(text)
+        out, at = [], 0
+        for run in re.finditer(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", text):
+            start, end = run.start(), run.end() - (run.end() < len(text))
+            if end - start >= self.long:
+                out += [self._fast(text[at:start]), self._full(text[start:end])]
+                at = end
+        return np.concatenate((*out, self._fast(text[at:])))
+
+    def _fast(self, text):
         return np.array(self.fast.encode_ordinary(text), "<u4")
 
+    def _full(self, text):
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
+
 
 class Packer:
     """Open windows of one task. ``add`` and ``close`` return pieces of emitted sequences."""

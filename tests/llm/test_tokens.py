@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -61,6 +62,26 @@ def test_fast_library_gives_the_same_ids(spark, encode):
         assert (fast(r.text) == encode(r.text)[:-1]).all()
 
 
+def test_long_white_space_gives_the_same_ids(encode):
+    blank = " " * 1_200_000
+    for text in (blank, f"one{blank}two", f"one \n{blank}\n", "\u3000" * 1_000_001 + "x"):
+        assert (packing.Encoder()(text) == encode(text)[:-1]).all()
+
+
+def test_text_cut_around_white_space_gives_the_same_ids(encode):
+    r, cut = random.Random(1), packing.Encoder(long=3)
+    for _ in range(2000):
+        text = "".join(r.choice(["a", "it's", "7", "!", "é", "\x1c", "\u200b", " ", "  ", "\n", "\t ", "\u3000", "\xa0", "     "]) for _ in range(r.randrange(14)))
+        ids, want = cut(text), encode(text)[:-1]
+        assert ids.dtype == want.dtype and ids.tolist() == want.tolist(), text
+
+
+def test_a_long_white_space_run_is_packed(spark, encode):
+    text = "one" + " " * 1_200_000 + "two"
+    out = packing.pack(documents(spark, [(1, text), (2, "three")])).filter("doc = 1").orderBy("start").collect()
+    assert b"".join(bytes(r.ids) for r in out) == encode(text).tobytes()
+
+
 COUNT_ROWS = [*ROWS[:7], (8, "a" * 3000 + "bc" * 400), (9, "日本語漢字" * 300 + " é" * 400), (10, "x  \n\n  y " * 400 + "<s> </s> ▁"), *ROWS[9:30]]
 
 
