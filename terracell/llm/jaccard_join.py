@@ -362,8 +362,11 @@ def _decide(threshold):
 
 
 def verified(pairs, segments, fragments, threshold):
-    """The pairs (``a``, ``na``, ``b``, ``nb``) whose sets reach the threshold."""
-    blocks = pairs.mapInArrow(_blocks(fragments), "fragment int, block bigint, a binary, b binary")
+    """The pairs (``a``, ``na``, ``b``, ``nb``) whose sets reach the threshold.
+
+    The pairs are written first: blocks are numbered by task and order of rows, which a replay must not change.
+    """
+    blocks = written(pairs, "pairs").mapInArrow(_blocks(fragments), "fragment int, block bigint, a binary, b binary")
     counted = segments.groupBy("fragment").cogroup(blocks.groupBy("fragment")).applyInArrow(_overlaps, "block bigint, head boolean, a binary, b binary")
     return counted.groupBy("block").applyInArrow(_decide(threshold), "a bigint, b bigint")
 

@@ -84,3 +84,14 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(39)] + [(100, 101)], "a long, b long")
     out = {r.doc: r.c for r in jaccard_join.components(links).collect()}
     assert out == {i: 0 for i in range(40)} | {100: 100, 101: 100}
+
+
+def test_pairs_are_written_before_their_blocks_are_numbered(spark):
+    pairs = spark.createDataFrame([(1, 2, 2, 2), (1, 2, 3, 2)], "a long, na long, b long, nb long").distinct()
+    texts = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "f g h i j")], "doc long, text string")
+    sets = texts.mapInArrow(jaccard_join._tokens(4), "doc bigint, n bigint, tokens binary").select("doc", "tokens")
+    segments = sets.mapInArrow(jaccard_join._segments(3), "fragment int, docs binary, tokens binary")
+    out = jaccard_join.verified(pairs, segments, 3, 85)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    assert [tuple(r) for r in out.collect()] == [(1, 2)]
