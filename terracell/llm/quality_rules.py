@@ -20,7 +20,6 @@ STOP_WORDS = (
 RULES = (
     ("n_words", "min", 50),
     ("repeated_words", "max", 500),
-    ("n_words", "max", 1_000_000),
     ("mean_word_chars", "min", 1_500),
     ("mean_word_chars", "max", 20_000),
     ("symbols", "max", 100),

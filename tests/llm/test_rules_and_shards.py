@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -41,6 +42,15 @@ def test_kept_documents_keep_their_columns(spark):
     assert quality_rules.kept_documents(docs.limit(0)).count() == 0
 
 
+def test_a_clean_text_of_over_a_million_words_is_kept(spark):
+    r = random.Random(1)
+    text = " ".join("the" if i % 50 == 0 else f"w{r.randrange(10**6)}" for i in range(1_000_100))
+    docs = documents(spark, [(1, text)])
+    out = quality_rules.judge(docs).first()
+    assert (out.n_words, out.base_failed, out.kept) == (1_000_100, False, True)
+    assert quality_rules.kept_documents(docs).count() == 1
+
+
 def test_one_projection(spark):
     text = quality_rules.judge(documents(spark, ROWS))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Python" not in text
