@@ -4,7 +4,8 @@ A leaf block is the text between two starts or ends of block elements; inline ma
 are decoded, white space becomes one space. A block is described by its ancestors' tags, by the words in their classes
 and ids, and by its text (length, share of links, punctuation, signs of boilerplate). The field, trained on labelled
 pages by maximum likelihood, labels the blocks of a page as main text or not, and Viterbi finds the best sequence. Main
-blocks are joined in page order by an empty line.
+blocks are joined in page order by an empty line. A head ends where its end tag is left out; formulas give the text of
+their visible elements, not that of their annotations.
 
 The whole page is read, however long. A null or empty page has no text: an empty string. Pages are judged one by
 one, so repeated rows and ids keep their own results; an empty table gives no rows.
@@ -27,7 +28,8 @@ BLOCKS = frozenset(
     select summary table tbody td textarea tfoot th thead title tr ul""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head iframe math noscript object script select style svg template textarea title".split())
+SILENT = frozenset("annotation annotation-xml head iframe noscript object script select style svg template textarea title".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 CLOSED_BY = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)
 }
@@ -61,7 +63,14 @@ class Blocks(HTMLParser):
                 break
         return None
 
+    def leave_head(self):
+        """End an open head whose end tag is left out, unless an element is open whose content is not page content."""
+        if (at := self.last(("head",), SILENT - {"head"} | {"noframes"})) is not None:
+            self.pop_to(at)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self.leave_head()
         if tag in BLOCKS:
             self.flush()
             if tag in NOT_IN_P and (at := self.last(("p",), ("td", "th", "button", "table"))) is not None:
@@ -80,6 +89,8 @@ class Blocks(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if tag in ("body", "html", "br"):
+            self.leave_head()
         if tag in BLOCKS:
             self.flush()
         at = self.last((tag,))
@@ -87,6 +98,8 @@ class Blocks(HTMLParser):
             self.pop_to(at)
 
     def handle_data(self, data):
+        if not data.isspace():
+            self.leave_head()
         if any(tag in SILENT for tag, _, _ in self.stack):
             return
         if self.above is None and not data.isspace():

@@ -89,6 +89,32 @@ def test_odd_pages(spark):
     assert html_text.extract(pages(spark, [])).count() == 0
 
 
+ARTICLE = "<article><h1>A title of the page</h1><p>The first sentence of a long paragraph, with some words more. It goes on.</p></article>"
+
+
+@pytest.mark.parametrize("start", [
+    "<body>", "", "<noscript><img src=x><p>no</p></noscript><body>", "<meta name=a><bgsound src=x><body>", "<style>p {}</style>",
+])
+def test_head_without_its_end_tag(start):
+    page = "<html><head><title>Site</title>{}" + ARTICLE + "</html>"
+    want = [b[0] for b in html_text.blocks(page.format("</head><body>"))]
+    assert [b[0] for b in html_text.blocks(page.format(start))] == want and len(want) == 2
+    field = html_text.train()
+    assert html_text.main_text(page.format(start), field) == html_text.main_text(page.format("</head><body>"), field) != ""
+
+
+def test_text_right_in_the_head_ends_it():
+    found = lambda page: [b[0] for b in html_text.blocks(page)]
+    assert found("<head><title>Site</title> \n Text <b>of</b> the page") == ["Text of the page"]
+    assert found("<head><title>Site</title></body>late<p>x") == ["late", "x"]
+    assert found("<head><script>a</script><title>Site</title></head>") == []
+
+
+def test_formulas_are_text():
+    page = "<body><p>So <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>E=m tex</annotation></semantics></math> holds.</p>"
+    assert [b[0] for b in html_text.blocks(page)] == ["So E=m holds."]
+
+
 def test_resampling_prefers_the_target(spark):
     good = [(i, prose(i, 80, 200)) for i in range(200)]
     junk = [(1000 + i, " ".join(f"j{(i * k) % 150}" for k in range(80))) for i in range(100)]
