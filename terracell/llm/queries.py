@@ -155,3 +155,89 @@ def op5(spark, folder):
     from terracell.llm.html_text import extract
 
     return extract(table(spark, folder, "pages"))
+
+
+def _tree_sql(leaves, nodes):
+    return rf"""
+{nodes}(tree, lvl, i, n, h) AS (SELECT tree, 0, i, n, h FROM {leaves} UNION ALL
+    SELECT tree, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {nodes} WHERE n > 1 GROUP BY tree, lvl, i // 2, n)"""
+
+
+def _climb_sql(name, start, nodes):
+    """Rows of ``start`` carried up their tree: sibling digests are appended to the proof and folded in."""
+    return rf"""
+{name}(k, tree, lvl, i, h, proof, f) AS (SELECT k, tree, 0, i, h, proof, f FROM {start} UNION ALL
+    SELECT u.k, u.tree, u.lvl + 1, u.i // 2, u.h, u.proof || coalesce(s.h, ''), sha256(CASE WHEN u.i % 2 = 0 THEN u.f || coalesce(s.h, '') ELSE s.h || u.f END)
+    FROM {name} u JOIN {nodes} o ON o.tree = u.tree AND o.lvl = u.lvl AND o.i = u.i AND o.n > 1
+    LEFT JOIN {nodes} s ON s.tree = u.tree AND s.lvl = u.lvl AND s.i = xor(u.i, 1::BIGINT))"""
+
+
+def _op12_sql():
+    value = lambda c: f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')"
+    leaf = lambda chars: f"sha256({' || '.join(value(c) for c in ('doc_id', 'source', 'lang', chars, 'text'))})"
+    # CRC-32 of the digits: a byte is mixed in, then eight shifts
+    crc = """xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda s, e: CASE WHEN e >= 0 THEN xor(s, e) ELSE xor(s >> 1, (s & 1) * 3988292384) END), 4294967295::BIGINT)"""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, {leaf('n_chars')} AS h, {leaf(f'CASE WHEN {crc} % 7 = 0 THEN n_chars + 1 ELSE n_chars END')} AS f FROM documents),
+l AS (SELECT row_number() OVER () AS k, doc_id, tree, h, f, '' AS proof, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_tree_sql('l', 'nodes')},
+subroots AS (SELECT '' AS tree, tree AS of, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_tree_sql('subroots', 'tops')},
+{_climb_sql('up', 'l', 'nodes')},
+mid AS (SELECT up.k, '' AS tree, s.i, s.h, proof, f FROM up JOIN nodes o ON o.tree = up.tree AND o.lvl = up.lvl AND o.i = up.i AND o.n = 1 JOIN subroots s ON s.of = up.tree),
+{_climb_sql('over', 'mid', 'tops')}
+SELECT doc_id, l.h AS leaf, over.h AS subroot, o.h AS root, sha256(over.proof) AS proof_sha256, over.f AS folded_root, over.f = o.h AS verified
+FROM l JOIN over USING (k) JOIN tops o ON o.lvl = over.lvl AND o.i = over.i AND o.n = 1"""
+
+
+@query("op12_merkle_manifest", _op12_sql())
+def op12(spark, folder):
+    from terracell.llm.merkle import manifest, tampered_chars
+
+    return manifest(table(spark, folder, "documents"), changed={"n_chars": tampered_chars()}).drop("path")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT k, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS total FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS nl FROM kept GROUP BY lang),
+g AS (SELECT d.lang, d.source, coalesce(any_value(s.n), 0)::HUGEINT AS ng FROM (SELECT DISTINCT lang, source FROM d) d
+        LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s USING (lang, source) GROUP BY d.lang, d.source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.ng + 2 * l.v) AS p, 1 + 1000000000 * (total + 2) // (l.nl + 2 * l.v) AS q
+        FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+a AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+        GROUP BY x.lang, x.source, y.source),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(a.value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+        LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 10"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def op13(spark, folder):
+    from terracell.llm.divergence import audit
+
+    return audit(table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.label = b.label AND a.k <> b.k AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(k, b) AS (SELECT DISTINCT a, a FROM l UNION SELECT r.k, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT r.k, min(u.vec_id) AS least FROM r JOIN u ON u.k = r.b GROUP BY r.k),
+n AS (SELECT a AS k, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.least, vec_id) AS component_id, coalesce(vec_id = coalesce(c.least, vec_id), true) AS kept
+FROM v LEFT JOIN n USING (k) LEFT JOIN c USING (k)"""
+
+
+@query("op11_near_vectors", OP11_SQL)
+def op11(spark, folder):
+    from terracell.llm.near_vectors import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))

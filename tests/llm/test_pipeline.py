@@ -42,4 +42,4 @@ def packing_of(df):
 def test_every_query_reads_whole_tables(spark):
     from terracell.llm.queries import QUERIES, SQL
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
