@@ -17,11 +17,11 @@ def line_dedup(spark, docs, sf_dir):
     return dedup_documents(docs, chars="n_chars")
 
 
-def jaccard_join(spark, docs, sf_dir):
-    """Of each group of near copies the document of the smallest id stays."""
+def jaccard_join(spark, docs, sf_dir, words=5, percent=80):
+    """Of each group of near copies (shingles of ``words`` words, ``percent`` of them shared) the document of the smallest id stays."""
     from terracell.llm.jaccard_join import distinct_documents
 
-    return distinct_documents(docs)
+    return distinct_documents(docs, k=words, threshold=percent)
 
 
 def decontamination(spark, docs, sf_dir):

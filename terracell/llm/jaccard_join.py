@@ -6,19 +6,21 @@ it. Work is done fragment by fragment on packed arrays and summed per document o
 
 1. ``sizes``: every fragment counts, per document, the shingles that some other document has too. A document that links
    to another shares ``threshold`` of its set with it, so one with a smaller sum of shared shingles has no link; most
-   documents end here. Each task first merges what it has itself, so copies in it are sent once.
-2. Documents with equal sets are one class, held by its smallest id. Only these go on.
-3. Candidates: shingles are ordered by rarity among the documents left, and the necessary prefixes are joined, with
-   bounds from lengths and positions. First each document meets the first and the previous one of each of its prefix
-   shingles; linked documents become components. Then only documents of different components meet, so a large group of
+   documents end here. Each task first merges what it has itself, so copies in it are sent once. The number of
+   fragments follows the bytes of the texts, so a fragment does not grow with the table.
+2. Equal sets are one class with a number of its own; its smallest id leads it. Only classes go on.
+3. Candidates: shingles are ordered by rarity among the classes left, and the necessary prefixes are joined, with
+   bounds from lengths and positions. First each class meets the first and the previous one of each of its prefix
+   shingles; linked classes become components. Then only classes of different components meet, so a large group of
    near copies costs its shingles, not its pairs, and no link between components is missed.
-4. Overlaps of candidate pairs are counted in each fragment separately, as arrays over blocks of pairs, and summed per
-   pair. Links are decided on the sums, in integers.
+4. Overlaps of candidate pairs: pairs are put into blocks, a block gets the sets of its own documents only, cut into
+   ``PIECES`` vertical fragments, each counted in a group of its own. The counts are summed per pair and links are
+   decided on the sums, in integers.
 5. Components: smallest label by hooking and pointer jumping over the links.
 
 Null, empty and blank texts have no words: empty set, no link. Rows with equal ids count as one document holding the
-set of each row; such ids are joined by class or link like others. A null id gives a row of its own with a null
-component and takes no part. An empty table gives no rows.
+set of each row: its sets are joined by the id, and each keeps its own links. A null id gives a row of its own with a
+null component and takes no part. An empty table gives no rows.
 """
 
 import numpy as np
@@ -27,13 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terracell.llm.common import chunks, free_name, mix64, parallelism, shingle_hashes, word_hashes, written
-from terracell.plans.skew import salted_join
+from terracell.llm.common import chunks, free_name, mix64, numbered_by, parallelism, shingle_hashes, word_hashes, written
+from terracell.plans.skew import salted_join, split_hot
 
 K = 4
 THRESHOLD = 85  # per cent
 CHUNK_BYTES = 4 << 20
+FRAGMENT_BYTES = 16 << 20
 BLOCK = 4096
+BLOCK_SHINGLES = 4 << 20
+PIECES = 8
+MEETING = 4096
 LIST = 500
 SMALL = 500_000
 SHIFT = np.uint64(18)  # a shingle's first 46 bits, with the document's number in its chunk below
@@ -53,6 +59,13 @@ def _sets(texts, k):
     return h, doc, np.bincount(doc, minlength=len(texts)).astype(np.int64)
 
 
+def _prints(h, sizes):
+    """Two sums over the hashes of each set: with its size they tell sets apart."""
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x)))[ends] for x in (h, mix64(h.copy()))]
+    return np.stack([x[1:] - x[:-1] for x in sums], axis=1)
+
+
 # --- 1: shared shingles per document ---
 
 _PARTS = pa.schema([("fragment", pa.int32()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary())])
@@ -78,10 +91,7 @@ def _fragments(k, fragments):
         base = TaskContext.get().partitionId() << 32
         for n, (ids, texts) in enumerate(chunks(batches, CHUNK_BYTES)):
             h, doc, sizes = _sets(texts, k)
-            mixed = mix64(h.copy())
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x)))[ends] for x in (h, mixed)]
-            prints = np.stack([x[1:] - x[:-1] for x in sums], axis=1)
+            prints = _prints(h, sizes)
             key = np.sort((h >> SHIFT << SHIFT) | doc.astype(np.uint64))
             token, owner = key >> SHIFT, (key & np.uint64(0xFFFF)).astype(np.uint16)
             # a token twice in one document (cut off bits) counts as shared: never too few
@@ -153,16 +163,17 @@ def sizes(docs, k, fragments):
     return counted.groupBy("chunk").applyInArrow(_summed, "doc bigint, n bigint, p bigint, q bigint, shared bigint")
 
 
-# --- 2 and 3: sets of the documents left, prefixes ---
+# --- 2 and 3: sets of the classes left, prefixes ---
 
 
 def _tokens(k):
     def run(batches):
         for ids, texts in chunks(batches, CHUNK_BYTES):
             h, doc, n = _sets(texts, k)
-            parts = np.split(h, np.cumsum(n)[:-1])
+            parts, prints = np.split(h, np.cumsum(n)[:-1]), _prints(h, n).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc", "n", "tokens"]
+                [pa.array(ids, pa.int64()), pa.array(n), *(pa.array(np.ascontiguousarray(x)) for x in prints.T), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names=["doc", "n", "p", "q", "tokens"],
             )
 
     return run
@@ -274,101 +285,131 @@ def _ordered(df, a, b):
 
 
 def _across(postings, labels, threshold):
-    """Documents that share a prefix shingle and are in different components."""
-    held = postings.join(labels, "doc", "left").withColumn("c", F.coalesce("c", F.col("doc")))
+    """Classes that share a prefix shingle and are in different components.
+
+    Sharing a shingle at position i limits the size of a partner: the overlap is at most n - i. Of two rows that both
+    would need a partner smaller than themselves none can be it, so one of each pair is ``early`` (it may have a partner
+    of its own size), and only early rows are sent to the others. Partners differ by at most one band of sizes.
+    """
+    held = salted_join(postings, labels, ["doc"], "left", salt_on=["token"]).withColumn("c", F.coalesce("c", F.col("doc")))
     # shingles inside one component need no pairs at all
     span = held.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
-    held = written(held.join(span, "token"), "across")
-    a, b = held.alias("a"), held.alias("b")
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.doc") < F.col("b.doc")) & (F.col("a.c") != F.col("b.c")) & _possible("a", "b", threshold)
-    return a.join(b, on).select(
-        F.col("a.doc").alias("a"), F.col("a.n").alias("na"), F.col("b.doc").alias("b"), F.col("b.n").alias("nb")
-    ).distinct()
-
-
-# --- 4: overlaps per fragment, summed per pair ---
-
-_BLOCKS = pa.schema([("fragment", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-
-
-def _blocks(fragments):
-    def run(batches):
-        base, n = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            a, na, b, nb = (np.array(c.to_pylist(), np.int64) for c in batch.columns)
-            for i in range(0, len(a), BLOCK):
-                j = slice(i, i + BLOCK)
-                rows = [(f, base + n, a[j].tobytes(), b[j].tobytes()) for f in range(fragments)]
-                rows.append((HEADER - n % fragments, base + n, np.concatenate((a[j], na[j])).tobytes(), np.concatenate((b[j], nb[j])).tobytes()))
-                n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOCKS)], schema=_BLOCKS)
-
-    return run
-
-
-_OVERLAPS = pa.schema([("block", pa.int64()), ("head", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
+    held = salted_join(held, span, ["token"], salt_on=["doc"])
+    # a partner has at most (n - i) * (1 + t) / t - n shingles
+    early = (F.col("n") - F.col("i")) * (100 + threshold) >= F.col("n") * (2 * threshold)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold)) + 1e-9).cast("int") if threshold < 100 else F.lit(0)
+    held = written(held.withColumns({"early": early, "band": band}), "across")
+    sent = held.filter("early").withColumn("band", F.explode(F.array(*[F.col("band") + d for d in ((-1, 0, 1) if threshold < 100 else (0,))])))
+    a, b = split_hot(sent, held, ["token", "band"], MEETING, ["doc"], ["doc"])
+    a, b = a.alias("a"), b.alias("b")
+    # two early rows meet once
+    once = ~F.col("b.early") | (F.col("a.doc") < F.col("b.doc"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("token", "band", "_pl", "_pr")]
+    on = same[0] & same[1] & same[2] & same[3] & (F.col("a.c") != F.col("b.c")) & once & _possible("a", "b", threshold)
+    side = lambda x: F.struct(F.col(f"{x}.doc").alias("doc"), F.col(f"{x}.n").alias("n"), F.col(f"{x}.i").alias("i")).alias(x)
+    return _ordered(a.join(b, on).select(side("a"), side("b")), "a", "b")
+
+
+# --- 4: overlaps per block of pairs and fragment, summed per pair ---
+
+_BLOCKS = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("a", "na", "b", "nb"))])
+_BLOCKS_DDL = "block bigint, a binary, na binary, b binary, nb binary"
+
+
+def _blocks(batches):
+    """Pairs in blocks of at most ``BLOCK`` pairs and about ``BLOCK_SHINGLES`` shingles."""
+    base, n = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        columns = [np.array(c.to_pylist(), np.int64) for c in batch.columns]
+        weight = np.cumsum(columns[1] + columns[3])
+        i = 0
+        while i < len(weight):
+            before = weight[i - 1] if i else 0
+            j = max(i + 1, min(i + BLOCK, int(np.searchsorted(weight, before + BLOCK_SHINGLES, side="right"))))
+            yield pa.RecordBatch.from_arrays([pa.array([base + n]), *(pa.array([c[i:j].tobytes()], pa.binary()) for c in columns)], schema=_BLOCKS)
+            n, i = n + 1, j
+
+
+def _members(batches):
+    """The documents of each block."""
+    for batch in batches:
+        for block, a, b in zip(*(batch.column(c).to_pylist() for c in ("block", "a", "b"))):
+            docs = np.unique(np.frombuffer(a + b, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), block)), pa.array(docs)], names=["block", "doc"])
+
+
+def _pieces(batches):
+    """(block, doc, tokens) cut into the fragments of the block."""
+    for batch in batches:
+        rows = []
+        for block, doc, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            token = np.frombuffer(tokens, np.uint64)
+            ends = np.searchsorted(token, (np.arange(1, PIECES) * (2**64 // PIECES)).astype(np.uint64))
+            rows += [(block, f, doc, part.tobytes()) for f, part in enumerate(np.split(token, ends)) if len(part)]
+        kinds = (("block", pa.int64()), ("fragment", pa.int32()), ("doc", pa.int64()), ("tokens", pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[name for name, _ in kinds])
+
+
+_OVERLAPS = pa.schema([("block", pa.int64()), ("counts", pa.binary())])
 
 
 def _overlaps(key, segments, pairs):
-    """Overlap of each pair of each block inside one fragment."""
-    blocks, xs, ys = (pairs.column(c).to_pylist() for c in ("block", "a", "b"))
-    if key[0].as_py() < 0:
-        return pa.table([pa.array(blocks, pa.int64()), pa.array([True] * len(blocks)), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], schema=_OVERLAPS)
-    if not segments.num_rows or not blocks:
+    """Overlap of each pair of a block inside one fragment."""
+    if not segments.num_rows or not pairs.num_rows:
         return _OVERLAPS.empty_table()
-    doc = np.concatenate([np.frombuffer(x, np.int64) for x in segments.column("docs").to_pylist()])
-    token = np.concatenate([np.frombuffer(x, np.uint64) for x in segments.column("tokens").to_pylist()])
-    order = np.argsort(doc, kind="stable")
-    doc, token = doc[order], token[order]
-    ids, starts = np.unique(doc, return_index=True)
-    ends = np.append(starts[1:], len(doc))
-    _, token = np.unique(token, return_inverse=True)
-    out = []
-    for block, x, y in zip(blocks, xs, ys):
-        parts = []
-        for side in (np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)):
-            at = np.minimum(np.searchsorted(ids, side), len(ids) - 1)
-            parts.append((starts[at], np.where(ids[at] == side, ends[at] - starts[at], 0)))
-        counts = np.zeros(len(parts[0][0]), np.int64)
-        # keys (pair, token) of both sides, sorted together: equal neighbours are common shingles
+    ids = segments.column("doc").to_numpy()
+    parts = [np.frombuffer(x, np.uint64) for x in segments.column("tokens").to_pylist()]
+    order = np.argsort(ids)
+    ids, sizes = ids[order], np.array([len(parts[i]) for i in order])
+    _, token = np.unique(np.concatenate([parts[i] for i in order]), return_inverse=True)
+    starts, width = np.cumsum(sizes) - sizes, np.int64(len(token) + 1)
+    # keys (pair, token) of both sides, sorted together: equal neighbours are common shingles
+    sides = [np.frombuffer(pairs.column(c)[0].as_py(), np.int64) for c in ("a", "b")]
+    counts = np.zeros(len(sides[0]), np.int64)
+    for low in range(0, len(counts), 512):
         keys = []
-        for start, size in parts:
-            pair = np.repeat(np.arange(len(size)), size)
+        for side in sides:
+            side = side[low : low + 512]
+            at = np.minimum(np.searchsorted(ids, side), len(ids) - 1)
+            size = np.where(ids[at] == side, sizes[at], 0)
             inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            keys.append(pair * np.int64(len(doc) + 1) + token[np.repeat(start, size) + inside])
+            keys.append(np.repeat(np.arange(low, low + len(side)), size) * width + token[np.repeat(starts[at], size) + inside])
         both = np.sort(np.concatenate(keys))
-        twice = both[1:][both[1:] == both[:-1]] // np.int64(len(doc) + 1)
-        counts += np.bincount(twice, minlength=len(counts))
-        out.append((block, False, counts.astype(np.int32).tobytes(), b""))
-    return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_OVERLAPS)], schema=_OVERLAPS)
+        counts += np.bincount(both[1:][both[1:] == both[:-1]] // width, minlength=len(counts))
+    return pa.table([pa.array([key[0].as_py()]), pa.array([counts.astype(np.int32).tobytes()], pa.binary())], schema=_OVERLAPS)
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _decide(threshold):
-    def run(key, table):
-        total, head = 0, None
-        for is_head, a, b in zip(*(table.column(c).to_pylist() for c in ("head", "a", "b"))):
-            if is_head:
-                head = np.frombuffer(a, np.int64).reshape(2, -1), np.frombuffer(b, np.int64).reshape(2, -1)
-            else:
-                total = total + np.frombuffer(a, np.int32).astype(np.int64)
-        (a, na), (b, nb) = head
-        linked = np.broadcast_to(100 * total >= threshold * (na + nb - total), a.shape)
+    def run(key, counted, pairs):
+        if not pairs.num_rows or not counted.num_rows:
+            return _LINKS.empty_table()
+        a, na, b, nb = (np.frombuffer(pairs.column(c)[0].as_py(), np.int64) for c in ("a", "na", "b", "nb"))
+        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in counted.column("counts").to_pylist())
+        linked = 100 * total >= threshold * (na + nb - total)
         return pa.table([pa.array(a[linked]), pa.array(b[linked])], schema=_LINKS)
 
     return run
 
 
-def verified(pairs, segments, fragments, threshold):
-    """The pairs (``a``, ``na``, ``b``, ``nb``) whose sets reach the threshold.
+def verified(pairs, held, threshold):
+    """The pairs (``a``, ``na``, ``b``, ``nb``) whose sets, of ``held`` (``doc``, ``tokens``), reach the threshold.
 
-    The pairs are written first: blocks are numbered by task and order of rows, which a replay must not change.
+    Blocks are written: they are numbered by task and order of rows, which a replay must not change. Pairs of one
+    document stand side by side, so its set is sent to few blocks.
     """
-    blocks = written(pairs, "pairs").mapInArrow(_blocks(fragments), "fragment int, block bigint, a binary, b binary")
-    counted = segments.groupBy("fragment").cogroup(blocks.groupBy("fragment")).applyInArrow(_overlaps, "block bigint, head boolean, a binary, b binary")
-    return counted.groupBy("block").applyInArrow(_decide(threshold), "a bigint, b bigint")
+    ranged = pairs.repartitionByRange(parallelism(pairs.sparkSession), "a", "b").sortWithinPartitions("a", "b")
+    blocks = written(ranged.mapInArrow(_blocks, _BLOCKS_DDL), "blocks")
+    wanted = blocks.mapInArrow(_members, "block bigint, doc bigint")
+    sent = wanted.join(held.select("doc", "tokens"), "doc").select("block", "doc", "tokens")
+    sent = sent.mapInArrow(_pieces, "block bigint, fragment int, doc bigint, tokens binary")
+    each = F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("fragment")
+    spread = blocks.select(F.col("block").alias("block"), each, F.col("a").alias("a"), F.col("b").alias("b"))
+    counted = sent.groupBy("block", "fragment").cogroup(spread.groupBy("block", "fragment")).applyInArrow(_overlaps, "block bigint, counts binary")
+    whole = blocks.select(*[F.col(c).alias(c) for c in _BLOCKS.names])
+    return counted.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(_decide(threshold), "a bigint, b bigint")
 
 
 # --- 5: components ---
@@ -400,20 +441,33 @@ def components(links):
         edges = edges.join(to, edges["b"] == to["u"], "left").select("a", F.coalesce("r", "b").alias("b"))
 
 
+def _joined_by_id(full, sets):
+    """Links between the sets of an id that holds several."""
+    print_ = F.struct("n", "p", "q")
+    several = full.groupBy("doc").agg(F.min(print_).alias("lo"), F.max(print_).alias("hi")).filter("lo <> hi").select("doc", "lo")
+    own = salted_join(full.select("doc", "n", "p", "q"), several, ["doc"], salt_on=["n", "p", "q"]).distinct()
+    first = sets.select(F.struct("n", "p", "q").alias("lo"), F.col("key").alias("a"))
+    return own.join(sets.select("n", "p", "q", F.col("key").alias("b")), ["n", "p", "q"]).join(first, "lo").select("a", "b").filter("a <> b")
+
+
 def classes(docs, id="doc_id", text="text", k=K, threshold=THRESHOLD, fragments=None, small=SMALL):
     """One row per document: id, ``n_shingles``, ``component_id`` (smallest id reachable by links)."""
-    spark = docs.sparkSession
-    fragments = fragments or max(16, parallelism(spark))
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
+    if not fragments:
+        held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        fragments = max(16, 2 * parallelism(docs.sparkSession), -(-held // FRAGMENT_BYTES))
     sized = written(sizes(rows, k, fragments), "sizes")
-    # equal sets: n and two sums over the hashes. An id with several sets leads each of them
+    # equal sets are one class: n and two sums over the hashes
     full = sized.filter("n > 0 and doc is not null")
-    sets = written(full.groupBy("n", "p", "q").agg(F.min("doc").alias("lead"), F.max("shared").alias("shared")), "sets")
-    left = sets.filter(F.col("shared") * 100 >= F.col("n") * threshold).select(F.col("lead").alias("doc")).distinct()
-    left = written(left, "left")
-    side = F.broadcast(left) if left.count() <= small else left
-    held = written(rows.join(side, "doc", "left_semi").mapInArrow(_tokens(k), "doc bigint, n bigint, tokens binary").filter("n > 0"), "sets-left")
-    held = written(_one_set_each(held), "sets-one")
+    sets = full.groupBy("n", "p", "q").agg(F.min("doc").alias("lead"), F.max("shared").alias("shared"))
+    sets = written(numbered_by(sets, ["p", "q", "n"], "key"), "sets")
+    left = written(sets.filter(F.col("shared") * 100 >= F.col("n") * threshold).select("key", "lead", "n", "p", "q"), "left")
+    leads = left.select(F.col("lead").alias("doc")).distinct()
+    leads = F.broadcast(leads) if left.count() <= small else leads
+    found = rows.join(leads, "doc", "left_semi").mapInArrow(_tokens(k), "doc bigint, n bigint, p bigint, q bigint, tokens binary")
+    found = found.join(left.withColumnRenamed("lead", "doc"), ["doc", "n", "p", "q"])
+    # the rows of an id may repeat a set
+    held = written(found.groupBy(F.col("key").alias("doc")).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets-left")
 
     segments = held.select("doc", "tokens").mapInArrow(_segments(fragments), "fragment int, docs binary, tokens binary")
     rare = segments.groupBy("fragment").applyInArrow(_frequencies(fragments), "bucket bigint, docs binary, tokens binary, counts binary")
@@ -421,26 +475,20 @@ def classes(docs, id="doc_id", text="text", k=K, threshold=THRESHOLD, fragments=
     postings = rare.groupBy("bucket").cogroup(sized_left.groupBy("bucket")).applyInArrow(_prefix(threshold), "token bigint, doc bigint, n bigint, i bigint")
     postings = written(postings, "postings")
 
-    near = written(verified(_near(postings, threshold), segments, fragments, threshold), "near")
+    near = written(verified(_near(postings, threshold), held, threshold), "near")
     first = components(near)
-    across = verified(_across(postings, first, threshold), segments, fragments, threshold)
-    links = written(near.union(across), "links")
+    across = verified(_across(postings, first, threshold), held, threshold)
+    links = written(near.union(across).union(_joined_by_id(full, sets)), "links")
     labels = components(links)
 
-    # an id with several rows: its sets are linked through it
-    own = full.select("doc", "n", "p", "q").join(sets.select("n", "p", "q", "lead"), ["n", "p", "q"])
-    own = own.select("doc", "lead").join(labels.withColumnRenamed("doc", "lead"), "lead", "left")
-    own = own.groupBy("doc").agg(F.min(F.coalesce("c", "lead")).alias("root"))
+    led = labels.join(sets.select(F.col("key").alias("doc"), "lead"), "doc")
+    least = led.groupBy("c").agg(F.min("lead").alias("least"))
+    roots = written(sets.join(labels.withColumnRenamed("doc", "key").join(least, "c"), "key", "left").select("n", "p", "q", F.coalesce("least", "lead").alias("root")), "roots")
+    own = salted_join(full.select("doc", "n", "p", "q"), roots, ["n", "p", "q"], salt_on=["doc"]).groupBy("doc").agg(F.min("root").alias("root"))
     out = sized.join(own, "doc", "left")
     return out.select(F.col("doc").alias(id), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
 
 
-def _one_set_each(held):
-    """Rows of one id: the largest set stands for it (ids are expected to be unique)."""
-    best = Window.partitionBy("doc").orderBy(F.desc("n"), "tokens")
-    return held.withColumn("_best", F.row_number().over(best)).filter("_best = 1").drop("_best")
-
-
 def distinct_documents(docs, id="doc_id", text="text", small=SMALL, **options):
     """One document per component, that of the smallest id, with its own columns; documents without an id stay."""
     out = written(classes(docs, id, text, small=small, **options), "classes")

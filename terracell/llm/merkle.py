@@ -87,7 +87,7 @@ def grow(nodes, most, arity):
 def paths(levels, arity):
     """Per leaf (``tree``, ``i``) its steps up to the root of its tree; leaves that are roots have no row."""
     out = None
-    for level in reversed(levels):
+    for depth, level in enumerate(reversed(levels), 1):
         step = F.struct("slot", "others").alias("step")
         own = level.select("tree", "i", F.expr(f"i div {arity}").alias("up"), step)
         if out is None:
@@ -96,6 +96,8 @@ def paths(levels, arity):
         above = out.select("tree", F.col("i").alias("up"), F.col("path").alias("rest"))
         rest = F.coalesce("rest", F.array().cast(STEP))
         out = own.join(above, ["tree", "up"], "left").select("tree", "i", F.concat(F.array("step"), rest).alias("path"))
+        if depth % 4 == 0 and depth < len(levels):
+            out = written(out, f"paths{depth}")  # no plan holds the joins of more than a few levels
     return out
 
 

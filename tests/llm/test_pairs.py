@@ -13,8 +13,8 @@ def shingles(text, k=4):
     return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
 
 
-def brute(rows, threshold=85):
-    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+def brute(rows, threshold=85, k=4):
+    sets, root = {i: shingles(t, k) for i, t in rows}, {i: i for i, _ in rows}
 
     def find(a):
         while root[a] != a:
@@ -86,12 +86,41 @@ def test_components_of_a_path(spark):
     assert out == {i: 0 for i in range(40)} | {100: 100, 101: 100}
 
 
-def test_pairs_are_written_before_their_blocks_are_numbered(spark):
+def test_blocks_are_written_before_they_are_used(spark):
     pairs = spark.createDataFrame([(1, 2, 2, 2), (1, 2, 3, 2)], "a long, na long, b long, nb long").distinct()
     texts = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "f g h i j")], "doc long, text string")
-    sets = texts.mapInArrow(jaccard_join._tokens(4), "doc bigint, n bigint, tokens binary").select("doc", "tokens")
-    segments = sets.mapInArrow(jaccard_join._segments(3), "fragment int, docs binary, tokens binary")
-    out = jaccard_join.verified(pairs, segments, 3, 85)
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "Aggregate" not in plan
+    held = texts.mapInArrow(jaccard_join._tokens(4), "doc bigint, n bigint, p bigint, q bigint, tokens binary").select("doc", "tokens")
+    out = jaccard_join.verified(pairs, held, 85)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in out.collect()] == [(1, 2)]
+
+
+def test_an_id_with_several_texts_keeps_all_their_links(spark):
+    a, b, other = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(5, a), (5, b), (8, b), (7, b + " end"), (4, "start " + a), (9, other), (9, ""), (10, other + " end")]
+    out = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.classes(documents(spark, rows)).collect()}
+    assert out == {(5, 77): 4, (8, 77): 4, (7, 78): 4, (4, 78): 4, (9, 77): 9, (9, 0): 9, (10, 78): 9}
+
+
+def test_pieces_and_blocks_of_any_size_give_the_same(spark, monkeypatch):
+    rows = corpus()
+    monkeypatch.setattr(jaccard_join, "MEETING", 3)
+    out = by_id(jaccard_join.classes(documents(spark, rows), fragments=5), "n_shingles", "component_id")
+    assert out == brute(rows)
+
+
+def test_a_template_group_below_the_threshold_makes_no_pairs(spark):
+    """Documents that share 85 to 91 % of their shingles and link to nothing: none of them is sent to the others."""
+    template = prose(11, 900, 5000)
+    rows = [(i, template + " " + prose(10_000 + i, 110, 10**6)) for i in range(300)]
+    docs = documents(spark, rows).selectExpr("doc_id as doc", "text")
+    held = docs.mapInArrow(jaccard_join._tokens(4), "doc bigint, n bigint, p bigint, q bigint, tokens binary").select("doc", "n", "tokens")
+    segments = held.select("doc", "tokens").mapInArrow(jaccard_join._segments(4), "fragment int, docs binary, tokens binary")
+    rare = segments.groupBy("fragment").applyInArrow(jaccard_join._frequencies(4), "bucket bigint, docs binary, tokens binary, counts binary")
+    sized = held.selectExpr("doc", "n", "pmod(doc, 4) as bucket")
+    postings = rare.groupBy("bucket").cogroup(sized.groupBy("bucket")).applyInArrow(jaccard_join._prefix(85), "token bigint, doc bigint, n bigint, i bigint")
+    assert postings.count() > 10_000
+    none = spark.createDataFrame([], "doc long, c long")
+    assert jaccard_join._across(postings, none, 85).count() == 0
+    out = by_id(jaccard_join.classes(documents(spark, rows)), "component_id")
+    assert out == {i: i for i in range(300)}

@@ -24,7 +24,7 @@ def test_run_equals_brute_force(spark):
     rows = [(i, t) for i, t in rows if verdict[i]]
     assert all(measures(t)[0] >= 50 for _, t in rows)
     rows = [(i, t) for i, (_, _, t) in brute_lines(rows).items()]
-    components = brute(rows)
+    components = brute(rows, threshold=80, k=5)
     rows = [(i, t) for i, t in rows if components[i][1] == i]
     rows = [(i, t) for i, t in rows if not brute_hits(t, items)[4]]
     encode = packing.Encoder()
