@@ -5,24 +5,31 @@ shingles, and a document holds it only if it holds all of them, so the necessary
 rarest, by occurrences in the documents. Windows next to each other mostly share it, so the prefix shingles of an item
 (its anchors) are few. Documents are joined to anchors by shingle; a match must leave room for the window on both sides
 (length and positional bounds); then the words around it are compared one by one, which is exact, and the run of equal
-words around the anchor is a hit if it is as long as the window.
+words around the anchor is a hit if it is as long as the window. Documents that were met are cut into segments of
+``SEGMENT`` words with the words a window can reach on either side, so a place carries its segment, never its document,
+and an anchor carries the item's words within reach.
 
 Words are lower-cased (A-Z) runs of digits, letters and anything outside ASCII. Null and empty texts have no words: as
 documents they are not contaminated, as items they have no window. A window repeated in an item or in several items
 counts for each item holding it. Repeated document rows are judged each on its own, repeated item rows count once per
 distinct item_id; items without an id are ignored. Empty tables give no rows, or no hits.
 
-``small`` bounds the rows of whatever is broadcast (shingles, anchors, items, ids of documents that were met). Beyond
-it the same joins exchange their rows instead.
+``small`` bounds the rows of whatever is broadcast (shingles, anchors, ids of documents that were met), and
+``SMALL_BYTES`` the words that anchors carry. Beyond it the same joins exchange their rows instead.
 """
 
 from pyspark.sql import functions as F
 
 from terracell.llm.common import free_name, lower_ascii, written
+from terracell.plans.skew import salted_join
 
 WINDOW = 13
 SHINGLE = 3
 SMALL = 200_000
+SMALL_BYTES = 64 << 20
+REACH = WINDOW - 1
+SEGMENT = 64
+STRETCH = 4096  # positions of a document whose hits are counted together
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -64,23 +71,26 @@ def _anchors(items, counts):
     held = order.withColumn("best", F.min("r").over(span)).filter(F.col("p") + F.col("n") <= F.col("m"))
     best = held.select("item", "w", "m", "n", "k", "p", F.col("best.g").alias("g"), F.col("best.p").alias("q"))
     # least number of words that a window needs before and after its anchor
-    return best.groupBy("item", "g", "q").agg(
+    anchors = best.groupBy("item", "g", "q").agg(
         F.min(F.col("q") - F.col("p")).alias("before"), F.min(F.col("p") + F.col("n") - F.col("q") - F.col("k")).alias("after"),
         *[F.first(c).alias(c) for c in ("w", "m", "n", "k")],
     )
+    low = F.greatest(F.col("q") - REACH, F.lit(0))
+    around = F.slice("w", low + 1, F.col("q") - low + F.col("k") + REACH).alias("v")
+    return anchors.select("item", "g", "before", "after", "n", "k", around, (F.col("q") - low).alias("q"))
 
 
 def _word_or_nothing(words, j):
     return F.when(F.col("k") > j, F.get(words, F.col("p") + j))
 
 
-def _equal_run(doc, item, step, limit):
-    """How many words after (step 1) or before (step -1) the anchor are equal, at most ``limit`` of them."""
-    first = (F.col("p"), F.col("q")) if step < 0 else (F.col("p") + F.col("k") - 1, F.col("q") + F.col("k") - 1)
+def _equal_run(doc, item, step):
+    """How many words after (step 1) or before (step -1) the anchor are equal, as far as a window reaches."""
+    first = (F.col("at"), F.col("q")) if step < 0 else (F.col("at") + F.col("k") - 1, F.col("q") + F.col("k") - 1)
     at = lambda a, i: F.when(i >= 0, F.get(a, i))
     same = F.transform(
-        F.sequence(F.lit(1), F.lit(limit)),
-        lambda d: F.coalesce(at(doc, first[0] + d * step) == at(item, first[1] + d * step), F.lit(False)),
+        F.sequence(F.lit(1), F.lit(REACH)),
+        lambda d: F.coalesce(at(F.col(doc), first[0] + d * step) == at(F.col(item), first[1] + d * step), F.lit(False)),
     )
     return (F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1).cast("int")
 
@@ -107,27 +117,40 @@ def hits(docs, benchmark, id="doc_id", text="text", item_id="item_id", item_text
     seen = _exploded(rows, sizes, ["d"]).join(_maybe_broadcast(wanted, wanted.count(), small), "g", "left_semi")
     seen = written(seen, "seen")
     counts = written(seen.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "counts")
-    anchors = written(_anchors(items, counts).drop("w"), "anchors")
-    met = seen.join(_maybe_broadcast(anchors, anchors.count(), small), "g").filter("p >= before")
-    met = written(met, "met")
+    anchors = written(_anchors(items, counts), "anchors")
+    held = anchors.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.array_join("v", "")))).first()
+    if held[0] <= small and (held[1] or 0) <= SMALL_BYTES:
+        met = seen.join(F.broadcast(anchors), "g")
+    else:
+        met = salted_join(seen, anchors, ["g"], salt_on=["d", "p"])
+    met = written(met.filter("p >= before").withColumn("s", F.expr(f"p div {SEGMENT}")), "met")
     named = written(met.select("d").distinct(), "named")
-    words = rows.join(_maybe_broadcast(named, named.count(), small), "d", "left_semi")
-    sides = items.select("item", F.col("w").alias("v"))
-    found = met.join(words, "d").join(_maybe_broadcast(sides, items.count(), small), "item")
-    found = found.filter(F.col("p") + F.col("k") + F.col("after") <= F.size("w"))
-    limit = WINDOW - 1
-    found = found.withColumns({"left": _equal_run(F.col("w"), F.col("v"), -1, limit), "right": _equal_run(F.col("w"), F.col("v"), 1, limit)})
+    segments = _segments(rows.join(_maybe_broadcast(named, named.count(), small), "d", "left_semi"))
+    found = salted_join(met, segments, ["d", "s"], salt_on=["p"], salts=4).withColumn("at", F.col("p") - F.col("first"))
+    found = found.filter(F.col("at") + F.col("k") + F.col("after") <= F.size("u"))
+    found = found.withColumns({"left": _equal_run("u", "v", -1), "right": _equal_run("u", "v", 1)})
     return found.filter(F.col("left") + F.col("k") + F.col("right") >= F.col("n")).select(
         "d", "item", (F.col("p") - F.col("left")).alias("at"), (F.col("left") + F.col("k") + F.col("right")).alias("length")
     )
 
 
+def _segments(rows):
+    """Words of documents (``d``, ``w``) in segments ``s``: ``u`` from position ``first``, with the reach of a window on both sides."""
+    starts = F.transform(F.expr(f"CASE WHEN size(w) > 0 THEN sequence(0, CAST((size(w) - 1) div {SEGMENT} AS INT)) ELSE CAST(array() AS array<int>) END"), _segment)
+    return rows.select("d", F.explode(starts).alias("x")).select("d", "x.s", "x.first", "x.u")
+
+
+def _segment(s):
+    first = F.greatest(s * SEGMENT - REACH, F.lit(0))
+    return F.struct(s.cast("bigint").alias("s"), first.alias("first"), F.slice("w", first + 1, (s + 1) * SEGMENT + SHINGLE + REACH - first).alias("u"))
+
+
 def judge(docs, benchmark, id="doc_id", text="text", small=SMALL, **names):
     """One row per document: ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated``."""
     key = F.struct(F.col(id), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     keyed = docs.select(F.col(id).alias("_id"), key.alias("_key"), F.col(text).alias("_text"))
     runs = hits(keyed, benchmark, "_key", "_text", small=small, **names)
-    merged = written(_merged(runs), "hits")
+    merged = written(_merged(written(runs, "runs")), "hits")
     base = keyed.select("_id", "_key", F.size(words_of(F.col("_text"))).cast("long").alias("n_words"))
     out = base.join(_maybe_broadcast(merged, merged.count(), small), base["_key"] == merged["d"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -139,20 +162,22 @@ def judge(docs, benchmark, id="doc_id", text="text", small=SMALL, **names):
 
 
 def _merged(runs):
-    """Per document: the number of positions in the union of its runs, and its items."""
-    # the same stretch may be in many items: one row per distinct stretch is enough for positions
-    both = runs.groupBy("d").agg(
-        F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("length")).alias("end")))).alias("runs"),
-        F.sort_array(F.collect_set("item.item_id")).alias("items"),
-    )
+    """Per document: the number of positions in the union of its runs, and its items.
+
+    A run is shorter than a stretch of ``STRETCH`` positions, so it lies in one or two of them; each stretch is counted
+    on its own.
+    """
+    ends = runs.select("d", "at", (F.col("at") + F.col("length")).alias("end")).distinct()
+    parts = ends.withColumn("x", F.explode(F.sequence(F.expr(f"at div {STRETCH}"), F.expr(f"(end - 1) div {STRETCH}"))))
+    inside = F.struct(F.greatest("at", F.col("x") * STRETCH).cast("int").alias("at"), F.least("end", (F.col("x") + 1) * STRETCH).cast("int").alias("end"))
+    parts = parts.groupBy("d", "x").agg(F.sort_array(F.collect_set(inside)).alias("runs"))
     start = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end"))
     step = lambda a, r: F.struct(
         (a["hit"] + F.greatest(F.lit(0), r["end"] - F.greatest(a["end"], r["at"]))).alias("hit"), F.greatest(a["end"], r["end"]).alias("end")
     )
-    return both.select(
-        "d", F.aggregate("runs", start, step)["hit"].alias("n_hit"), F.size("items").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-    )
+    hit = parts.select("d", F.aggregate("runs", start, step)["hit"].alias("hit")).groupBy("d").agg(F.sum("hit").alias("n_hit"))
+    items = runs.groupBy("d").agg(F.sort_array(F.collect_set("item.item_id")).alias("items"))
+    return hit.join(items, "d").select("d", "n_hit", F.size("items").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
 
 
 def clean_documents(docs, benchmark, id="doc_id", text="text", small=SMALL, **names):
@@ -161,7 +186,7 @@ def clean_documents(docs, benchmark, id="doc_id", text="text", small=SMALL, **na
     both = F.struct(F.col(id), F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias(key)
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(whole), both)
     keyed = docs.select(F.col(id).alias("_id"), both.alias("_key"), F.col(text).alias("_text"))
-    merged = _merged(hits(keyed, benchmark, "_key", "_text", small=small, **names))
+    merged = _merged(written(hits(keyed, benchmark, "_key", "_text", small=small, **names), "runs"))
     words = F.size(words_of(F.col("_text")))
     bad = keyed.select("_key", words.alias("n_words")).join(merged.withColumnRenamed("d", "_key"), "_key")
     bad = written(bad.filter(F.col("n_hit") * 20 >= F.col("n_words")).select(F.col("_key").alias(key)).distinct(), "contaminated")

@@ -1,10 +1,10 @@
 """Importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Words and word pairs are hashed into a fixed number of buckets. The raw model counts them over all documents, the
-target model over labelled good documents (at most ``sample`` of them, those with the smallest hashes of their ids).
+target model over labelled good documents (quality 1 and not toxic; at most ``sample`` of them, those with the smallest hashes of their ids).
 A document's log weight is the sum over its n-grams of log target share minus log raw share, with additive smoothing.
 Gumbel noise, a hash of id and seed, is added, and the ``k`` largest are a sample without replacement that is
-proportional to the weights. ``k`` defaults to the labelled share of good documents, of all documents.
+proportional to the weights. ``k`` defaults to the share of good ones among the labels whose quality is known, of all documents.
 
 Only the bucket counts (a fixed number) reach the driver. The k-th largest is found by ranking: range partitions and
 their counts, no global sort in one task. A null or empty text has weight 1 (log 0). Ties of the noisy weight are
@@ -58,9 +58,14 @@ def _score(weights):
     return run
 
 
+def good_label():
+    """A label is good if its quality is 1 and it is not toxic; both the target model and the sample's size take it so."""
+    return (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+
+
 def fit(docs, labels, id="doc_id", text="text", buckets=BUCKETS, sample=SAMPLE, smoothing=SMOOTHING):
     """Log ratio of the two models for each bucket."""
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
+    good = labels.filter(good_label() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_good")).distinct()
     good = good.orderBy(F.xxhash64("_good"), "_good").limit(sample)
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     marked = rows.join(F.broadcast(good), F.col("_id") == F.col("_good"), "left").select(F.col("_good").isNotNull().alias("good"), "_text")
@@ -82,7 +87,7 @@ def scores(docs, weights, id="doc_id", text="text"):
 def resample(docs, labels, k=None, id="doc_id", text="text", seed=SEED, **options):
     """The sampled documents: id, ``log_weight``, ``noisy_weight``, ``rank`` (0 is the largest), ``kept`` (true)."""
     if k is None:
-        n, share = docs.count(), labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
+        n, share = docs.count(), labels.agg(F.avg(good_label().cast("double"))).first()[0]
         k = n if share is None else round(n * share)
     weights = fit(docs, labels, id, text, **options)
     uniform = (F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)

@@ -91,6 +91,23 @@ def test_contamination_equals_brute_force(spark, small):
     assert sorted(r.doc_id for r in clean.collect() if r.doc_id) == sorted(i for i, t in TEXTS if i and not want[i][4])
 
 
+def test_a_long_text_with_a_hit_at_every_second_word(spark):
+    items = [("t", "the"), ("u", " ".join(f"the r{i}" for i in range(9, 29)))]
+    rows = [(1, " ".join(f"the r{i}" for i in range(100_000))), (2, "the " * 50_000), (3, "no such word")]
+    out = by_id(decontaminate.judge(documents(spark, rows), spark.createDataFrame(items, "item_id string, text string")), "n_words", "n_hit", "n_items", "contaminated")
+    assert out == {1: (200_000, 100_000 + 20, 2, True), 2: (50_000, 50_000, 1, True), 3: (3, 0, 0, False)}
+
+
+@pytest.mark.parametrize("segment, stretch", [(1, 1), (5, 16)])
+def test_segments_and_stretches_of_any_size_give_the_same(spark, monkeypatch, segment, stretch):
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+    monkeypatch.setattr(decontaminate, "STRETCH", stretch)
+    monkeypatch.setattr(decontaminate, "SMALL_BYTES", 0)
+    items = spark.createDataFrame(ITEMS, "item_id string, text string")
+    out = by_id(decontaminate.judge(documents(spark, TEXTS), items), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert out == {i: brute_hits(t, ITEMS) for i, t in TEXTS}
+
+
 def test_no_items_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id string, text string")
     docs = documents(spark, TEXTS)

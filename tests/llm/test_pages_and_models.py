@@ -126,6 +126,47 @@ def test_resampling_prefers_the_target(spark):
     assert sorted((r["rank"], r.doc_id) for r in resample.resample(docs, labels, k=200).collect()) == sorted((r["rank"], r.doc_id) for r in out)
 
 
+def test_weights_ranks_and_sample_equal_plain_loops(spark):
+    """Both models counted word by word, weights summed n-gram by n-gram, noise added and everything sorted."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    buckets, seed = 64, 7
+    rows = [(i, prose(i, 5 + i % 40, 60)) for i in range(150)] + [(200, None), (201, " "), (202, "One two"), (203, "one TWO")]
+    labelled = [(i, int(i % 3 == 0), int(i % 4 == 0)) for i in range(0, 150, 2)] + [(202, 1, None), (151, None, 0), (None, 1, 0)]
+    docs, labels = documents(spark, rows), spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+
+    def grams(text):
+        words = (text or "").encode().lower().split()
+        return [(w,) for w in words] + list(zip(words, words[1:]))
+
+    def bucket(gram):
+        found, _ = resample.buckets_of([b" ".join(gram)], buckets)
+        return int(found[len(gram) - 1 if len(gram) == 1 else 2])
+
+    place = {g: bucket(g) for _, t in rows for g in grams(t)}
+    good = {i for i, q, t in labelled if q == 1 and not t and i is not None}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        for g in grams(t):
+            raw[place[g]] += 1
+            target[place[g]] += i in good
+    share = lambda c, b: (c[b] + 1.0) / (sum(c.values()) + buckets)
+    weight = {i: sum(math.log(share(target, place[g])) - math.log(share(raw, place[g])) for g in grams(t)) for i, t in rows}
+    noise = {r.doc_id: r.u for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).alias("u")).collect()}
+    noisy = {i: w - math.log(-math.log((noise[i] + 0.5) / (1 << 52))) for i, w in weight.items()}
+    order = sorted(noisy, key=lambda i: (-noisy[i], i))
+    known = [(q == 1 and not t) for _, q, t in labelled if q is not None]
+    k = round(len(rows) * sum(known) / len(known))
+
+    out = resample.resample(docs, labels, seed=seed, buckets=buckets).collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r["rank"])] == order[:k] and sorted(r["rank"] for r in out) == list(range(k))
+    for r in out:
+        assert r.log_weight == pytest.approx(weight[r.doc_id]) and r.noisy_weight == pytest.approx(noisy[r.doc_id])
+
+
 def test_resampling_odd_inputs(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = documents(spark, [(1, "a b"), (1, "a b"), (None, None), (2, "c")])
