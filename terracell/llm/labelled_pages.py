@@ -1,9 +1,10 @@
 """Labelled pages to train the extractor on: blocks under ``data-main="1"`` are main text, ``data-main="0"`` are not.
 
 Written for this purpose; each stands for a common way to lay out a page. The nearest mark above a block counts.
+``SINGLE`` are whole pages, ``LAYOUTS`` are filled with the words of each of ``TEXTS``. A layout is the unit to hold out.
 """
 
-PAGES = (
+SINGLE = (
     """<html><head><title>A walk along the river</title><script>x()</script></head><body data-main="0">
 <nav><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/about">About</a></li></ul></nav>
 <div class="ad">Buy two boots and get the third one free, today only.</div>
@@ -58,3 +59,62 @@ PAGES = (
     """<html><body data-main="0"><nav><ul><li><a href="/w">words</a></li><li><a href="/l">lists</a></li></ul></nav><div class="ad">Learn ten words a day.</div><article data-main="1"><h1>word | list | of | the | north</h1><p>fjord | fell | beck | tarn | scar | force | gill</p><p>Copyright by the collectors</p><p>dale</p><p>thwaite garth toft by</p></article><footer>&copy; words.example &middot; Printed in the north.</footer></body></html>""",
     """<html><body data-main="0"><nav><ul><li><a href="/x">x</a></li></ul></nav><div class="ad">Rings and chains, mended while you wait.</div><article data-main="1"><h1>One line</h1><p>only this and no more</p></article><footer>&copy; one.example &middot; Nothing to see.</footer></body></html>""",
 )
+
+# Layouts: {t} is a title, {a} to {e} are paragraphs, {s} a short line, {x} and {y} words of other people or of shops.
+LAYOUTS = (
+    # drawings that close themselves, code and a figure inside the article
+    """<html><body data-main="0"><header><svg width="1"/><a href="/">{s}</a></header><article data-main="1"><h1>{t}</h1><p>{a}</p><pre>{b}
+{s}</pre><p>{c}</p><figure><img src="i"><figcaption>{s}</figcaption></figure><p>{d}</p></article><footer>&copy; {s} &middot; {x}</footer></body></html>""",
+    # paragraphs that are bare divs
+    """<html><body data-main="0"><div><a href="/1">{s}</a> <a href="/2">{s}</a></div><div data-main="1"><div>{a}</div><div>{b}</div><div>{c}</div><div>{d}</div></div><div class="footer">{s}</div></body></html>""",
+    # bare divs below a heading, links around them
+    """<html><body data-main="0"><ul><li><a href="/1">{s}</a></li><li><a href="/2">{x}</a></li></ul><div data-main="1"><h1>{t}</h1><div>{a}</div><div>{b}</div><div>{e}</div></div><div><a href="/n">{s}</a></div></body></html>""",
+    # reader comments outside the article
+    """<html><body data-main="0"><nav><a href="/">{s}</a></nav><article data-main="1"><h1>{t}</h1><p>{a}</p><p>{b}</p><p>{c}</p></article><section class="comments"><h2>{s}</h2><article class="comment"><p>{x}</p></article><article class="comment"><p>{y}</p></article></section></body></html>""",
+    # a comment list, a form and related posts after a post
+    """<html><body data-main="0"><div id="masthead"><h1>{s}</h1></div><div class="post hentry" data-main="1"><h2>{t}</h2><p>{a}</p><p>{d}</p><blockquote><p>{c}</p></blockquote></div><div class="related posts"><p>{x}</p></div>
+<ol class="commentlist"><li><p>{y}</p></li><li><p>{x}</p></li></ol><form class="comment-form"><label>{s}</label><button>{s}</button></form></body></html>""",
+    # an encyclopedia page: contents, table, lists, notes
+    """<html><body data-main="0"><div id="sidebar"><ul><li><a href="/r">{s}</a></li></ul></div><main data-main="1"><h1>{t}</h1><p>{a}</p><div class="toc" data-main="0"><ul><li><a href="#1">{s}</a></li><li><a href="#2">{s}</a></li></ul></div>
+<h2>{s}</h2><p>{b}</p><table><caption>{s}</caption><tr><th>{s}</th><td>{c}</td></tr></table><dl><dt>{s}</dt><dd>{d}</dd></dl></main><footer><p>{x}</p><p>{y}</p></footer></body></html>""",
+    # layout by tables
+    """<html><body data-main="0"><table><tr><td class="nav"><a href="/">{s}</a><br><a href="/2">{s}</a></td><td class="content" data-main="1"><h1>{t}</h1><p>{a}<p>{b}<p>{c}</td><td class="ads">{x}</td></tr><tr><td class="bottom">{s}</td></tr></table></body></html>""",
+    # adverts and a newsletter form between paragraphs
+    """<html><body data-main="0"><div class="cookie banner"><p>{x}</p><button>{s}</button></div><div class="article-body" data-main="1"><h1>{t}</h1><p>{a}</p><div class="advert" data-main="0"><p>{y}</p></div><p>{b}</p><form class="newsletter" data-main="0"><p>{x}</p><input><button>{s}</button></form><p>{c}</p></div></body></html>""",
+    # a manual: lists, code and definitions
+    """<html><body data-main="0"><header role="banner"><nav><a href="/">{s}</a></nav></header><div role="main" data-main="1"><h1>{t}</h1><p>{a}</p><ol><li>{b}</li><li>{s}</li></ol><pre><code>{s}
+{c}</code></pre><p>{d}</p><ul><li>{e}</li></ul></div><div role="contentinfo">{s}</div></body></html>""",
+    # a story with pictures, an aside and an author's box
+    """<html><body data-main="0"><nav><ul><li><a href="/">{s}</a></li></ul></nav><article data-main="1"><header><h1>{t}</h1></header><p>{a}</p><figure><figcaption>{e}</figcaption></figure><aside class="pull" data-main="0"><p>{x}</p></aside><p>{b}</p><h2>{s}</h2><p>{c}</p></article><aside class="author"><p>{y}</p></aside><footer>&copy; {s}. {y}</footer></body></html>""",
+    # text with line breaks only
+    """<html><body data-main="0"><div class="menu"><a href="/">{s}</a></div><div class="text" data-main="1">{a}<br><br>{b}<br><br>{c}</div><div class="sidebar widget"><h3>{s}</h3><p>{x}</p></div><div class="legal">{s}</div></body></html>""",
+    # a page that ends with its article
+    """<html><body data-main="0"><nav><a href="/">{s}</a><a href="/2">{s}</a></nav><article data-main="1"><h1>{t}</h1><p>{a}</p><p>{b}</p><figure><figcaption>{s}</figcaption></figure><p>{e}</p></article></body></html>""",
+    # a page that is nothing but its text
+    """<html><body data-main="1"><h1>{t}</h1><p>{a}</p><p>{c}</p><p>{d}</p></body></html>""",
+    # a page that begins with its article
+    """<html><body data-main="0"><main data-main="1"><h1>{t}</h1><p>{a}</p><p>{b}</p><pre>{c}</pre></main><section class="comments"><p>{y}</p></section><footer>&copy; {s} &middot; {y}</footer></body></html>""",
+    # a page of sections without classes
+    """<html><body data-main="0"><header><p>{s}</p></header><main data-main="1"><section><h1>{t}</h1><p>{a}</p></section><section><h2>{s}</h2><p>{b}</p><p>{c}</p><ul><li>{d}</li><li>{e}</li></ul></section></main><aside><h2>{s}</h2><p>{x}</p></aside><footer>{s} &middot; {y}</footer></body></html>""",
+)
+
+TEXTS = (
+    dict(
+        t="How the harbour was dredged", s="Harbour notes", a="The harbour had been filling with sand for a hundred years before anybody thought of measuring it.", b="A rope with a lead was let down every ten steps.",
+        c="They found that the deepest place lay where the old charts showed a bank, and the other way round.", d="The work took three summers.", e="Sand from the harbour now lies under the market square.",
+        x="Great offers on sails, today only!", y="I remember this, my uncle was on the boat.",
+    ),
+    dict(
+        t="Wie man ein Fahrrad flickt", s="Werkstatt", a="Zuerst wird das Rad ausgebaut und der Mantel mit zwei Hebeln von der Felge gezogen.", b="Den Schlauch pumpt man auf und hält ihn ins Wasser.",
+        c="Wo Blasen steigen, ist das Loch; man trocknet die Stelle, rauht sie auf und trägt den Kleber dünn auf.", d="Nach fünf Minuten kommt der Flicken darauf.", e="Am Ende wird alles wieder eingebaut.",
+        x="Jetzt neu im Laden, nur solange der Vorrat reicht!", y="Bei mir hat das leider nicht gehalten.",
+    ),
+    dict(
+        t="Les nuages du soir", s="Carnet", a="Quand le soleil descend, les nuages prennent d'abord la couleur du miel, puis celle des braises.", b="Cela ne dure que quelques minutes.",
+        c="La lumière traverse alors une plus grande épaisseur d'air, qui retient le bleu et laisse passer le rouge.", d="Après la pluie, les couleurs sont plus vives.", e="Les peintres le savaient bien avant les savants.",
+        x="Abonnez-vous dès maintenant et recevez un cadeau.", y="Très beau texte, merci beaucoup à vous.",
+    ),
+)
+
+GROUPS = tuple((page,) for page in SINGLE) + tuple(tuple(layout.format(**text) for text in TEXTS) for layout in LAYOUTS)
+PAGES = tuple(page for group in GROUPS for page in group)
