@@ -6,6 +6,7 @@ from checks.base import cells, features, prints, query, r6s, rasters, relief, ta
 from checks.projections import rings
 from terracell.functions import affine, geodesy, geometry as G
 from terracell.operators import chips, grids
+from terracell.operators.regions import region_edges
 
 LAT = "radians((s+n)/2)"
 GRIDS = """WITH a AS (SELECT region_id, w AS rw, s AS rs, e AS re, n AS rn, w, s, e, n, (1/298.257223563e0)*(2-1/298.257223563e0) AS e2 FROM zones),
@@ -28,7 +29,7 @@ SELECT region_id, cast(grid_row AS int) AS grid_row, cast(grid_col AS int) AS gr
 def g1(spark, folder):
     ring = G.box_ring(*[F.col(k) for k in "wsen"])
     regions = zones(spark, folder).select("region_id", ring.alias("ring"))
-    out = grids.reference_grids(regions, grid_width=100, step_size=50, grid_res=1000)
+    out = grids.reference_grids(region_edges(regions, keys=("region_id",)), grid_width=100, step_size=50, grid_res=1000)
     return r6s(out.drop("file_name"), *"wsen")
 
 
@@ -39,8 +40,27 @@ RING_GRIDS = GRIDS.replace("w, s, e, n, (1/298", "w-2 AS w, s-2 AS s, e+2 AS e,
 
 @query("g1_reference_grids_in_rings", RING_GRIDS, ["zones"])
 def g1_ring(spark, folder):
-    out = grids.reference_grids(rings(spark, folder), grid_width=100, step_size=50, grid_res=1000)
-    return r6s(out.drop("file_name"), *"wsen")
+    edges = region_edges(rings(spark, folder), keys=("region_id",))
+    return r6s(grids.reference_grids(edges, grid_width=100, step_size=50, grid_res=1000).drop("file_name"), *"wsen")
+
+
+# a notched part with a hole and a part of its own, relative to the zone's corner
+SHAPE_GRIDS = GRIDS.replace("w, s, e, n, (1/298", "w, s, w+9 AS e, s+9 AS n, (1/298").replace(
+    "WHERE bw<=re AND rw<=be AND bs<=rn AND rs<=bn",
+    """WHERE bw<=rw+6 AND rw<=be AND bs<=rs+4 AND rs<=bn AND NOT (bw>rw+1.5 AND be<rw+5 AND bs>rs+0.7 AND bn<rs+3.4)
+    OR bw<=rw+2 AND rw<=be AND bs<=rs+9 AND rs+4<=bn OR bw<=rw+9 AND rw+8<=be AND bs<=rs+9 AND rs+6<=bn""",
+)
+
+
+@query("g1_reference_grids_of_shapes", SHAPE_GRIDS, ["zones"])
+def g1_shapes(spark, folder):
+    w, s = F.col("w"), F.col("s")
+    ring = lambda *points: F.array(*[F.struct((w + x).alias("x"), (s + y).alias("y")) for x, y in points])
+    parts = F.array(
+        ring((0, 0), (6, 0), (6, 4), (2, 4), (2, 9), (0, 9)), ring((1.5, 0.7), (1.5, 3.4), (5, 3.4), (5, 0.7)), ring((8, 6), (9, 6), (9, 9), (8, 9))
+    )
+    edges = region_edges(zones(spark, folder).select("region_id", F.explode(parts).alias("ring")), keys=("region_id",))
+    return r6s(grids.reference_grids(edges, grid_width=100, step_size=50, grid_res=1000).drop("file_name"), *"wsen")
 
 
 TILE = """degrees(atan(sinh(pi()*(1-2*{0}/pow(2e0,zoom)))))"""
@@ -102,21 +122,37 @@ def g5(spark, folder):
     return grids.to_chips(rasters(spark, folder), (F.lit(8), F.lit(8)), 4, 3, 3)
 
 
-WALK = """WITH RECURSIVE m AS (SELECT scene_id, r, c, sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY scene_id, r ORDER BY c RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING) AS k FROM relief),
-pos AS (SELECT scene_id, r, c, sum(k) OVER (PARTITION BY scene_id, c ORDER BY r RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING)<0.02e0*64 AS good FROM m),
-size AS (SELECT scene_id, max(r)+1 AS h, max(c)+1 AS w FROM relief GROUP BY scene_id),
-walk AS (SELECT scene_id, 0 AS r, 0 AS c, 1 AS k FROM size WHERE h>=8 AND w>=8
+WALK = """WITH RECURSIVE seen AS (FROM_WHERE),
+size AS (SELECT scene_id, max(r)+1 AS h, max(c)+1 AS w FROM seen GROUP BY scene_id),
+lattice AS (SELECT scene_id, r, unnest(range(w)) AS c FROM (SELECT scene_id, w, unnest(range(h)) AS r FROM size)),
+m AS (SELECT l.scene_id, l.r, l.c, sum(CASE WHEN v IS NULL OR NOT isfinite(v) THEN 1 ELSE 0 END) OVER (PARTITION BY l.scene_id, l.r ORDER BY l.c RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING) AS k
+    FROM lattice l LEFT JOIN seen ON seen.scene_id=l.scene_id AND seen.r=l.r AND seen.c=l.c),
+pos AS (SELECT scene_id, r, c, sum(k) OVER (PARTITION BY scene_id, c ORDER BY r RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING)<LIMITe0*64 AS good FROM m),
+walk AS (SELECT scene_id, 0::BIGINT AS r, 0::BIGINT AS c, 1 AS k FROM size WHERE h>=8 AND w>=8
     UNION ALL SELECT scene_id, r, c, k FROM (SELECT scene_id, h, CASE WHEN nc+8>w THEN nr+6 ELSE nr END AS r, CASE WHEN nc+8>w THEN 0 ELSE nc END AS c, k
         FROM (SELECT a.scene_id, h, w, CASE WHEN good THEN a.r ELSE a.r+2*k END AS nr, CASE WHEN good THEN a.c+6 ELSE a.c+2*k END AS nc, CASE WHEN good THEN 1 ELSE k+1 END AS k
             FROM walk a JOIN pos p ON a.scene_id=p.scene_id AND a.r=p.r AND a.c=p.c JOIN size z ON a.scene_id=z.scene_id)) WHERE r+8<=h)
 SELECT scene_id, cast(r AS int) AS chip_r0, cast(c AS int) AS chip_c0 FROM walk JOIN pos USING (scene_id, r, c) WHERE good"""
+# cells that are not finite, and cells that have no row
+GAPS = """SELECT scene_id, r, c, CASE WHEN (r*5+c*3)%29=0 THEN 'nan'::DOUBLE WHEN (r*7+c)%37=0 THEN 'infinity'::DOUBLE ELSE v END AS v FROM relief WHERE (r*3+c*11)%31<>0"""
 
 
-@query("g6_chip_walk", WALK, ["relief"])
-def g6(spark, folder):
-    raster = relief(spark, folder).withColumn("layer", F.lit("elevation"))
+def walked(raster, limit):
+    raster = raster.withColumn("layer", F.lit("elevation"))
     scenes = raster.groupBy("scene_id").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))
-    return chips.walk_chips(raster, scenes, 8, 6, 6, missing_step=2, limit=0.02)
+    return chips.walk_chips(raster, scenes, 8, 6, 6, missing_step=2, limit=limit)
+
+
+@query("g6_chip_walk", WALK.replace("FROM_WHERE", "SELECT * FROM relief").replace("LIMIT", "0.02"), ["relief"])
+def g6(spark, folder):
+    return walked(relief(spark, folder), 0.02)
+
+
+@query("g6_chip_walk_around_gaps", WALK.replace("FROM_WHERE", GAPS).replace("LIMIT", "0.12"), ["relief"])
+def g6_gaps(spark, folder):
+    r, c = F.col("r"), F.col("c")
+    odd = F.when((r * 5 + c * 3) % 29 == 0, F.lit(float("nan"))).when((r * 7 + c) % 37 == 0, F.lit(float("inf"))).otherwise(F.col("v"))
+    return walked(relief(spark, folder).filter((r * 3 + c * 11) % 31 != 0).withColumn("v", odd), 0.12)
 
 
 @query(

@@ -1,27 +1,22 @@
 """Reference grids, tile tables and chip lattices."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terracell.functions import geodesy
-from terracell.functions.geometry import box_meets_edges, boxes_intersect, convex_edges, ring_bounds
+from terracell.functions.geometry import segment_box_distance
 from terracell.functions.names import bbox_name
 
 # Grids stay inside this longitude.
 EDGE = 179.999
 
 
-def reference_grids(regions, grid_width=2560, step_size=1280, grid_res=10, ring="ring"):
-    """Overlapping square grids of ``grid_width`` cells covering each region's polygon.
-
-    The metre resolution becomes degrees at the middle latitude, first to the north, then to the east;
-    the bounds get half a grid of margin and are held inside the antimeridian. Grids that do not meet
-    the (convex) ring are left out. Rows are spread before columns are generated, so one world-sized
-    region does not generate all its grids in a single task.
-    """
+def _lattice(edges, grid_width, step_size, grid_res, region_id):
+    """Per region: bounds, resolution and number of rows and columns of its lattice of grids."""
     half = grid_width / 2
-    b = ring_bounds(F.col(ring))
-    df = regions.withColumns({"_w": b["w"], "_s": b["s"], "_e": b["e"], "_n": b["n"]})
-    df = df.withColumns({"_bounds": F.struct(*[F.col(f"_{k}").alias(k) for k in "wsen"]), "_edges": convex_edges(F.col(ring))})
+    low = lambda a, b: F.min(F.least(a, b))
+    high = lambda a, b: F.max(F.greatest(a, b))
+    df = edges.groupBy(region_id).agg(low("x0", "x1").alias("_w"), low("y0", "y1").alias("_s"), high("x0", "x1").alias("_e"), high("y0", "y1").alias("_n"))
     df = df.withColumn("_yres", geodesy.degrees_north(grid_res, (F.col("_s") + F.col("_n")) / 2))
     df = df.withColumns({"_s": F.col("_s") - F.col("_yres") * half, "_n": F.col("_n") + F.col("_yres") * half})
     df = df.withColumn("_xres", geodesy.degrees_east(grid_res, (F.col("_s") + F.col("_n")) / 2))
@@ -35,26 +30,73 @@ def reference_grids(regions, grid_width=2560, step_size=1280, grid_res=10, ring=
         }
     )
     steps = lambda low, high, res: F.floor(F.ceil((F.col(high) - F.col(low)) / F.col(res)) / step_size).cast("int")
-    df = df.withColumn("grid_row", F.explode(F.sequence(F.lit(0), steps("_s", "_n", "_yres"))))
-    keys = [c for c in regions.columns if c != ring]
-    df = df.repartition(*keys, "grid_row")
-    df = df.withColumn("grid_col", F.explode(F.sequence(F.lit(0), steps("_w", "_e", "_xres"))))
+    return df.withColumns({"_rows": steps("_s", "_n", "_yres"), "_cols": steps("_w", "_e", "_xres")})
+
+
+def _grid_box(grid_width, step_size):
+    """The box of the grid at ``grid_row``, ``grid_col``; the columns count from the east where that is the edge."""
     width = F.col("_xres") * grid_width
     from_east = F.col("_e") == EDGE
     forward = F.col("_w") + F.col("grid_col") * step_size * F.col("_xres")
     backward = F.col("_e") - F.col("grid_col") * step_size * F.col("_xres")
-    low = F.col("_s") + F.col("grid_row") * step_size * F.col("_yres")
-    df = df.withColumns(
-        {
-            "w": F.when(from_east, backward - width).otherwise(forward),
-            "e": F.when(from_east, backward).otherwise(F.least(forward + width, F.lit(EDGE))),
-            "s": low, "n": low + F.col("_yres") * grid_width,
-        }
-    )
-    box = F.struct("w", "s", "e", "n")
-    df = df.filter(boxes_intersect(box, F.col("_bounds")) & box_meets_edges(box, F.col("_edges")))
-    name = bbox_name(F.col("w"), F.col("s"), F.col("e"), F.col("n"))
-    return df.select(*keys, "grid_row", "grid_col", "w", "s", "e", "n", name.alias("file_name"))
+    south = F.col("_s") + F.col("grid_row") * step_size * F.col("_yres")
+    return {
+        "w": F.when(from_east, backward - width).otherwise(forward),
+        "e": F.when(from_east, backward).otherwise(F.least(forward + width, F.lit(EDGE))),
+        "s": south, "n": south + F.col("_yres") * grid_width,
+    }
+
+
+def _run(low, high, last):
+    """Places ``low`` to ``high`` of a lattice whose last place is ``last``, with one more on either side for rounding."""
+    first, end = F.greatest(F.floor(low) - 1, F.lit(0)).cast("int"), F.least(F.ceil(high) + 1, last).cast("int")
+    return F.when(first <= end, F.sequence(first, F.greatest(first, end)))
+
+
+def _columns(xa, xb, grid_width, step_size):
+    """The columns whose boxes may meet the x range ``xa`` to ``xb``."""
+    step, width = F.col("_xres") * step_size, F.col("_xres") * grid_width
+    from_east = F.col("_e") == EDGE
+    first = F.when(from_east, (F.col("_e") - width - xb) / step).otherwise((xa - width - F.col("_w")) / step)
+    end = F.when(from_east, (F.col("_e") - xa) / step).otherwise((xb - F.col("_w")) / step)
+    return _run(first, end, F.col("_cols"))
+
+
+def reference_grids(edges, grid_width=2560, step_size=1280, grid_res=10, region_id="region_id"):
+    """Overlapping square grids of ``grid_width`` cells covering each region, by scan lines over its edges.
+
+    ``edges`` has one row per edge (``region_id``, ``x0, y0, x1, y1``); a region may have any shape, several parts, and
+    holes (inside is even-odd). The metre resolution becomes degrees at the middle latitude, first to the north, then to
+    the east; the bounds get half a grid of margin and are held inside the antimeridian.
+
+    A grid meets a region if an edge touches it or its lower left corner lies inside. Each edge gives one run of columns
+    for every row of grids it passes, and the crossings of a row's lower line, in order, bound runs of corners that lie
+    inside. Only these runs are generated: the work follows edges and result, not the bounds of a region.
+    """
+    frame = _lattice(edges, grid_width, step_size, grid_res, region_id)
+    step, height = F.col("_yres") * step_size, F.col("_yres") * grid_width
+    south = F.col("_s") + F.col("grid_row") * step_size * F.col("_yres")
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    held = edges.select(region_id, "x0", "y0", "x1", "y1").join(frame, region_id)
+    rows = _run((F.least(y0, y1) - height - F.col("_s")) / step, (F.greatest(y0, y1) - F.col("_s")) / step, F.col("_rows"))
+    held = held.withColumn("grid_row", F.explode(rows))
+
+    # the part of an edge inside its row's band; a flat edge is in whole
+    at = lambda y: F.when(y0 == y1, x0).otherwise(x0 + (F.least(F.greatest(y, F.least(y0, y1)), F.greatest(y0, y1)) - y0) * F.try_divide(x1 - x0, y1 - y0))
+    ends = [at(south), F.when(y0 == y1, x1).otherwise(at(south + height))]
+    touched = held.withColumn("grid_col", F.explode(_columns(F.least(*ends), F.greatest(*ends), grid_width, step_size)))
+    touched = touched.withColumns(_grid_box(grid_width, step_size))
+    touched = touched.filter(segment_box_distance(x0, y0, x1, y1, F.struct("w", "s", "e", "n")) <= 0)
+
+    crossing = held.filter((y0 > south) != (y1 > south)).withColumn("_x", x0 + (south - y0) * (x1 - x0) / (y1 - y0))
+    line = Window.partitionBy(region_id, "grid_row").orderBy("_x")
+    crossing = crossing.withColumns({"_to": F.lead("_x").over(line), "_k": F.row_number().over(line)}).filter("_k % 2 = 1")
+    inside = crossing.withColumn("grid_col", F.explode(_columns(F.col("_x"), F.col("_to"), grid_width, step_size)))
+    inside = inside.withColumns(_grid_box(grid_width, step_size)).filter("w > _x and w < _to")
+
+    out = [region_id, "grid_row", "grid_col", "w", "s", "e", "n"]
+    found = touched.select(*out).union(inside.select(*out)).dropDuplicates([region_id, "grid_row", "grid_col"])
+    return found.withColumn("file_name", bbox_name(F.col("w"), F.col("s"), F.col("e"), F.col("n")))
 
 
 def tile_table(spark, zoom):

@@ -1,35 +1,45 @@
 """New scenes, running totals and duplicate acquisitions with Structured Streaming."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def process_new(source, transform, sink, checkpoint, key, part=None):
-    """Transform arriving rows and append those that no earlier batch has brought.
+def process_new(source, transform, sink, checkpoint, key, part=None, time=None, delay=None):
+    """Transform arriving rows and append those that nothing before has brought.
 
     A scene (``key``) may arrive in pieces: ``part`` names the columns of the result that tell its pieces apart (file,
-    block, cell), by default all of them. A piece that came before is left out, a further piece of a known scene is not.
-    Pieces are compared by a 64-bit hash, the only column besides ``key`` that is read back from the sink.
+    block, cell), by default all of them. A piece that came before is left out, whether in the same micro-batch or an
+    earlier one; a further piece of a known scene is not. Known pieces are keyed state (``key`` and a 64-bit hash of the
+    piece) of a second stream over the transformed rows, so a batch costs what it brings and never reads the sink. With
+    ``time`` and ``delay`` a piece is forgotten once the watermark has passed it; else state grows with the pieces.
 
-    Each micro-batch overwrites its own ``batch=`` folder, so a replayed batch after a lost executor or
-    driver leaves one copy. Runs over what is available and stops.
+    ``transform`` sees one micro-batch and may aggregate. Each micro-batch overwrites its own folder, so a replayed batch
+    after a lost executor or driver leaves one copy. Runs over what is available and stops.
     """
     spark = source.sparkSession
+    arrived = f"{checkpoint}/arrived"
 
-    def write(batch, batch_id):
+    def pieces(batch):
         out = transform(batch)
-        out = out.withColumn("_piece", F.xxhash64(*(out.columns if part is None else part)))
-        if batch_id > 0:
-            stored = T.StructType([*out.schema.fields, T.StructField("batch", T.LongType())])
-            done = spark.read.schema(stored).parquet(sink).filter(F.col("batch") < batch_id)
-            done = done.select(F.col(key).alias("_done"), F.col("_piece").alias("_known")).distinct()
-            known = out[key].eqNullSafe(done["_done"]) & (out["_piece"] == done["_known"])
-            out = out.join(done, known, "left_anti")
-        out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    query = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(sink).drop("batch", "_piece")
+        return out.withColumn("_piece", F.xxhash64(*(out.columns if part is None else part)))
+
+    def into(folder):
+        return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    def run(stream, write, name):
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    schema = pieces(spark.createDataFrame([], source.schema)).schema
+    # a first empty folder: the second stream needs one to look into
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{arrived}/batch=none")
+    run(source, lambda batch, batch_id: into(arrived)(pieces(batch), batch_id), "arriving")
+    rows = spark.readStream.schema(schema).option("cleanSource", "delete").parquet(f"{arrived}/*")
+    if time is None:
+        rows = rows.dropDuplicates([key, "_piece"])
+    else:
+        rows = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key, "_piece"])
+    run(rows, into(sink), "known")
+    return spark.read.schema(schema).parquet(sink).drop("batch", "_piece")
 
 
 def running_totals(source, keys, aggregates, sink, checkpoint):

@@ -154,6 +154,22 @@ def test_chip_walk_against_loop(spark, share):
         assert sorted((x["chip_r0"], x["chip_c0"]) for x in out if x["scene_id"] == s) == slow_walk(g, 5, 5, 4, 2, 0.2)
 
 
+@pytest.mark.parametrize("kind", ["null", "nan", "infinite", "absent", "absent lines"])
+def test_chip_walk_around_cells_without_a_value(spark, kind):
+    rng = np.random.default_rng(4)
+    gone = rng.random((30, 34)) < 0.1
+    gone[8:15] |= kind == "absent lines"
+    gone[4:12, 6:20] = True
+    value = {"null": None, "nan": float("nan"), "infinite": float("-inf")}.get(kind)
+    rows = [(0, r, c, "el", value if m else 1.0) for (r, c), m in np.ndenumerate(gone) if not (m and kind.startswith("absent"))]
+    rows += [(1, r, c, "el", None) for r in range(6) for c in range(6)] + [(1, r, c, "im", 1.0) for r in range(6) for c in range(6)]
+    df = spark.createDataFrame(rows, "scene_id long, r int, c int, layer string, v double").repartition(5)
+    shapes = spark.createDataFrame([(0, 30, 34), (1, 6, 6), (2, 6, 6)], "scene_id long, height int, width int")
+    out = chips.walk_chips(df, shapes, 5, 5, 4, missing_step=2, limit=0.2).collect()
+    assert sorted((x["chip_r0"], x["chip_c0"]) for x in out if x["scene_id"] == 0) == slow_walk(gone, 5, 5, 4, 2, 0.2)
+    assert not [x for x in out if x["scene_id"] != 0]
+
+
 def test_numbering_and_stats_with_one_hot_key(spark):
     rows = [(0, i * 3) for i in range(400)] + [(k, i) for k in (1, 2) for i in range(100)]
     df = spark.createDataFrame(rows, "k int, o long")

@@ -26,6 +26,30 @@ def test_a_scene_in_several_batches_is_kept_whole(spark, tmp_path):
     assert sorted(map(tuple, run().filter("scene_id is not null").collect())) == sorted([*want, (2, 9)])
 
 
+@pytest.mark.parametrize("files", [1, 2, 100])
+def test_repeats_inside_and_across_batches_are_left_out(spark, tmp_path, files):
+    """However the files fall into batches; a restart knows what came before without the sink."""
+    deliver = lambda *rows: spark.createDataFrame(rows, "scene_id long, b int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        deliver((1, 1), (1, 2), (2, 1), (1, 1))
+    deliver((1, 2), (3, 1), (None, 5), (None, 5))
+    stream = spark.readStream.schema("scene_id long, b int").option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in"))
+    run = lambda out: sorted(map(str, map(tuple, process_new(stream, lambda df: df, str(tmp_path / out), str(tmp_path / "check"), "scene_id").collect())))
+    assert run("out") == sorted(map(str, [(1, 1), (1, 2), (2, 1), (3, 1), (None, 5)]))
+    deliver((1, 1), (4, 1), (4, 1))
+    # another sink: only what is new arrives there, so nothing of the first sink was read
+    assert run("other") == ["(4, 1)"]
+
+
+def test_pieces_are_forgotten_behind_the_watermark(spark, tmp_path):
+    for rows in ([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:00")], [(2, "2024-01-09 00:00:00")], [(1, "2024-01-01 00:00:00")]):
+        df = spark.createDataFrame(rows, "scene_id long, t string").selectExpr("scene_id", "cast(t as timestamp) as ts")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("scene_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = process_new(stream, lambda df: df, str(tmp_path / "out"), str(tmp_path / "check"), "scene_id", time="ts", delay="1 day")
+    assert sorted(r.scene_id for r in out.collect()) == [1, 2]
+
+
 def test_bounds_select_or_are_refused(spark, tmp_path):
     df = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 5, 2.0), (2, 0, 0, 3.0)], "scene_id long, r int, c int, v double")
     scenes = spark.createDataFrame([(1, 0.0, 10.0, 1.0, 1.0, 10, 10), (2, 50.0, 10.0, 1.0, 1.0, 10, 10)], "scene_id long, w double, n double, x_res double, y_res double, height int, width int")

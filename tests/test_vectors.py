@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terracell.functions import geometry as G
 from terracell.operators import burn, grids, regrid, spatial
+from terracell.operators.regions import region_edges
 
 
 def boxes(spark, rows, key, box):
@@ -34,7 +35,7 @@ def test_box_join_with_a_hot_bucket(spark, hot):
 def test_reference_grids_cover_the_region(spark):
     ring = G.box_ring(*[F.lit(v) for v in (10.0, 40.0, 10.5, 40.4)])
     regions = spark.range(1).select(F.col("id").alias("region_id"), ring.alias("ring"))
-    out = grids.reference_grids(regions, grid_width=832, step_size=832).toPandas()
+    out = grids.reference_grids(region_edges(regions, keys=("region_id",)), grid_width=832, step_size=832).toPandas()
     rng = np.random.default_rng(0)
     for x, y in zip(rng.uniform(10, 10.5, 200), rng.uniform(40, 40.4, 200)):
         assert ((out.w <= x) & (x < out.e) & (out.s <= y) & (y < out.n)).sum() == 1
@@ -46,10 +47,63 @@ def test_reference_grids_cover_the_region(spark):
 @pytest.mark.parametrize("w,e", [(-180.0, -179.5), (179.5, 180.0)])
 def test_grids_stay_inside_the_antimeridian(spark, w, e):
     ring = G.box_ring(*[F.lit(v) for v in (w, 0.0, e, 0.3)])
-    out = grids.reference_grids(spark.range(1).select(F.col("id").alias("region_id"), ring.alias("ring")), 500, 500, 20).toPandas()
+    edges = region_edges(spark.range(1).select(F.col("id").alias("region_id"), ring.alias("ring")), keys=("region_id",))
+    out = grids.reference_grids(edges, 500, 500, 20).toPandas()
     assert len(out) and out.w.min() >= -179.999 and out.e.max() <= 179.999
 
 
+SHAPES = {
+    "notch": [[(0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3)]],
+    "hole": [[(10, 10), (14, 10), (14, 14), (10, 14)], [(11, 11), (11, 13.3), (13.2, 13.3), (13.2, 11)]],
+    "parts": [[(20, -5), (20.4, -4.6), (20, -4.2)], [(22, -3), (23, -2.7), (22.2, -1.9)]],
+    "sliver": [[(30, 50), (34, 53.99), (34, 54), (30, 50.01)]],
+}
+
+
+def shape_edges(spark, shapes):
+    rows = [(k, n, i, *map(float, (*ring[i], *ring[(i + 1) % len(ring)]))) for k, rings in shapes.items() for n, ring in enumerate(rings) for i in range(len(ring))]
+    return spark.createDataFrame(rows, "region_id string, ring int, i int, x0 double, y0 double, x1 double, y1 double")
+
+
+def box_meets(box, rings):
+    """Plain even-odd test of a corner, and plain clipping of every edge."""
+    w, s, e, n = box
+    inside = False
+    for ring in rings:
+        for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
+            inside ^= (y0 > s) != (y1 > s) and w < x0 + (s - y0) * (x1 - x0) / (y1 - y0)
+            low, high = 0.0, 1.0
+            for d, a, b in ((x1 - x0, w - x0, e - x0), (y1 - y0, s - y0, n - y0)):
+                if d == 0:
+                    if a > 0 or b < 0:
+                        low = 2.0
+                else:
+                    low, high = max(low, min(a / d, b / d)), min(high, max(a / d, b / d))
+            if low <= high:
+                return True
+    return inside
+
+
+def test_grids_of_shapes_equal_a_scan_of_the_whole_lattice(spark):
+    out = grids.reference_grids(shape_edges(spark, SHAPES), grid_width=50, step_size=30, grid_res=1000).collect()
+    for k, rings in SHAPES.items():
+        mine = {(r.grid_row, r.grid_col): (r.w, r.s, r.e, r.n) for r in out if r.region_id == k}
+        xs, ys = [x for ring in rings for x, _ in ring], [y for ring in rings for _, y in ring]
+        (row, col), (w, s, e, n) = next(iter(mine.items()))
+        dx, dy = (e - w) * 30 / 50, (n - s) * 30 / 50
+        w, s, wide, high = w - col * dx, s - row * dy, e - w, n - s
+        rows, cols = range(int((max(ys) - s) / dy) + 2), range(int((max(xs) - w) / dx) + 2)
+        want = {(i, j) for i in rows for j in cols if box_meets((w + j * dx, s + i * dy, w + j * dx + wide, s + i * dy + high), rings)}
+        assert set(mine) == want
+        whole = len(rows) * len(cols)
+        assert k != "sliver" or len(want) < whole / 3
+
+
+def test_grids_hold_no_ring_in_a_row_and_scan_no_lattice(spark):
+    plan = grids.reference_grids(shape_edges(spark, SHAPES))._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "collect_list" not in plan
+
+
 def test_tile_table_covers_the_world_once(spark):
     t = grids.tile_table(spark, 3).toPandas()
     assert len(t) == 64 and t.w.min() == -180 and t.e.max() == 180 and abs(t.n.max() - 85.051128780) < 1e-8
