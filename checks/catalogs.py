@@ -7,6 +7,7 @@ from checks.aggregates import composite_sql
 from checks.joins import NORMAL
 from terracell.functions.names import padded_key
 from terracell.operators import catalog, splits
+from terracell.operators.regions import region_edges
 from terracell.plans.acquire import choose_items, tile_images
 from terracell.plans.training import training_chips
 
@@ -64,6 +65,30 @@ def t3(spark, folder):
     return catalog.tiered(items(spark, folder), **LADDER).select("item_id", "tile", "tier")
 
 
+# half years and intervals over the turn of a year, one per tile; events lie between 2023 and 2024
+SEARCHES = """sea AS (SELECT tile, CASE WHEN tile%2=0 THEN DATE '2024-01-01' ELSE DATE '2024-11-15' END AS s, CASE WHEN tile%2=0 THEN DATE '2024-06-30' ELSE DATE '2025-02-28' END AS e
+    FROM (SELECT DISTINCT tile FROM items)),
+lad AS (SELECT tile, cast(i AS int) AS tier, s, e, least(50,1+5*i) AS below FROM sea, range(11) a(i)
+    UNION ALL SELECT tile, cast(10+y AS int), cast(s-to_months(cast(12*y AS int)) AS date), cast(e-to_months(cast(12*y AS int)) AS date), 50 FROM sea, range(1,4) b(y))"""
+
+
+def searches(df):
+    day = lambda even, odd: F.when(F.col("tile") % 2 == 0, even).otherwise(odd).cast("date")
+    tiles = df.select("tile").distinct()
+    return tiles.select("tile", day("2024-01-01", "2024-11-15").alias("start"), day("2024-06-30", "2025-02-28").alias("end"))
+
+
+@query(
+    "t3_interval_ladder",
+    f"WITH {SEARCHES} SELECT item_id, i.tile, dt, min(tier) AS tier FROM items i JOIN lad l ON i.tile=l.tile AND dt BETWEEN s AND e AND cloud<below GROUP BY ALL",
+    ["items"],
+)
+def t3_interval(spark, folder):
+    listed = items(spark, folder)
+    ladder = catalog.search_ladder(searches(listed), cloud=1, max_cloud=50, step=5, min_year=2021)
+    return catalog.tiered_by_interval(listed, ladder).select("item_id", "tile", "dt", "tier")
+
+
 @query(
     "t4_top_per_tile",
     "SELECT tile, item_id, score, cast(rank AS int) AS rank FROM (SELECT tile, item_id, cloud+nodata AS score, row_number() OVER (PARTITION BY tile ORDER BY cloud+nodata, item_id) AS rank FROM items) WHERE rank<=4",
@@ -102,6 +127,44 @@ def t10(spark, folder):
     return splits.keep_sample(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", 10000 / 1000003, 9)
 
 
+# a diamond in each tile, granules shared by two items, and items whose box misses the polygon
+IN_POLYGON = (
+    COVER.replace("vec_id//4 AS tile, cast", "vec_id//4 AS tile, vec_id//2 AS gran, vec_id%5<>0 AS meets, cast")
+    .replace("lad AS (", "ivl AS (SELECT vec_id, make_date(2024-label%3, 1+cast(vec_id%12 AS int), 15) AS dt FROM embeddings), lad AS (")
+    .replace("SELECT tile, item_id, cloud+nodata AS score, min(tier) AS tier FROM (SELECT tile, item_id, cloud,", "SELECT tile, item_id, gran, meets, cloud+nodata AS score, min(tier) AS tier FROM (SELECT tile, item_id, gran, meets, cloud,")
+    .replace("UNION ALL SELECT tile, item_id, cloud, nodata, 10+2024-yr", "UNION ALL SELECT tile, item_id, gran, meets, cloud, nodata, 10+2024-yr")
+    .replace("FROM cat, lad WHERE yr=2024 AND", "FROM cat JOIN ivl ON vec_id=tile*4+item_id, lad WHERE month(dt)<=6 AND yr=2024 AND")
+    .replace("FROM cat WHERE yr<2024", "FROM cat JOIN ivl ON vec_id=tile*4+item_id WHERE month(dt)<=6 AND yr<2024")
+    .replace("cand AS (SELECT", """out AS (SELECT t AS tile, cast(sum(cast(1 AS hugeint)<<(r*8+c)) AS hugeint) AS mask FROM (SELECT DISTINCT tile AS t FROM cat), range(8) a(r), range(8) b(c)
+    WHERE abs(c+0.5e0-(4+t%3))+abs(r+0.5e0-4)>3.75e0 GROUP BY t), once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile, gran ORDER BY tier, score, item_id) AS nth FROM tie) WHERE nth=1 AND meets),
+    cand AS (SELECT""")
+    .replace("FROM tie JOIN msk", "FROM once JOIN msk")
+    .replace("tier, cast(0 AS hugeint) AS mask, cast([] AS integer[]) AS chosen FROM cand WHERE k=1", "tier, out.mask, cast([] AS integer[]) AS chosen FROM cand JOIN out USING (tile) WHERE k=1")
+)
+
+
+@query("t2_cover_of_polygons", f"{IN_POLYGON} SELECT tile, cast(place AS int) AS place, item_id, found FROM sel", ["stack"])
+def t2_polygons(spark, folder):
+    images = stack(spark, folder).withColumnRenamed("scene_id", "tile")
+    listed = catalogue(spark, folder)
+    day = F.make_date(F.col("yr"), ((F.col("tile") * 4 + F.col("item_id")) % 12 + 1).cast("int"), F.lit(15))
+    vec = F.col("tile") * 4 + F.col("item_id")
+    listed = listed.withColumns({"dt": day, "granule_id": F.expr("(tile * 4 + item_id) div 2").cast("string"), "meets": vec % 5 != 0})
+    one = F.lit(1.0)
+    frames = images.select("tile").distinct().select(
+        "tile", F.lit(0.0).alias("w"), F.lit(8.0).alias("n"), one.alias("x_res"), one.alias("y_res"), F.lit(8).alias("height"), F.lit(8).alias("width")
+    )
+    mid = (4 + F.col("tile") % 3).cast("double")
+    point = lambda dx, dy: F.struct((mid + dx).alias("x"), F.lit(4.0 + dy).alias("y"))
+    ring = F.array(point(3.75, 0.0), point(0.0, 3.75), point(-3.75, 0.0), point(0.0, -3.75))
+    edges = region_edges(frames.select("tile", ring.alias("ring")), keys=("tile",))
+    tiles = images.groupBy("tile").agg(F.count_distinct("r", "c").alias("total"))
+    spans = tiles.select("tile", F.lit("2024-01-01").cast("date").alias("start"), F.lit("2024-06-30").cast("date").alias("end"))
+    ladder = catalog.search_ladder(spans, cloud=1, max_cloud=50, step=5, min_year=2022)
+    outside = catalog.outside_words(frames, edges, 8.0, 8)
+    return choose_items(listed, images, tiles, 8, ladder, min_share=0.1, max_items=4, max_remaining=0.5, outside=outside)
+
+
 IMAGES = f"{COVER}, pick AS (SELECT s.* FROM stack s JOIN sel ON s.scene_id=sel.tile AND s.item_id=sel.item_id), norm AS (SELECT scene_id, item_id, r, c, clear, {NORMAL} FROM pick WINDOW w AS (PARTITION BY scene_id, item_id)), " + composite_sql(1)[
     len("WITH "):
 ].replace("FROM stack", "FROM norm")

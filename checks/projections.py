@@ -415,4 +415,4 @@ def f21(spark, folder):
 @query("f22_outside_inside", "SELECT scene_id, r, c, CASE WHEN v>127 THEN 0 ELSE 1 END AS outside FROM rasters", ["rasters"])
 def f22(spark, folder):
     # 1 outside the mask, 0 inside: what counts as covered from the start
-    return rasters(spark, folder).select(*RC, F.when(F.col("v") > 127, 0).otherwise(1).alias("outside"))
+    return rasters(spark, folder).select(*RC, B.outside_inside(F.greatest(F.col("v") - 127, F.lit(0))).alias("outside"))

@@ -79,6 +79,11 @@ def zero_fill(v):
     return F.coalesce(v, F.lit(0))
 
 
+def outside_inside(inside):
+    """1 outside, 0 inside; what is missing or not above zero is outside."""
+    return F.when(inside > 0, F.lit(0)).otherwise(F.lit(1))
+
+
 def recode(v, mapping):
     """Replace mapped values, keep the others. ``mapping`` is a small literal dictionary."""
     if not mapping:

@@ -8,6 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terracell.functions.bands import outside_inside
+from terracell.operators.burn import burn, edges_in_grids, filled_cells
+from terracell.operators.grids import grid_cells
 from terracell.plans.lineage import cut
 from terracell.plans.skew import salted_join
 
@@ -50,6 +53,54 @@ def tiered(items, first_year, cloud, max_cloud, step, min_year):
     return items.withColumn("tier", F.when(admitted, tier).cast("int")).filter(F.col("tier").isNotNull())
 
 
+def search_ladder(searches, cloud, max_cloud, step, min_year):
+    """The searches of every tile in order: ``tile``, ``tier``, ``start``, ``end``, ``cloud_below``.
+
+    ``searches`` has one interval of dates per tile (``tile``, ``start``, ``end``). It is searched at cloud limits from
+    ``cloud`` by ``step`` to ``max_cloud``; then the same days of each earlier year, down to the one whose interval begins in
+    ``min_year``, at the last limit only. The 29th of February becomes the 28th. An interval may pass the turn of a year.
+    """
+    limits = [*range(cloud, max_cloud, step), max_cloud] if max_cloud > cloud else [cloud]
+    years = F.greatest(F.year("start") - F.lit(min_year), F.lit(0))
+    rung = lambda tier, back, below: F.struct(tier.cast("int").alias("tier"), back.cast("int").alias("_back"), below.cast("int").alias("cloud_below"))
+    first = F.array(*[rung(F.lit(k), F.lit(0), F.lit(limit)) for k, limit in enumerate(limits)])
+    back = F.slice(F.sequence(F.lit(0), years), F.lit(2), F.greatest(years, F.lit(0)))
+    earlier = F.transform(back, lambda y: rung(F.lit(len(limits) - 1) + y, y, F.lit(limits[-1])))
+    rungs = searches.select("tile", "start", "end", F.inline(F.concat(first, earlier)))
+    shifted = lambda day: F.add_months(day, F.col("_back") * -12).alias(day)
+    return rungs.select("tile", "tier", shifted("start"), shifted("end"), "cloud_below")
+
+
+def tiered_by_interval(items, ladder):
+    """Items (``tile``, ``dt``, ``cloud``) with the first tier of ``ladder`` that admits them; the others are left out.
+
+    The intervals are dealt to the months they touch, one row per tile and month with its few searches in order. An item
+    meets the one row of its month, so the join neither repeats items nor needs an aggregation behind it.
+    """
+    month = lambda day: F.year(day) * 12 + F.month(day)
+    dealt = ladder.filter(F.col("start") <= F.col("end")).withColumn("_month", F.explode(F.sequence(month(F.col("start")), month(F.col("end")))))
+    lists = dealt.groupBy("tile", "_month").agg(F.array_sort(F.collect_list(F.struct("tier", "start", "end", "cloud_below"))).alias("_rungs"))
+    met = items.withColumn("_month", month(F.col("dt"))).join(lists, ["tile", "_month"])
+    admits = lambda x: F.col("dt").between(x["start"], x["end"]) & (F.col("cloud") < x["cloud_below"])
+    met = met.withColumn("tier", F.get(F.filter("_rungs", admits), F.lit(0))["tier"])
+    return met.filter(F.col("tier").isNotNull()).drop("_month", "_rungs")
+
+
+def outside_words(tiles, edges, cell, width, tile="tile"):
+    """Words of the cells that lie outside each tile's polygon, for ``greedy_cover``.
+
+    ``tiles`` are rasters (``tile``, w, n, x_res, y_res, height, width); ``edges`` the polygon edges of each tile
+    (``tile``, x0, y0, x1, y1). A cell is inside if its centre is.
+    """
+    frames = tiles.withColumnRenamed(tile, "scene_id")
+    own = edges.select(F.col(tile).alias("fid"), "x0", "y0", "x1", "y1", F.lit(1).alias("cls"))
+    placed = edges_in_grids(own, frames, cell).filter(F.col("fid") == F.col("scene_id"))
+    inside = burn(filled_cells(placed))
+    cells = grid_cells(frames).drop("v").join(inside, ["scene_id", "r", "c"], "left")
+    flagged = cells.select(F.col("scene_id").alias(tile), "r", "c", outside_inside(F.col("label")).alias("outside"))
+    return pack_masks(flagged, width, (tile,), "outside")
+
+
 def latest_by_id(items, key="item_id", order="query"):
     """One row per item, the last query wins; among equal queries the largest row does."""
     others = [c for c in items.columns if c != key]
@@ -95,7 +146,8 @@ def greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining,
     item is taken when it adds at least ``min_share`` of what is still uncovered; a tile stops when it is
     full or has ``max_items``, goes to the next tier only while at least ``max_remaining / 5`` is
     uncovered (a full tile that is asked to go on looks at the first of each further tier only), and returns nothing if ``max_remaining`` or more stays uncovered. ``tiles`` has ``total``
-    cells per tile, ``outside`` the words outside the polygon, which count as covered.
+    cells per tile, ``outside`` the words outside the polygon, which count as covered. Where the candidates have a column
+    ``meets``, one whose box misses the polygon is passed over, but its granule is spent at the place where it was first met.
 
     What a tile takes next is the first remaining candidate with enough gain, so the walk needs at most
     ``max_items`` rounds whatever the number of candidates; a round is a distributed sum over words for
@@ -104,7 +156,11 @@ def greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining,
     enough = max_remaining / 5
     key = F.struct("tier", "score", "item_id")
     # a granule counts only where it is first met
-    firsts = candidates.groupBy("tile", "granule_id").agg(F.min(key).alias("key")).drop("granule_id")
+    if "meets" in candidates.columns:
+        first = F.min(F.struct(key.alias("key"), "meets")).alias("_first")
+        firsts = candidates.groupBy("tile", "granule_id").agg(first).filter("_first.meets").select("tile", "_first.key")
+    else:
+        firsts = candidates.groupBy("tile", "granule_id").agg(F.min(key).alias("key")).drop("granule_id")
     firsts = firsts.withColumns({"item_id": F.col("key.item_id"), "_tier": F.col("key.tier")})
     heads = firsts.groupBy("tile", "_tier").agg(F.min("key").alias("_head"))
     firsts = cut(firsts.join(heads, ["tile", "_tier"]).withColumn("_head", F.col("_head") == F.col("key")).drop("_tier"))

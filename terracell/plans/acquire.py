@@ -11,11 +11,13 @@ from terracell.plans.skew import salted_join
 def choose_items(items, cells, tiles, width, ladder, min_share, max_items, max_remaining, outside=None):
     """Search ladder and greedy cover; ``cells`` has tile, item_id, r, c, scl.
 
-    ``outside`` (tile, word, mask) marks the cells outside the tile's polygon, which need no image.
+    ``ladder`` holds the arguments of ``catalog.tiered``, for whole years, or is a table of ``catalog.search_ladder``, for
+    intervals of dates. ``outside`` (tile, word, mask) marks the cells outside the tile's polygon, which need no image.
     """
     flagged = cells.withColumn("clear", clear_mask(F.col("scl")))
     masks = catalog.pack_masks(flagged, width)
-    candidates = catalog.tiered(items, **ladder).withColumn("score", catalog.score())
+    found = catalog.tiered(items, **ladder) if isinstance(ladder, dict) else catalog.tiered_by_interval(items, ladder)
+    candidates = found.withColumn("score", catalog.score())
     return catalog.greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining, outside)
 
 
