@@ -65,8 +65,8 @@ def t3(spark, folder):
     return catalog.tiered(items(spark, folder), **LADDER).select("item_id", "tile", "tier")
 
 
-# half years and intervals over the turn of a year, one per tile; events lie between 2023 and 2024
-SEARCHES = """sea AS (SELECT tile, CASE WHEN tile%2=0 THEN DATE '2024-01-01' ELSE DATE '2024-11-15' END AS s, CASE WHEN tile%2=0 THEN DATE '2024-06-30' ELSE DATE '2025-02-28' END AS e
+# half years and intervals over the turn of a year, one per tile; the items are moved back by up to 39 months
+SEARCHES = """old AS (SELECT * REPLACE (dt-cast(item_id%40*30 AS int) AS dt) FROM items), sea AS (SELECT tile, CASE WHEN tile%2=0 THEN DATE '2024-01-01' ELSE DATE '2024-11-15' END AS s, CASE WHEN tile%2=0 THEN DATE '2024-06-30' ELSE DATE '2025-02-28' END AS e
     FROM (SELECT DISTINCT tile FROM items)),
 lad AS (SELECT tile, cast(i AS int) AS tier, s, e, least(50,1+5*i) AS below FROM sea, range(11) a(i)
     UNION ALL SELECT tile, cast(10+y AS int), cast(s-to_months(cast(12*y AS int)) AS date), cast(e-to_months(cast(12*y AS int)) AS date), 50 FROM sea, range(1,4) b(y))"""
@@ -80,11 +80,11 @@ def searches(df):
 
 @query(
     "t3_interval_ladder",
-    f"WITH {SEARCHES} SELECT item_id, i.tile, dt, min(tier) AS tier FROM items i JOIN lad l ON i.tile=l.tile AND dt BETWEEN s AND e AND cloud<below GROUP BY ALL",
+    f"WITH {SEARCHES} SELECT item_id, i.tile, dt, min(tier) AS tier FROM old i JOIN lad l ON i.tile=l.tile AND dt BETWEEN s AND e AND cloud<below GROUP BY ALL",
     ["items"],
 )
 def t3_interval(spark, folder):
-    listed = items(spark, folder)
+    listed = items(spark, folder).withColumn("dt", F.date_sub("dt", (F.col("item_id") % 40 * 30).cast("int")))
     ladder = catalog.search_ladder(searches(listed), cloud=1, max_cloud=50, step=5, min_year=2021)
     return catalog.tiered_by_interval(listed, ladder).select("item_id", "tile", "dt", "tier")
 

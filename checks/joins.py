@@ -18,10 +18,28 @@ def zone_boxes(spark, folder, name="region_box"):
 
 @query("j1_boxes_intersect", "SELECT fid, region_id FROM prints p JOIN zones z ON p.w<=z.e AND z.w<=p.e AND p.s<=z.n AND z.s<=p.n", ["prints", "zones"])
 def j1(spark, folder):
-    pairs = spatial.box_join(print_boxes(spark, folder), zone_boxes(spark, folder), "box", "region_box", 5.0, "fid")
+    pairs = spatial.boxes_meet(print_boxes(spark, folder), zone_boxes(spark, folder), "box", "region_box")
     return pairs.select("fid", "region_id")
 
 
+# sides from 0.002 to 60 degrees on the left, from 0.02 to 20 on the right
+@query(
+    "j1_boxes_of_all_sizes",
+    """WITH a AS (SELECT fid, w, s, w+2e0*pow(10e0, fid%4-3)*(1+fid%3) AS e, s+2e0*pow(10e0, fid%4-3)*(1+fid%2) AS n FROM prints),
+    b AS (SELECT region_id, w, s, w+2e0*pow(10e0, region_id%3-2) AS e, s+2e0*pow(10e0, region_id%3-1) AS n FROM zones)
+    SELECT fid, region_id FROM a JOIN b ON a.w<=b.e AND b.w<=a.e AND a.s<=b.n AND b.s<=a.n""",
+    ["prints", "zones"],
+)
+def j1_sizes(spark, folder):
+    w, s = F.col("w"), F.col("s")
+    box = lambda dx, dy: F.struct("w", "s", (w + dx).alias("e"), (s + dy).alias("n"))
+    fid, zone = F.col("fid"), F.col("region_id")
+    size = lambda k: 2.0 * F.pow(F.lit(10.0), k)
+    left = prints(spark, folder).select("fid", box(size(fid % 4 - 3) * (1 + fid % 3), size(fid % 4 - 3) * (1 + fid % 2)).alias("box"))
+    right = zones(spark, folder).select("region_id", box(size(zone % 3 - 2), size(zone % 3 - 1)).alias("region_box"))
+    return spatial.boxes_meet(left, right, "box", "region_box").select("fid", "region_id")
+
+
 DIAMOND = "greatest(p.w-(z.w+1), (z.w+1)-p.e, 0)+greatest(p.s-(z.s+1), (z.s+1)-p.n, 0)<=3"
 
 

@@ -99,6 +99,20 @@ def n9(spark, folder):
     return out.select("model", "step", "streak", "bad_epochs", "plateaus")
 
 
+@query(
+    "n9_metric_history",
+    """WITH b AS (SELECT *, row_number() OVER w AS rn, min(m) OVER w AS best, avg(m) OVER (PARTITION BY model ORDER BY step ROWS 4 PRECEDING) AS p5,
+        avg(m) OVER (PARTITION BY model ORDER BY step ROWS 9 PRECEDING) AS p10 FROM history WINDOW w AS (PARTITION BY model ORDER BY step)),
+    l AS (SELECT *, rn-max(CASE WHEN m=best THEN rn END) OVER (PARTITION BY model ORDER BY rn) AS streak FROM b)
+    SELECT model, step, m, rn, round(CASE WHEN rn>=5 THEN p5 END,6) AS p5, round(CASE WHEN rn>=11 THEN p10 END,6) AS p10, best, m=best AS is_best,
+        streak, streak%4 AS bad_epochs, streak//4 AS plateaus FROM l""",
+    ["history"],
+)
+def n9_history(spark, folder):
+    # segments of a few entries, so that the summaries carry what the views need
+    return r6s(logs.metric_history(history(spark, folder), ["model"], "step", "m", mode="min", patience=3, segment=500), "p5", "p10")
+
+
 @query(
     "n10_epoch_paging",
     """WITH e AS (SELECT cast(epoch AS int) AS epoch, c_custkey, ((c_custkey*2654435761+5*40503)%1000003*(epoch*2+1))%1000003 AS h FROM customer, range(3) a(epoch)),

@@ -1,5 +1,7 @@
 """Joins of boxes, rings and features."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from terracell.functions import geometry as G
@@ -33,6 +35,46 @@ def box_join(left, right, left_box, right_box, cell, left_id, right_id=None, hot
     return joined.filter((corner("w") == F.col("_bx")) & (corner("s") == F.col("_by"))).drop(*keys, "_pl", "_pr")
 
 
+def _levels(box, finest, levels, spread):
+    """Cells of a box at its own level and at every coarser one: ``_lv``, ``_bx``, ``_by``, ``_own``."""
+    side = F.greatest(F.col(box)["e"] - F.col(box)["w"], F.col(box)["n"] - F.col(box)["s"])
+    fit = F.ceil(F.log(F.greatest(side / F.lit(finest), F.lit(1.0))) / math.log(spread))
+    own = F.least(fit, F.lit(levels - 1)).cast("int")
+    width = lambda lv: F.lit(float(finest)) * F.pow(F.lit(float(spread)), lv)
+    place = lambda edge, lv: F.floor(F.col(box)[edge] / width(lv)).cast("long")
+    steps = lambda low, high, lv: F.sequence(place(low, lv), place(high, lv))
+    whole = (F.col(box)["w"] <= F.col(box)["e"]) & (F.col(box)["s"] <= F.col(box)["n"])
+
+    def place_all(df):
+        df = df.filter(whole).withColumn("_fit", own).withColumn("_lv", F.explode(F.sequence("_fit", F.lit(levels - 1))))
+        df = df.withColumn("_bx", F.explode(steps("w", "e", F.col("_lv")))).withColumn("_by", F.explode(steps("s", "n", F.col("_lv"))))
+        return df.withColumn("_own", F.col("_lv") == F.col("_fit")).drop("_fit")
+
+    return place_all, place
+
+
+def boxes_meet(left, right, left_box, right_box, finest=2.0**-10, levels=10, spread=4):
+    """Pairs of rows whose closed boxes intersect, for boxes of any mix of sizes.
+
+    Boxes are structs w, s, e, n; column names of the two sides must differ. A box belongs to the level whose cells are
+    just larger than itself (side ``finest`` times a power of ``spread``), where it lies in at most four cells, and is also
+    listed in the cells of the coarser levels. Two boxes meet at the level of the larger one: the larger is there at its
+    own level, the smaller on its own or as a guest, and guests never meet guests. So one equi join serves all sizes,
+    each side is read once, and no box is cut into cells smaller than itself. ``finest`` and ``levels`` only set the
+    range of sizes that is told apart; boxes beyond it are right but lie in more cells or share them with more others. A pair is
+    reported from the cell with the lower left corner of its overlap. A crowded cell is one join key, which adaptive
+    execution splits on both sides.
+    """
+    spread_left, place_left = _levels(left_box, finest, levels, spread)
+    spread_right, place_right = _levels(right_box, finest, levels, spread)
+    # side 0: the right box is at its own level; side 1: the left one is, and the right one is a guest
+    a = spread_left(left).withColumn("_side", F.explode(F.when(F.col("_own"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_own")
+    b = spread_right(right).withColumn("_side", F.when(F.col("_own"), F.lit(0)).otherwise(F.lit(1))).drop("_own")
+    met = a.join(b, ["_side", "_lv", "_bx", "_by"]).filter(G.boxes_intersect(F.col(left_box), F.col(right_box)))
+    corner = lambda side: F.greatest(place_left(side, F.col("_lv")), place_right(side, F.col("_lv")))
+    return met.filter((corner("w") == F.col("_bx")) & (corner("s") == F.col("_by"))).drop("_side", "_lv", "_bx", "_by")
+
+
 def regions_to_footprints(regions, footprints, cell, ring="ring", region_id="region_id", file="file_name"):
     """Pairs of a region with a convex ring and the footprints (box column ``box``) it meets."""
     r = regions.select(region_id, G.ring_bounds(F.col(ring)).alias("region_box"), G.convex_edges(F.col(ring)).alias("edges"))

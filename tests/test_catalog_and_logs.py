@@ -99,6 +99,76 @@ def test_history_summaries(spark, segment, mode):
             assert s["is_best"] == (value == best_of(past)) and s["bad_epochs"] == bad
 
 
+@pytest.mark.parametrize("segment", [1, 4, 1000])
+@pytest.mark.parametrize("mode", ["max", "min"])
+def test_metric_history_against_loop(spark, segment, mode):
+    rng = np.random.default_rng(segment)
+    rows = [(model, 3 * k, None if (k + model) % 7 == 0 else float(rng.integers(0, 6))) for model in range(3) for k in range(40)]
+    rows.append((9, 5, None))
+    out = logs.metric_history(spark.createDataFrame(rows, "model int, step int, m double"), ["model"], "step", "m", mode, 2, segment)
+    got = {(x["model"], x["step"]): x for x in out.collect()}
+    assert len(got) == len(rows)
+    better = (lambda a, b: a >= b) if mode == "max" else (lambda a, b: a <= b)
+    mean = lambda values: np.mean(values) if values else None
+    for model in {x[0] for x in rows}:
+        seen, best, last = [], None, None
+        for n, (_, step, m) in enumerate(sorted(x for x in rows if x[0] == model), 1):
+            seen.append(m)
+            is_best = None if m is None else best is None or better(m, best)
+            if is_best:
+                best, last = m, n
+            x = got[model, step]
+            streak = None if last is None else n - last
+            assert (x["rn"], x["best"], x["streak"]) == (n, best, streak)
+            assert x["is_best"] == is_best
+            for k, since in ((5, 5), (10, 11)):
+                want = mean([v for v in seen[-k:] if v is not None]) if n >= since else None
+                assert x[f"p{k}"] == (want if want is None else pytest.approx(want))
+            if streak is not None:
+                assert (x["bad_epochs"], x["plateaus"]) == (streak % 3, streak // 3)
+
+
+def test_interval_ladder_against_loop(spark):
+    import datetime as dt
+
+    day = dt.date
+    plans = {1: (day(2024, 1, 1), day(2024, 6, 30)), 2: (day(2024, 2, 29), day(2024, 2, 29)), 3: (day(2023, 11, 20), day(2024, 1, 10)), 4: (day(2021, 5, 1), day(2021, 5, 2))}
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 6, day(2020, 1, 1) + dt.timedelta(days=int(rng.integers(0, 1800))), int(rng.integers(0, 60))) for i in range(900)]
+    rows += [(1000, 2, day(2024, 2, 29), 0), (1001, 2, day(2023, 2, 28), 49), (1002, 2, day(2022, 2, 28), 50), (1003, 1, None, 0), (1004, 1, day(2024, 1, 1), None), (1005, 4, day(2021, 5, 1), 3)]
+
+    def back(d, years):
+        return d.replace(year=d.year - years, day=28 if (d.month, d.day) == (2, 29) else d.day)
+
+    want = {}
+    for item, tile, when, cloud in rows:
+        if tile not in plans or when is None or cloud is None:
+            continue
+        start, end = plans[tile]
+        steps = [(start, end, limit) for limit in (1, 6, 11, 16, 18)]
+        steps += [(back(start, k), back(end, k), 18) for k in range(1, start.year - 2022 + 1)]
+        tier = next((t for t, (a, b, limit) in enumerate(steps) if a <= when <= b and cloud < limit), None)
+        if tier is not None:
+            want[item] = tier
+    searches = spark.createDataFrame([(t, *p) for t, p in plans.items()], "tile int, start date, end date")
+    ladder = catalog.search_ladder(searches, cloud=1, max_cloud=18, step=5, min_year=2022)
+    items = spark.createDataFrame(rows, "item_id int, tile int, dt date, cloud int")
+    assert {x["item_id"]: x["tier"] for x in catalog.tiered_by_interval(items, ladder).collect()} == want
+    assert len(set(want.values())) >= 6
+    assert catalog.search_ladder(searches, cloud=5, max_cloud=5, step=5, min_year=2024).count() == 4
+
+
+def test_granules_outside_the_polygon_are_spent_where_first_met(spark):
+    candidates = spark.createDataFrame(
+        [(1, 10, "a", 0, 1, False), (1, 11, "a", 0, 2, True), (1, 12, "b", 0, 3, True), (2, 20, "c", 0, 1, False)],
+        "tile int, item_id int, granule_id string, tier int, score int, meets boolean",
+    )
+    masks = spark.createDataFrame([(t, i, 0, -1) for t, i in ((1, 10), (1, 11), (1, 12), (2, 20))], "tile int, item_id int, word long, mask long")
+    tiles = spark.createDataFrame([(1, 64), (2, 64)], "tile int, total long")
+    chosen = catalog.greedy_cover(candidates, masks, tiles, 0.1, 4, 0.5)
+    assert [(x["tile"], x["item_id"]) for x in chosen.collect()] == [(1, 12)]
+
+
 def test_clip_hard_images_segments(spark):
     from terracell.operators.metrics import clip_hard_images
 

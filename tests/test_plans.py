@@ -73,3 +73,17 @@ def test_layer_is_a_partition_filter(spark, tmp_path):
     df = spark.createDataFrame([(1, 0, 0, 1.0)], "scene_id long, r int, c int, v double")
     layers.write_layer(df, str(tmp_path / "l"), "image")
     assert "PartitionFilters: [isnotnull(layer" in plan(layers.read_layer(spark, str(tmp_path / "l"), "image"))
+
+
+def test_log_views_share_one_pass(spark):
+    history = spark.read.parquet(f"{FOLDER}/events.parquet").select(F.col("user_id").alias("model"), F.col("event_id").alias("step"), F.col("value").alias("m"))
+    from terracell.operators import logs
+
+    df = logs.metric_history(history, ["model"], "step", "m", patience=3)
+    assert exchanges(df) <= 4 and plan(df).count("FileScan") <= 2
+    assert exchanges(logs.new_best(history, ["model"], "step", "m")) <= 4
+
+
+def test_box_join_reads_each_side_once(spark):
+    df = checks.QUERIES["j1_boxes_of_all_sizes"](spark, FOLDER)
+    assert plan(df).count("FileScan") == 2 and exchanges(df) <= 2

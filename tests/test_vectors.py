@@ -32,6 +32,31 @@ def test_box_join_with_a_hot_bucket(spark, hot):
     assert got == want
 
 
+@pytest.mark.parametrize("levels", [10, 3, 1])
+def test_boxes_of_mixed_sizes_meet_once(spark, levels):
+    rng = np.random.default_rng(levels)
+
+    def make(count, step):
+        rows = []
+        for i in range(count):
+            side = float(rng.choice([0.0, 0.01, 0.25, 2.0, 16.0, 60.0]))
+            w, s = float(rng.integers(-40, 40)) / 4, float(rng.integers(-40, 40)) / 4
+            rows.append((i, w, s, w + side, s + side / step))
+        rows[: count // 3] = [(i, 1.25, 1.25, 1.25 + i % 2, 1.5) for i in range(count // 3)]  # a third on one spot
+        return [*rows, (count, None, 0.0, 1.0, 1.0), (count + 1, 3.0, 0.0, 2.0, 1.0)]  # no west side; turned round
+
+    a, b = make(60, 1), make(50, 4)
+    out = spatial.boxes_meet(boxes(spark, a, "i", "p"), boxes(spark, b, "j", "q"), "p", "q", finest=0.25, levels=levels)
+    got = sorted((x["i"], x["j"]) for x in out.collect())
+    want = sorted((x[0], y[0]) for x in a[:60] for y in b[:50] if x[1] <= y[3] and y[1] <= x[3] and x[2] <= y[4] and y[2] <= x[4])
+    assert got == want
+
+
+def test_no_boxes_meet_none(spark):
+    some, none = boxes(spark, [(1, 0.0, 0.0, 1.0, 1.0)], "i", "p"), boxes(spark, [], "j", "q")
+    assert spatial.boxes_meet(some, none, "p", "q").count() == 0
+
+
 def test_reference_grids_cover_the_region(spark):
     ring = G.box_ring(*[F.lit(v) for v in (10.0, 40.0, 10.5, 40.4)])
     regions = spark.range(1).select(F.col("id").alias("region_id"), ring.alias("ring"))
