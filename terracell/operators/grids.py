@@ -99,6 +99,21 @@ def reference_grids(edges, grid_width=2560, step_size=1280, grid_res=10, region_
     return found.withColumn("file_name", bbox_name(F.col("w"), F.col("s"), F.col("e"), F.col("n")))
 
 
+def grid_scenes(grids, grid_width, region_id="region_id"):
+    """Raster metadata of reference grids, with a number ``scene_id`` made of region, row and column.
+
+    A grid cut off at the antimeridian has fewer columns. Region ids are whole numbers below 2**23.
+    """
+    widest = grids.groupBy(region_id).agg((F.max(F.col("e") - F.col("w")) / F.lit(grid_width)).alias("x_res"))
+    number = F.col(region_id).cast("long") * 2**40 + F.col("grid_row").cast("long") * 2**20 + F.col("grid_col")
+    sized = grids.join(widest, region_id)
+    width = F.round((F.col("e") - F.col("w")) / F.col("x_res")).cast("int")
+    return sized.select(
+        number.alias("scene_id"), "w", "n", "x_res", ((F.col("n") - F.col("s")) / F.lit(grid_width)).alias("y_res"),
+        F.lit(grid_width).alias("height"), width.alias("width"),
+    ).filter("width > 0")
+
+
 def tile_table(spark, zoom):
     """All XYZ tiles of a zoom level, bounds rounded to 9 decimals."""
     side = 2**zoom

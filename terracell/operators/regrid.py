@@ -8,6 +8,7 @@ aggregation that is needed anyway collects the contributions with map-side combi
 
 from pyspark.sql import functions as F
 
+from terracell.functions.bands import has_image
 from terracell.functions.ranges import explode_range
 from terracell.operators.spatial import box_join
 from terracell.plans.skew import PATCH, join_patches, join_scenes, patch_range
@@ -174,6 +175,13 @@ def cut_to_targets(cells, sources, targets, bucket, method="nearest"):
     return mosaic_first({"nearest": nearest, "cubic": cubic}[method](paired))
 
 
+def cut_bands_to_targets(cells, bands, sources, targets, bucket):
+    """Image cells (``scene_id``, r, c and ``bands``) on each target: nearest, first source with data in all bands at once."""
+    value = F.when(has_image(*[F.col(b) for b in bands]), F.struct(*bands))
+    out = cut_to_targets(cells.select("scene_id", "r", "c", value.alias("v")), sources, targets, bucket)
+    return out.select("scene_id", "r", "c", "v.*")
+
+
 def pair_merged(merged, sources, targets, bucket):
     """Cells of a mosaic from ``on_common_lattice`` next to every target they may serve.
 

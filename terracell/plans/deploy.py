@@ -1,13 +1,14 @@
-"""Scoring a polygon: grids, layers, features, scores, blended mosaic."""
+"""Scoring polygons: grids, layers, features, scores, blended mosaic."""
 
 from pyspark.sql import functions as F
 
 from terracell.functions.bands import blend_weight, zero_fill
 from terracell.operators import regrid
-from terracell.operators.grids import grid_cells
+from terracell.operators.grids import grid_cells, grid_scenes, reference_grids
 from terracell.operators.layers import drop_missing_chips
-from terracell.operators.scoring import chip_tensors, score_chips, scores_to_cells
+from terracell.operators.scoring import chip_tensors, features, score_chips, scores_to_cells
 from terracell.plans.skew import attach_stats, join_scenes
+from terracell.plans.stages import stage
 
 
 def impute_wide(df, chip_keys, channels, limit=0.5):
@@ -45,3 +46,48 @@ def blended_mosaic(scores, scenes, targets, bucket, blend="weighted"):
         near = regrid.nearest(regrid.pair_cells(packed, pairs))
         out = regrid.mosaic_weighted(near.select("scene_id", "r", "c", "v.vw", "v.w"))
     return out.withColumn("v", zero_fill(F.col("v")))
+
+
+def layers_on_grids(image, image_scenes, elevation, elevation_scenes, scenes, bands, bucket, relief="cubic"):
+    """Image bands (nearest) and elevation (``relief``) on every cell of the grids; what a layer lacks is missing."""
+    on_cell = ["scene_id", "r", "c"]
+    bands_cut = regrid.cut_bands_to_targets(image, bands, image_scenes, scenes, bucket)
+    relief_cut = regrid.cut_to_targets(elevation, elevation_scenes, scenes, bucket, relief).withColumnRenamed("v", "elevation")
+    cells = grid_cells(scenes).drop("v")
+    return cells.join(bands_cut, on_cell, "left").join(relief_cut, on_cell, "left")
+
+
+def score_layers(layers, spec, predict, per_call=32, keys=("scene_id",)):
+    """Channels of ``spec`` from the layers of every grid, filled where little is missing, scored; other grids are dropped."""
+    keys = list(keys)
+    channels = list(spec.channels())
+    wide = drop_missing_chips(impute_wide(features(layers, spec, keys), keys, channels), keys, channels)
+    return scores_to_cells(score_chips(chip_tensors(wide, keys, channels), keys, channels, predict, per_call), keys)
+
+
+def deploy(
+    edges, image, image_scenes, elevation, elevation_scenes, spec, predict, bucket, grid_width=832, step=None, grid_res=10,
+    out_width=None, out_res=None, blend="weighted", relief="cubic", per_call=32, folder=None,
+):
+    """From polygons (edge rows of ``region_id``) and raw layers to blended scores.
+
+    Reference grids of ``grid_width`` cells are laid over the polygons, the layers are cut to them, channels computed as
+    the model wants them (``spec``, usually ``mode="deploy"``) and scored. With ``out_res`` the scores go to a second,
+    coarser set of grids, else back to the first. ``blend`` is ``weighted`` (mean weighted by the distance to a grid's
+    edge) or ``first`` (the first grid with a score). A grid outside the image, or with half of it missing, has no scores.
+
+    ``folder`` keeps the stages ``scenes``, ``layers``, ``scores``, ``targets`` and ``mosaic``; a run that was cut off goes
+    on after its last whole stage. One folder belongs to one set of arguments. The result is the mosaic; ``scenes`` and
+    ``targets`` hold the metadata of scores and mosaic.
+    """
+    spark = edges.sparkSession
+    keep = lambda name, build: stage(spark, folder, name, build)
+    scenes = keep("scenes", lambda: grid_scenes(reference_grids(edges, grid_width, step or grid_width, grid_res), grid_width))
+    layers = keep("layers", lambda: layers_on_grids(image, image_scenes, elevation, elevation_scenes, scenes, spec.bands, bucket, relief))
+    scores = keep("scores", lambda: score_layers(layers, spec, predict, per_call))
+    targets = scenes
+    if out_res is not None:
+        wide = out_width or grid_width
+        targets = keep("targets", lambda: grid_scenes(reference_grids(edges, wide, wide, out_res), wide))
+    mosaic = lambda: blended_mosaic(scores, scenes, targets, bucket, blend)
+    return mosaic() if folder is None else keep("mosaic", mosaic)
