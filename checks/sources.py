@@ -132,6 +132,23 @@ def s8_bounds(spark, folder):
     return layers.read_layer(spark, path, "image", (203.5, 0.0, 308.0, 8.0)).drop("layer")
 
 
+@query(
+    "s8_read_layer_along_curve",
+    """SELECT scene_id, r, c, v FROM (SELECT *, (scene_id*37)%356-180+c*0.25e0 AS x, (scene_id*53)%166-82-(r+1)*0.25e0 AS y FROM rasters)
+    WHERE x<=40.1e0 AND x+0.25e0>=-20.1e0 AND y<=35.1e0 AND y+0.25e0>=-30.1e0""",
+    ["rasters"],
+)
+def s8_curve(spark, folder):
+    cells, k = rasters(spark, folder), F.col("scene_id")
+    scenes = cells.select("scene_id").distinct().select(
+        "scene_id", (k * 37 % 356 - 180).cast("double").alias("w"), (k * 53 % 166 - 82).cast("double").alias("n"),
+        F.lit(0.25).alias("x_res"), F.lit(0.25).alias("y_res"), F.lit(8).alias("height"), F.lit(8).alias("width"),
+    )
+    path = scratch_path(spark, "curved")
+    layers.write_layer_by_place(cells, path, "image", scenes)
+    return layers.read_layer(spark, path, "image", (-20.1, -30.1, 40.1, 35.1)).drop("layer")
+
+
 @query(
     "s8_resized_raster_metadata",
     "SELECT fid, w, s, e, n, round(2e0/416,9) AS x_res, round(2e0/832,9) AS y_res, 832 AS height, 416 AS width FROM prints",

@@ -35,6 +35,34 @@ def with_corners(df, scenes):
     return joined.withColumns(corners).drop(*[c for c in joined.columns if c.startswith("_s_")])
 
 
+def _spread_bits(x):
+    """The low 24 bits of a whole number with a zero between each two."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return x
+
+
+def curve_place(x, y, extent=(-180.0, -90.0, 180.0, 90.0)):
+    """Place of a point on a Z-shaped curve through ``extent`` (w, s, e, n): near points mostly have near places."""
+    w, s, e, n = extent
+    share = lambda v, low, high: F.least(F.greatest((v - low) / F.lit(high - low), F.lit(0.0)), F.lit(1.0))
+    whole = lambda v, low, high: F.floor(share(v, low, high) * F.lit(2**24 - 1)).cast("long")
+    return _spread_bits(whole(x, w, e)).bitwiseOR(F.shiftleft(_spread_bits(whole(y, s, n)), 1))
+
+
+def write_layer_by_place(df, path, layer, scenes, files=None, mode="append", extent=(-180.0, -90.0, 180.0, 90.0)):
+    """Write cells or blocks with their bounds, ranged along a curve through the plane.
+
+    A file then holds one compact area, so the least and greatest bounds kept in its footer let a query by bounds
+    (:func:`read_layer`) skip all files and row groups that lie elsewhere, whatever scene they belong to.
+    """
+    middle = curve_place((F.col("bw") + F.col("be")) / 2, (F.col("bs") + F.col("bn")) / 2, extent)
+    placed = with_corners(df, scenes).withColumns({"_place": middle, "layer": F.lit(layer)})
+    order = ["_place", "scene_id", *[c for c in ("br", "bc", "r", "c") if c in df.columns]]
+    ranged = placed.repartitionByRange(files, *order) if files else placed.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).drop("_place").write.mode(mode).partitionBy("layer").parquet(path)
+
+
 def write_layer(df, path, layer, mode="append", scenes=None):
     """Write cells or blocks under ``layer=...``, ranged by scene so that row groups hold few scenes.
 

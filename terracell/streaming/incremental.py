@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from terracell.plans.stages import finished
+
 
 def process_new(source, transform, sink, checkpoint, key, part=None, time=None, delay=None):
     """Transform arriving rows and append those that nothing before has brought.
@@ -43,22 +45,72 @@ def process_new(source, transform, sink, checkpoint, key, part=None, time=None,
 
 
 def running_totals(source, keys, aggregates, sink, checkpoint):
-    """Stateful totals per key while files arrive; the latest row of each key is the result."""
-    spark = source.sparkSession
+    """Stateful totals per key while files arrive; the latest row of each key is the result.
+
+    Each micro-batch writes the keys it changed. At the end of a run these rows and the newest snapshot are merged into a
+    snapshot of their own, so reading costs one row per key, however many batches there were.
+    """
     totals = source.groupBy(*keys).agg(*aggregates)
 
     def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{sink}/updates/batch={batch_id}")
 
     query = (
         totals.writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    written = spark.read.parquet(sink)
-    values = [c for c in written.columns if c not in (*keys, "batch")]
-    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row"))
-    return last.select(*keys, *[F.col("_row")[v].alias(v) for v in values])
+    return compact(source.sparkSession, sink, list(keys), totals.schema)
+
+
+def _numbered(spark, folder, name, whole=True):
+    """Numbers k of the folders ``name=k``, in order; only those written to their end unless ``whole`` is False."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    found = [f for f in (x.getPath().getName() for x in store.listStatus(place)) if f.startswith(f"{name}=")]
+    return sorted(int(f.split("=")[1]) for f in found if not whole or finished(spark, f"{folder}/{f}"))
+
+
+def _drop(spark, path):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def compact(spark, sink, keys, schema):
+    """Merge the updates after the newest snapshot into a new one, and return it.
+
+    A snapshot holds the state up to a batch and counts from the moment its end mark is there, so whoever reads sees the
+    one before or the new one, whole. Updates and snapshots go only after a newer snapshot is whole; the last but one
+    stays for those who still read it. A run cut off at any point is made good by the next.
+    """
+    updates, snapshots = f"{sink}/updates", f"{sink}/snapshots"
+    whole, batches = _numbered(spark, snapshots, "upto"), _numbered(spark, updates, "batch")
+    newest = whole[-1] if whole else -1
+    fresh = [k for k in batches if k > newest]
+    if fresh:
+        at = lambda path, k: spark.read.schema(schema).parquet(path).withColumn("_batch", F.lit(k).cast("long"))
+        # one read of all new updates; their folder names give the order
+        rows = spark.read.schema(schema).option("basePath", updates).parquet(*[f"{updates}/batch={k}" for k in fresh])
+        rows = rows.withColumn("_batch", F.col("batch").cast("long")).drop("batch")
+        if whole:
+            rows = rows.unionByName(at(f"{snapshots}/upto={newest}", newest))
+        values = [c for c in schema.names if c not in keys]
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_row"))
+        last = last.select(*keys, *[F.col("_row")[v].alias(v) for v in values])
+        last.write.mode("overwrite").parquet(f"{snapshots}/upto={fresh[-1]}")
+        whole.append(fresh[-1])
+        newest = fresh[-1]
+    for k in _numbered(spark, snapshots, "upto", whole=False):
+        if k < newest and k not in whole[-2:]:
+            _drop(spark, f"{snapshots}/upto={k}")
+    for k in batches:
+        if k <= newest:
+            _drop(spark, f"{updates}/batch={k}")
+    if newest < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{snapshots}/upto={newest}")
 
 
 def first_acquisitions(source, time, delay, key):

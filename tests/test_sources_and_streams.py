@@ -1,5 +1,7 @@
 """Sinks read back, streams equal batches, plans run end to end."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from terracell.operators.metrics import confusion, confusion_columns
@@ -86,6 +88,82 @@ def test_running_totals_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.select(out.columns).collect()))
 
 
+def folders(path):
+    return sorted(f.name for f in path.iterdir() if f.is_dir()) if path.exists() else []
+
+
+def test_totals_are_compacted_and_survive_a_kill(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    batch_of = lambda: [(int(rng.integers(0, 6)), int(rng.integers(0, 2)), int(rng.integers(0, 2))) for _ in range(20)]
+    source = files_of(spark, str(tmp_path / "in"), [batch_of() for _ in range(3)])
+    sink = tmp_path / "out"
+    run = lambda: incremental.running_totals(source, ["img"], confusion_columns(), str(sink), str(tmp_path / "ck"))
+
+    def equal(out):
+        want = confusion(spark.read.parquet(str(tmp_path / "in")), ["img"])
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.select(out.columns).collect()))
+
+    equal(run())
+    assert folders(sink / "updates") == [] and folders(sink / "snapshots") == ["upto=2"]
+    # the stream goes on, but the run ends before its updates are merged, and leaves half a snapshot
+    files_of(spark, str(tmp_path / "in"), [batch_of(), batch_of()])
+    with monkeypatch.context() as m:
+        m.setattr(incremental, "compact", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            run()
+    assert folders(sink / "updates") == ["batch=3", "batch=4"]
+    (sink / "snapshots" / "upto=4").mkdir()
+    (sink / "snapshots" / "upto=4" / "part-0.parquet").write_bytes(b"half")
+    files_of(spark, str(tmp_path / "in"), [batch_of()])
+    equal(run())
+    # the one before stays for its readers; the half one never counted and goes
+    assert folders(sink / "updates") == [] and folders(sink / "snapshots") == ["upto=2", "upto=5"]
+    equal(run())
+    files_of(spark, str(tmp_path / "in"), [batch_of()])
+    equal(run())
+    assert "upto=2" not in folders(sink / "snapshots")
+
+
+def test_totals_of_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("img long, p int, t int").parquet(str(tmp_path / "in"))
+    out = incremental.running_totals(source, ["img"], confusion_columns(), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert out.count() == 0 and "num_correct" in out.columns
+
+
+def test_a_small_window_needs_few_files_along_the_curve(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(1)
+    rows = [(i, float(w), float(n), 0.5, 0.5, 2, 2) for i, (w, n) in enumerate(zip(rng.uniform(-180, 179, 900), rng.uniform(-89, 90, 900)))]
+    scenes = spark.createDataFrame(rows, "scene_id long, w double, n double, x_res double, y_res double, height int, width int")
+    cells = scenes.select("scene_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("r")).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("v", F.col("r"))
+    layers.write_layer_by_place(cells, str(tmp_path / "l"), "image", scenes, files=32)
+    window = (10.0, 20.0, 25.0, 30.0)
+    files = list((tmp_path / "l").rglob("*.parquet"))
+
+    def may_hold(path):
+        meta = pq.ParquetFile(path).metadata
+        bounds = {}
+        for g in range(meta.num_row_groups):
+            for k in range(meta.num_columns):
+                column = meta.row_group(g).column(k)
+                bounds[column.path_in_schema] = column.statistics
+        return bounds["bw"].min <= window[2] and bounds["be"].max >= window[0] and bounds["bs"].min <= window[3] and bounds["bn"].max >= window[1]
+
+    assert len(files) >= 28 and sum(map(may_hold, files)) <= 4
+    got = {(x["scene_id"], x["r"], x["c"]) for x in layers.read_layer(spark, str(tmp_path / "l"), "image", window).collect()}
+    corner = lambda x, r, c: (x[1] + c * 0.5, x[2] - (r + 1) * 0.5)
+    want = set()
+    for x in rows:
+        for r in (0, 1):
+            for c in (0, 1):
+                west, south = corner(x, r, c)
+                if west <= window[2] and west + 0.5 >= window[0] and south <= window[3] and south + 0.5 >= window[1]:
+                    want.add((x[0], r, c))
+    assert got == want and want
+
+
 def test_new_scenes_are_processed_once(spark, tmp_path):
     source = files_of(spark, str(tmp_path / "in"), PARTS)
     run = lambda: incremental.process_new(
