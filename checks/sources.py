@@ -102,6 +102,23 @@ def s6(spark, folder):
     return vectors.region_hulls(hulls, data)
 
 
+@query(
+    "s6_written_hulls",
+    """SELECT lpad(cast(n_nationkey AS varchar),4,'0') AS region_key, cast(n_nationkey AS int) AS region_id, n_name AS hull, 2::BIGINT AS copies
+    FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_nationkey%4<>1)""",
+)
+def s6_written(spark, folder):
+    key = lambda name: padded_key(F.col(name), 4)
+    hulls = table(spark, folder, "nation").select(key("n_nationkey").alias("huc4"), F.col("n_name").alias("hull"))
+    data = table(spark, folder, "customer").filter("c_nationkey % 4 <> 1").select(key("c_nationkey").alias("region_key"))
+    found = vectors.region_hulls(hulls, data)
+    whole, parts = scratch_path(spark, "hulls"), scratch_path(spark, "hull")
+    vectors.write_hulls(found, whole, parts)
+    # the same rows from the one table and from the folder of each region
+    both = spark.read.parquet(whole).unionByName(spark.read.schema(found.schema).parquet(parts))
+    return both.groupBy("region_key", "region_id", "hull").agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query(
     "s7_region_lookup",
     """SELECT c_custkey AS region_id, lpad(cast(c_custkey AS varchar),4,'0') AS region_key,

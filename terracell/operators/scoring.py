@@ -60,11 +60,12 @@ def features(cells, spec, keys=("scene_id",), label=None):
     return out.select(*keys, "r", "c", *columns)
 
 
-def chip_tensors(cells, chip_keys, channels):
+def chip_tensors(cells, chip_keys, channels, shape=None):
     """One row per chip: ``h``, ``w`` and a row-major array per channel.
 
-    A chip that lacks a cell inside its bounds (a ragged chip) cannot be scored and is left out. Rows are one
-    per cell; a chip is bounded by its size.
+    A chip that lacks a cell inside its bounds (a ragged chip) cannot be scored and is left out. The bounds are ``shape``
+    (height, width), so that a chip without its last line is ragged too; where chips differ in shape and none is given,
+    they are those of the chip's cells. Rows are one per cell; a chip is bounded by its size.
     """
     listed = F.array_sort(F.collect_list(F.struct("r", "c", *channels)))
     grouped = cells.groupBy(*chip_keys).agg(
@@ -73,6 +74,8 @@ def chip_tensors(cells, chip_keys, channels):
     of_channel = lambda ch: F.transform("_cells", lambda x: x[ch].cast("double"))
     arrays = [of_channel(ch).alias(ch) for ch in channels]
     grouped = grouped.filter(F.size("_cells") == F.col("h") * F.col("w"))
+    if shape is not None:
+        grouped = grouped.filter((F.col("h") == shape[0]) & (F.col("w") == shape[1]))
     return grouped.select(*chip_keys, "h", "w", *arrays)
 
 

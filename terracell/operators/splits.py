@@ -54,7 +54,6 @@ def paged(df, key, epochs, per_load, seed=0):
     placed = numbered(spread_out, ["epoch"], "h", MODULUS // 10_000, tie=(key,))
     sizes = spread_out.groupBy("epoch").agg(F.count(F.lit(1)).alias("_n"))
     position = F.col("epoch") * F.col("_n") + F.col("rn") - 1
-    # one row per epoch, and the number of epochs is a parameter
-    return placed.join(F.broadcast(sizes), "epoch").select(
+    return placed.join(sizes, "epoch").select(
         "epoch", key, position.alias("position"), F.floor(position / per_load).cast("long").alias("load")
     )

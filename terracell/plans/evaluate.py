@@ -6,11 +6,11 @@ from terracell.operators.scoring import chip_tensors, score_chips, scores_to_cel
 from terracell.sources.manifests import pending
 
 
-def evaluate_chips(cells, labels, chip_keys, channels, predict, finished=None, pool_steps=0, per_call=32):
-    """One statistics row per chip that is not in ``finished`` yet; chips with missing data are left out."""
+def evaluate_chips(cells, labels, chip_keys, channels, predict, finished=None, pool_steps=0, per_call=32, shape=None):
+    """One statistics row per chip that is not in ``finished`` yet; chips with missing data, or not of ``shape``, are left out."""
     chip_keys = list(chip_keys)
     if finished is not None:
         cells = pending(cells, finished, chip_keys)
     good = drop_missing_chips(cells, chip_keys, channels)
-    scores = scores_to_cells(score_chips(chip_tensors(good, chip_keys, channels), chip_keys, channels, predict, per_call), chip_keys)
+    scores = scores_to_cells(score_chips(chip_tensors(good, chip_keys, channels, shape), chip_keys, channels, predict, per_call), chip_keys)
     return evaluation_table(score_against_labels(scores, labels, chip_keys, pool_steps), chip_keys, "score")

@@ -1,5 +1,7 @@
 """Session settings used by the tests, the bench and local runs."""
 
+import os
+
 from pyspark.sql import SparkSession
 
 RECOMMENDED = {
@@ -11,13 +13,19 @@ RECOMMENDED = {
 }
 
 
+def driver_heap(most=16):
+    """Gigabytes for the driver: half of the machine's memory, as Python workers and the system need the rest."""
+    machine = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30
+    return max(1, min(most, int(machine / 2)))
+
+
 def local_session(cores="8", app_name="terracell", shuffle_partitions=8, **conf):
     """A local session; on a cluster the submitter's own settings apply instead."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", f"{driver_heap()}g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in {**RECOMMENDED, **conf}.items():

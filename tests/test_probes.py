@@ -111,3 +111,11 @@ def test_ties_and_repeats_have_one_result(spark, tmp_path):
     records.append_stats(spark, new, str(tmp_path / "s"))
     records.append_stats(spark, new, str(tmp_path / "s"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "s")).collect())) == [("f", 2), ("g", 1)]
+
+
+def test_a_chip_without_its_last_line_is_ragged(spark):
+    whole = [(1, r, c, 1.0) for r in range(3) for c in range(3)]
+    short = [(2, r, c, 1.0) for r in range(2) for c in range(3)]
+    cells = spark.createDataFrame(whole + short, "scene_id long, r int, c int, v double")
+    assert [x["scene_id"] for x in scoring.chip_tensors(cells, ["scene_id"], ["v"], (3, 3)).collect()] == [1]
+    assert scoring.chip_tensors(cells, ["scene_id"], ["v"]).count() == 2
