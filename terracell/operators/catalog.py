@@ -164,9 +164,9 @@ def greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining,
     firsts = firsts.withColumns({"item_id": F.col("key.item_id"), "_tier": F.col("key.tier")})
     heads = firsts.groupBy("tile", "_tier").agg(F.min("key").alias("_head"))
     firsts = cut(firsts.join(heads, ["tile", "_tier"]).withColumn("_head", F.col("_head") == F.col("key")).drop("_tier"))
-    empty = masks.limit(0).select("tile", "word", "mask")
-    covered = outside if outside is not None else empty
-    counted = covered.groupBy("tile").agg(F.sum(F.bit_count("mask")).alias("_out"))
+    none = masks.limit(0).select("tile", "word", "mask")
+    before = outside if outside is not None else none
+    counted = before.groupBy("tile").agg(F.sum(F.bit_count("mask")).alias("_out"))
     item_type = firsts.schema["item_id"].dataType
     state = (
         tiles.join(firsts.groupBy("tile").agg(F.min("key.tier").alias("tier")), "tile")
@@ -174,13 +174,14 @@ def greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining,
         .select(
             "tile", "total", "tier", (F.coalesce("_out", F.lit(0)) / F.col("total")).alias("found"),
             F.lit(None).cast(firsts.schema["key"].dataType).alias("last"), F.array().cast(T.ArrayType(item_type)).alias("chosen"),
+            F.lit(True).alias("_changed"),
         )
     )
-    state = cut(state)
     masks = cut(masks.join(firsts.select("tile", "item_id"), ["tile", "item_id"], "left_semi"))
     for _ in range(max_items):
         left = 1 - F.col("found")
-        open_tiles = state.filter(left >= min(FULL, enough)).select("tile", "found", "total", "tier", "last")
+        # a tile that took nothing has no candidate left: what failed once is behind it or fails again
+        open_tiles = state.filter(F.col("_changed") & (left >= min(FULL, enough))).select("tile", "found", "total", "tier", "last")
         waiting = salted_join(firsts, open_tiles, ["tile"]).filter(
             (F.col("last").isNull() | (F.col("key") > F.col("last")))
             & (
@@ -188,35 +189,31 @@ def greedy_cover(candidates, masks, tiles, min_share, max_items, max_remaining,
                 | (left < FULL) & (left >= enough) & F.col("_head") & (F.col("key.tier") > F.col("tier"))
             )
         )
+        # the words seen so far follow from the chosen items, so the state is all that a round hands on
+        picked = state.filter("_changed").select("tile", F.explode("chosen").alias("item_id"))
+        shown = masks.join(picked, ["tile", "item_id"], "left_semi").select("tile", "word", "mask")
+        seen = before.select("tile", "word", "mask").unionByName(shown).groupBy("tile", "word").agg(F.bit_or("mask").alias("_seen"))
         new_bits = F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long")))))
         words = masks.join(waiting.select("tile", "item_id"), ["tile", "item_id"], "left_semi")
-        seen = covered.withColumnRenamed("mask", "_seen")
-        gains = (
-            words.join(seen, ["tile", "word"], "left")
-            .groupBy("tile", "item_id").agg(F.sum(new_bits).alias("_gain"))
-        )
+        gains = words.join(seen, ["tile", "word"], "left").groupBy("tile", "item_id").agg(F.sum(new_bits).alias("_gain"))
         taken = (
             waiting.join(gains, ["tile", "item_id"], "left")
             .withColumn("_gain", F.coalesce("_gain", F.lit(0)))
             .filter(F.col("_gain") / F.col("total") >= min_share * left)
             .groupBy("tile").agg(F.min(F.struct("key", "_gain")).alias("_take"))
         )
-        taken = cut(taken.select("tile", F.col("_take.key").alias("_key"), F.col("_take._gain").alias("_gain")))
-        if taken.isEmpty():
-            break
         state = cut(
-            state.join(taken, "tile", "left").select(
+            state.join(taken.select("tile", F.col("_take.key").alias("_key"), F.col("_take._gain").alias("_gain")), "tile", "left").select(
                 "tile", "total", F.coalesce("_key.tier", "tier").alias("tier"),
                 (F.col("found") + F.coalesce("_gain", F.lit(0)) / F.col("total")).alias("found"),
                 F.coalesce("_key", "last").alias("last"),
                 F.when(F.col("_key").isNull(), F.col("chosen"))
                 .otherwise(F.array_append("chosen", F.col("_key.item_id"))).alias("chosen"),
+                F.col("_key").isNotNull().alias("_changed"),
             )
         )
-        added = masks.join(taken.select("tile", F.col("_key.item_id").alias("item_id")), ["tile", "item_id"], "left_semi")
-        covered = cut(
-            covered.unionByName(added.select("tile", "word", "mask")).groupBy("tile", "word").agg(F.bit_or("mask").alias("mask"))
-        )
+        if state.filter("_changed").isEmpty():
+            break
     return state.filter(1 - F.col("found") < max_remaining).select(
         "tile", F.posexplode("chosen").alias("place", "item_id"), "found"
     )
