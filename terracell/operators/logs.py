@@ -27,7 +27,8 @@ def metric_history(history, keys, step, value, mode="max", patience=0, segment=S
     ranked = F.when(F.col(value).isNotNull(), F.struct((F.col(value) * sign).alias("x"), F.col("_local").alias("at")))
     cut = cut.withColumn("_local", F.row_number().over(line).cast("long"))
     last_ten = F.collect_list(F.struct(F.col(value).alias("x"))).over(line.rowsBetween(-9, 0))
-    cut = cut.withColumns({"_run": F.max(ranked).over(so_far), "_ten": last_ten})
+    inside = {f"_p{k}": F.avg(value).over(line.rowsBetween(1 - k, 0)) for k in (5, 10)}
+    cut = cut.withColumns({"_run": F.max(ranked).over(so_far), "_ten": last_ten, **inside})
 
     sums = cut.groupBy(*seg).agg(F.max("_local").alias("_n"), F.max("_run").alias("_top"), F.max_by("_ten", "_local").alias("_tail"))
     order = Window.partitionBy(*keys).orderBy("_seg")
@@ -43,9 +44,11 @@ def metric_history(history, keys, step, value, mode="max", patience=0, segment=S
     out = out.withColumn("_best", F.greatest(run, "_before"))
 
     def mean(k):
-        near = F.when(F.col("_local") >= k, F.col("_ten")).otherwise(F.concat("_tail", "_ten"))
+        # only the first entries of a segment look back into the ones before
+        near = F.concat("_tail", "_ten")
         known = F.filter(F.transform(F.slice(near, F.greatest(F.size(near) - (k - 1), F.lit(1)), F.lit(k)), lambda e: e["x"]), lambda x: x.isNotNull())
-        return F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
+        across = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
+        return F.when(F.col("_local") >= k, F.col(f"_p{k}")).otherwise(across)
 
     streak = F.col("rn") - F.col("_best.at")
     return out.withColumns(
@@ -54,7 +57,7 @@ def metric_history(history, keys, step, value, mode="max", patience=0, segment=S
             "is_best": F.col(value) * sign == F.col("_best.x"), "streak": streak, "bad_epochs": streak % (patience + 1),
             "plateaus": F.floor(streak / (patience + 1)).cast("long"),
         }
-    ).drop("_seg", "_local", "_run", "_ten", "_offset", "_before", "_tail", "_best")
+    ).drop("_seg", "_local", "_run", "_ten", "_offset", "_before", "_tail", "_best", "_p5", "_p10")
 
 
 def trailing_summary(history, keys, step, value, mode="max", segment=SEGMENT):
