@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.base import history, mark, query, r6s, relief, scored, stack, table
 from checks.aggregates import composite_sql
-from terracell.operators import catalog, composite, logs, neighbourhood as N, splits
+from terracell.operators import blocks, catalog, composite, logs, neighbourhood as N, splits
 
 SLOPES = """WITH x AS (SELECT *, lag(v) OVER a AS wv, lead(v) OVER a AS ev, lag(c) OVER a AS wc, lead(c) OVER a AS ec,
     lag(v) OVER b AS nv, lead(v) OVER b AS sv, lag(r) OVER b AS nr, lead(r) OVER b AS sr FROM relief
@@ -18,6 +18,13 @@ def n1(spark, folder):
     return r6s(N.slopes(relief(spark, folder), ["scene_id"]).drop("v", "gradient"), "x_slope", "y_slope")
 
 
+@query("n1_slopes_on_blocks", f"{SLOPES} SELECT scene_id, r, c, round(x_slope,6)+0e0 AS x_slope, round(y_slope,6)+0e0 AS y_slope FROM s", ["relief"])
+def n1_blocks(spark, folder):
+    of_relief = blocks.to_blocks(relief(spark, folder), ["scene_id"], ["v"], block=12)
+    out = blocks.slopes(of_relief, ["scene_id"], block=12)
+    return r6s(blocks.to_cells(out, ["scene_id"], ["x_slope", "y_slope"], block=12), "x_slope", "y_slope")
+
+
 @query("n2_gradient", f"{SLOPES} SELECT scene_id, r, c, round(sqrt(x_slope*x_slope+y_slope*y_slope),6)+0e0 AS gradient FROM s", ["relief"])
 def n2(spark, folder):
     return r6s(N.slopes(relief(spark, folder), ["scene_id"]).drop("v", "x_slope", "y_slope"), "gradient")
