@@ -20,21 +20,25 @@ def blocks_to_cells(blocks, keys, data="data", value="v", block=BLOCK):
 
 
 def cells_to_blocks(cells, keys, value="v", block=BLOCK):
-    """Cells to dense row-major blocks; an absent cell becomes NULL. A block holds at most block² cells."""
-    placed = cells.withColumns(
-        {
-            "br": F.floor(F.col("r") / block).cast("int"), "bc": F.floor(F.col("c") / block).cast("int"),
-            "_r": (F.col("r") % block).cast("int"), "_c": (F.col("c") % block).cast("int"),
-        }
+    """Cells to dense row-major blocks; an absent cell becomes NULL. A block holds at most block² cells.
+
+    Of a cell that occurs twice the greater value stays. The cells of a block are sorted once, and the gap before each is
+    filled as it is written, so the cost is that of the sort.
+    """
+    at = ((F.col("r") % block) * block + F.col("c") % block).cast("int")
+    placed = cells.select(
+        *keys, F.floor(F.col("r") / block).cast("int").alias("br"), F.floor(F.col("c") / block).cast("int").alias("bc"),
+        F.struct(at.alias("at"), F.col(value).alias("v")).alias("_cell"),
     )
     grouped = placed.groupBy(*keys, "br", "bc").agg(
-        (F.max("_r") + 1).alias("h"), (F.max("_c") + 1).alias("w"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("_r") * block + F.col("_c"), value))).alias("_cells"),
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.col("h") * F.col("w") - 1),
-        lambda i: F.try_element_at(
-            F.col("_cells"), (F.floor(i / F.col("w")) * block + i % F.col("w")).cast("int")
-        ),
+        F.floor(F.max(F.col("_cell.at") / block) + 1).cast("int").alias("h"),
+        (F.max(F.col("_cell.at") % block) + 1).alias("w"), F.array_sort(F.collect_list("_cell")).alias("_sorted"),
     )
-    return grouped.select(*keys, "br", "bc", "h", "w", dense.alias("data"))
+    last_of_its_place = lambda x, i: F.coalesce(F.get("_sorted", i + 1)["at"] != x["at"], F.lit(True))
+    grouped = grouped.withColumn("_cells", F.filter("_sorted", last_of_its_place))
+    place = lambda x: F.floor(x["at"] / block).cast("int") * F.col("w") + x["at"] % block
+    gap = lambda x, i: place(x) - F.coalesce(place(F.get("_cells", i - 1)), F.lit(-1)) - 1
+    nothing = F.lit(None).cast(cells.schema[value].dataType)
+    filled = F.flatten(F.transform("_cells", lambda x, i: F.concat(F.array_repeat(nothing, gap(x, i)), F.array(x["v"]))))
+    after = F.col("h") * F.col("w") - 1 - place(F.element_at("_cells", -1))
+    return grouped.select(*keys, "br", "bc", "h", "w", F.concat(filled, F.array_repeat(nothing, after)).alias("data"))

@@ -168,6 +168,17 @@ def test_blocks_and_cells_are_inverse(spark):
     assert np.array_equal(back, a, equal_nan=True)
 
 
+def test_blocks_of_gaps_repeats_and_full_size(spark):
+    rows = [(1, 2, 1, 3), (1, 2, 1, 5), (1, 2, 1, None), (1, 0, 2, 4), (2, 9, 9, 7), (None, 1, 0, 6)]
+    df = spark.createDataFrame(rows, "scene_id long, r int, c int, v int")
+    found = {(x["scene_id"], x["br"], x["bc"]): (x["h"], x["w"], x["data"]) for x in cells_to_blocks(df, ["scene_id"], block=4).collect()}
+    assert found[1, 0, 0] == (3, 3, [None, None, 4, None, None, None, None, 5, None])
+    assert found[2, 2, 2] == (2, 2, [None, None, None, 7]) and found[None, 0, 0] == (2, 1, [None, 6]) and len(found) == 3
+    whole = spark.range(256 * 256).select(F.lit(0).alias("scene_id"), F.expr("int(id div 256)").alias("r"), F.expr("int(id % 256)").alias("c"), F.col("id").alias("v"))
+    row = cells_to_blocks(whole.filter("v % 97 <> 0"), ["scene_id"]).first()  # quadratic work would take half a minute
+    assert [x for x in row["data"] if x is not None] == [v for v in range(256 * 256) if v % 97] and len(row["data"]) == 256 * 256
+
+
 def test_blend_weight_peaks_at_one(spark):
     for h, w in ((1, 1), (2, 2), (3, 4), (5, 5), (1, 6)):
         df = frame(spark, np.zeros((h, w))).withColumn("k", B.blend_weight(F.col("r"), F.col("c"), F.lit(h), F.lit(w)))
