@@ -107,16 +107,31 @@ def extreme(blocks, keys, value, n, out, largest=True, block=BLOCK):
     return map_blocks(blocks, keys, [value], partial(_extreme_of_first, n, largest), [out], n, block)
 
 
-def score(blocks, keys, channels, predict, n=0, per_call=32, out="score", block=BLOCK):
+def whole_rasters(blocks, keys, channels):
+    """Blocks of the rasters that have a value in every channel of every cell; a raster that lacks one is left out."""
+    gone = fold_blocks(blocks, keys, channels, _gone, ["_gone"]).filter("_gone > 0").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return blocks.join(gone, same, "left_anti")
+
+
+def evaluation(blocks, keys, n=1, classes=range(23), score="score", cls="cls", block=BLOCK):
+    """Counts of ``metrics.evaluation_table`` per raster, from channels of scores and labels; without a label none counts."""
+    classes = list(classes)
+    names = [*NEAR_COUNTS, *[f"target_val_{i}{end}" for i in classes for end in ("", "_correct")]]
+    return fold_blocks(blocks, keys, [score, cls], partial(_evaluation, n, classes), names, n, block)
+
+
+def score(blocks, keys, channels, predict, n=0, per_call=32, out="score", keep=(), block=BLOCK):
     """Scores of blocks that a model sees with ``n`` cells of context on each side.
 
     ``predict`` takes (k, channel, h+2n, w+2n) and returns (k, h+2n, w+2n), whose border is cut off, or (k, h, w).
     Blocks of equal shape share a call; calls are filled to ``per_call`` blocks across Arrow batches, and at most
     ``per_call`` of each of the last few shapes wait. NaN marks what has no value or lies outside the raster.
+    The channels ``keep`` stay beside the scores; the model does not see them.
     """
-    bordered = with_border(blocks, keys, channels, n, block)
-    run = partial(_scored, list(keys), list(channels), predict, n, per_call, out)
-    return bordered.mapInArrow(run, _schema(blocks, keys, [out]))
+    bordered = with_border(blocks, keys, [*channels, *keep], n, block)
+    run = partial(_scored, list(keys), list(channels), list(keep), predict, n, per_call, out)
+    return bordered.mapInArrow(run, _schema(blocks, keys, [out, *keep]))
 
 
 # --- inside a task ---
@@ -271,7 +286,7 @@ def _folded(keys, channels, fn, n, names, batches):
         yield from out.leave()
 
 
-def _scored(keys, channels, predict, n, per_call, name, batches):
+def _scored(keys, channels, keep, predict, n, per_call, name, batches):
     import numpy as np
     import pyarrow as pa
 
@@ -280,20 +295,20 @@ def _scored(keys, channels, predict, n, per_call, name, batches):
     def call(shape):
         group = waiting.pop(shape)
         h, w = shape
-        scores = np.asarray(predict(np.stack([stack for _, stack, _ in group])), dtype="float64")
+        scores = np.asarray(predict(np.stack([stack[: len(channels)] for _, stack, _ in group])), dtype="float64")
         if scores.shape[1:] == (h + 2 * n, w + 2 * n):
             scores = _inner(scores, n, h, w)
         if scores.shape != (len(group), h, w):
             raise ValueError(f"scores of shape {scores.shape} for {len(group)} blocks of {h} x {w}")
         of_group = pa.concat_batches([row for row, _, _ in group])
-        out = _Rows(of_group, of_group.schema.names, _numbers("h", "w"), [name])
-        for i, (_, _, held) in enumerate(group):
-            yield from out.add(i, shape, [scores[i]], held)
+        out = _Rows(of_group, of_group.schema.names, _numbers("h", "w"), [name, *keep])
+        for i, (_, stack, held) in enumerate(group):
+            yield from out.add(i, shape, [scores[i], *_inner(stack[len(channels) :], n, h, w)], held)
         yield from out.leave()
 
     for batch in batches:
         slim = batch.select([*keys, "br", "bc"])
-        for i, h, w, stack, held in _framed(batch, channels, n):
+        for i, h, w, stack, held in _framed(batch, [*channels, *keep], n):
             group = waiting.setdefault((h, w), [])
             group.append((slim.slice(i, 1), stack, _inner(held, n, h, w)))
             if len(group) == per_call:
@@ -351,3 +366,24 @@ def _near_counts(n, stack, held):
     missed = (p == 0) & (t == 1) & (least[1] == 0) & (most[0] == 1)
     flags = (p == t, p == 1, t == 1, (p == 1) & (t == 1), both & (p != t), false_hit, missed)
     return [f.sum() for f in flags]
+
+
+def _gone(stack, held):
+    import numpy as np
+
+    return [(held & np.isnan(stack).any(axis=0)).sum()]
+
+
+def _evaluation(n, classes, stack, held):
+    import numpy as np
+
+    score, cls = stack
+    p = np.where(np.isnan(score), np.nan, score >= 0.5)
+    t = np.where(np.isnan(cls), np.nan, cls > 0)
+    p[np.isnan(t)] = np.nan  # a cell without a label takes no part
+    counts = _near_counts(n, np.stack([p, t]), held)
+    h, w = held.shape[0] - 2 * n, held.shape[1] - 2 * n
+    right, of = _inner(p == t, n, h, w), _inner(cls, n, h, w)
+    for i in classes:
+        counts += [(of == i).sum(), ((of == i) & right).sum()]
+    return counts

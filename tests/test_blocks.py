@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terracell.operators import blocks as K, metrics, neighbourhood as N
+from terracell.plans.evaluate import evaluate_scenes
 from terracell.plans.lineage import scratch_path
 
 KEYS = ["scene_id"]
@@ -98,6 +99,18 @@ def test_scores_see_their_context(spark):
         assert np.isclose(found[r, c], a[max(0, r - 2) : r + 3, max(0, c - 2) : c + 3].mean())
 
 
+def test_evaluation_equals_that_on_cells(spark):
+    rng = np.random.default_rng(8)
+    rows_ = [(s, r, c, float(rng.random()), int(rng.integers(0, 4))) for s in (1, 2, 3) for r, c in np.ndindex(9, 11)]
+    df = spark.createDataFrame(rows_, "scene_id long, r int, c int, v double, cls int")
+    broken = df.withColumn("v", F.when(~((F.col("scene_id") == 3) & (F.col("r") == 8)), F.col("v")))  # scene 3 lacks a line of values
+    of = K.to_blocks(broken, KEYS, ["v", "cls"], 4)
+    out = evaluate_scenes(of, KEYS, ["v"], lambda x: x[:, 0] * 0.5 + 0.25, context=1, classes=range(4), block=4)
+    table = metrics.evaluation_table(df.filter("scene_id < 3").withColumn("prob", F.col("v") * 0.5 + 0.25), KEYS, classes=range(4))
+    names = sorted(table.columns)
+    assert sorted(out.columns) == names and rows(out, *names) == rows(table, *names)
+
+
 def test_calls_are_filled_across_batches(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     df = spark.range(40).select(F.col("id").alias("scene_id"), F.lit(0).alias("r"), F.lit(0).alias("c"), F.col("id").alias("v"))
