@@ -6,7 +6,8 @@ from checks.base import BANDS, cells, classed, query, r6s, rasters, relief, stac
 from checks.joins import BURNED, CLASSED_ENDS, CLASSED_LINES, JUNCTIONS, NEAREST, junction_sql, print_boxes, raster_scenes, touched_sql
 from checks.projections import CHIP, CHIPPED, CHOSEN, relief_chips, rings
 from checks.sources import HYDRO, hydro_layers
-from terracell.operators import augment, burn, catalog, composite, layers, logs, neighbourhood, regrid, spatial, splits
+from terracell.operators import augment, burn, catalog, composite, layers, logs, neighbourhood, regrid, splits
+from terracell.operators.regions import regions_to_footprints
 from terracell.plans.skew import attach_stats
 from terracell.sources import records, vectors
 from terracell.sources.manifests import pending
@@ -273,4 +274,4 @@ def u6(spark, folder):
 )
 def u7(spark, folder):
     chips = print_boxes(spark, folder).select(F.col("fid").alias("chip"), "box")
-    return spatial.regions_to_footprints(rings(spark, folder), chips, 5.0, file="chip").select("chip").distinct()
+    return regions_to_footprints(rings(spark, folder), chips, 5.0, file="chip").select("chip").distinct()

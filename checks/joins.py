@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.base import bands, canvas, cells, classed, features, prints, query, r6s, rasters, relief, scored, stack, table, zones
 from checks.projections import ALONG, CLIP_OUT, CLIPPED, rings
 from terracell.operators import burn, composite, layers, regrid, spatial, splits
+from terracell.operators.regions import regions_to_footprints
 from terracell.sources.manifests import existing, pending
 
 
@@ -46,7 +47,7 @@ DIAMOND = "greatest(p.w-(z.w+1), (z.w+1)-p.e, 0)+greatest(p.s-(z.s+1), (z.s+1)-p
 @query("j2_chips_of_regions", f"SELECT DISTINCT file_name FROM prints p JOIN zones z ON {DIAMOND}", ["prints", "zones"])
 def j2(spark, folder):
     regions = rings(spark, folder)
-    pairs = spatial.regions_to_footprints(regions, print_boxes(spark, folder), 5.0)
+    pairs = regions_to_footprints(regions, print_boxes(spark, folder), 5.0)
     return splits.chips_of_regions(pairs, regions)
 
 

@@ -354,7 +354,7 @@ def f17(spark, folder):
     df = prints(spark, folder).withColumn("ring", ring)
     box = F.struct("w", "s", "e", "n")
     return df.select(
-        "fid", G.box_meets_convex_ring(box, F.col("ring")).alias("meets"), G.boxes_intersect(box, G.ring_bounds(F.col("ring"))).alias("bounds_meet")
+        "fid", G.box_meets_ring(box, F.col("ring")).alias("meets"), G.boxes_intersect(box, G.ring_bounds(F.col("ring"))).alias("bounds_meet")
     )
 
 

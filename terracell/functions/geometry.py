@@ -48,37 +48,6 @@ def ring_edges(ring):
     )
 
 
-def convex_edges(ring):
-    """Edges of a closed convex ring with the span ``lo``..``hi`` of the ring across each edge.
-
-    Worth storing once per ring when it is tested against many boxes.
-    """
-    def measured(edge):
-        dx, dy = edge["x1"] - edge["x0"], edge["y1"] - edge["y0"]
-        across = F.transform(ring, lambda p: dx * (p["y"] - edge["y0"]) - dy * (p["x"] - edge["x0"]))
-        return F.struct(
-            edge["x0"].alias("x0"), edge["y0"].alias("y0"), dx.alias("dx"), dy.alias("dy"),
-            F.array_min(across).alias("lo"), F.array_max(across).alias("hi"),
-        )
-
-    return F.transform(ring_edges(ring), measured)
-
-
-def box_meets_edges(box, edges):
-    """Separating-axis test of a box against ``convex_edges``; the bounds must be known to meet."""
-    def separates(edge):
-        ys, yn = edge["dx"] * (box["s"] - edge["y0"]), edge["dx"] * (box["n"] - edge["y0"])
-        xw, xe = edge["dy"] * (box["w"] - edge["x0"]), edge["dy"] * (box["e"] - edge["x0"])
-        return (F.least(ys, yn) - F.greatest(xw, xe) > edge["hi"]) | (F.greatest(ys, yn) - F.least(xw, xe) < edge["lo"])
-
-    return ~F.exists(edges, separates)
-
-
-def box_meets_convex_ring(box, ring):
-    """A box and a closed convex ring share at least a point."""
-    return boxes_intersect(box, ring_bounds(ring)) & box_meets_edges(box, convex_edges(ring))
-
-
 def point_in_ring(x, y, ring):
     """Even-odd rule."""
     def flips(edge):
@@ -123,6 +92,15 @@ def clip_range(x0, y0, x1, y1, box):
     )
 
 
+def box_meets_ring(box, ring):
+    """A box and a closed ring of any shape share at least a point: an edge enters the box, or the box lies inside."""
+    def enters(edge):
+        t = clip_range(edge["x0"], edge["y0"], edge["x1"], edge["y1"], box)
+        return t["t0"] <= t["t1"]
+
+    return F.exists(ring_edges(ring), enters) | point_in_ring(box["w"], box["s"], ring)
+
+
 def clip_segment(x0, y0, x1, y1, box):
     """Struct x0,y0,x1,y1 of the part inside the box, NULL if there is none."""
     t = clip_range(x0, y0, x1, y1, box)

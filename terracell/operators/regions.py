@@ -60,3 +60,8 @@ def regions_meet_boxes(boxes, edges, cell, box_id, region_id="region_id", box="b
     by_edge = near.filter(far <= within).select(region_id, box_id)
     corners = boxes.select(box_id, F.col(box)["w"].alias("x"), F.col(box)["s"].alias("y"))
     return by_edge.union(points_in_regions(corners, edges, cell, box_id, region_id)).distinct()
+
+
+def regions_to_footprints(regions, footprints, cell, ring="ring", region_id="region_id", file="file_name"):
+    """Pairs of a region, given as one ring of any shape, and the footprints (box column ``box``) it meets."""
+    return regions_meet_boxes(footprints, region_edges(regions, ring, (region_id,)), cell, file, region_id)

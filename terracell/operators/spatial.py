@@ -1,4 +1,4 @@
-"""Joins of boxes, rings and features."""
+"""Joins of boxes and segments."""
 
 import math
 
@@ -75,13 +75,6 @@ def boxes_meet(left, right, left_box, right_box, finest=2.0**-10, levels=10, spr
     return met.filter((corner("w") == F.col("_bx")) & (corner("s") == F.col("_by"))).drop("_side", "_lv", "_bx", "_by")
 
 
-def regions_to_footprints(regions, footprints, cell, ring="ring", region_id="region_id", file="file_name"):
-    """Pairs of a region with a convex ring and the footprints (box column ``box``) it meets."""
-    r = regions.select(region_id, G.ring_bounds(F.col(ring)).alias("region_box"), G.convex_edges(F.col(ring)).alias("edges"))
-    pairs = box_join(footprints, r, "box", "region_box", cell, file, region_id)
-    return pairs.filter(G.box_meets_edges(F.col("box"), F.col("edges"))).select(region_id, file)
-
-
 def tiles_for_regions(tiles, regions, cell, expand=0.15, shrink=2e-7, region_id="region_id"):
     """Tiles (``tile``, ``box``) whose box meets a region's box grown by ``expand``; boxes come back shrunk."""
     r = regions.withColumn("region_box", G.grow(F.col("region_box"), expand))

@@ -261,3 +261,12 @@ def test_clip_and_point_in_ring(spark):
     clip = G.clip_segment(*[F.col(k) for k in ("x0", "y0", "x1", "y1")], box)
     out = {x["i"]: None if x["k"] is None else tuple(x["k"]) for x in df.select("i", clip.alias("k")).collect()}
     assert out == {0: (0.0, 2.0, 4.0, 2.0), 1: None, 2: (1.0, 1.0, 1.0, 1.0), 3: (0.0, 4.0, 0.0, 4.0)}
+
+
+def test_box_meets_ring_with_a_notch(spark):
+    """An L: boxes in the notch do not meet it, boxes inside, across and touching do."""
+    ring = "array(" + ", ".join(f"struct({x}D AS x, {y}D AS y)" for x, y in ((0, 0), (6, 0), (6, 2), (2, 2), (2, 6), (0, 6), (0, 0))) + ")"
+    cases = {(3, 3, 5, 5): False, (0.5, 0.5, 1, 1): True, (-1, -1, 9, 9): True, (2, 3, 4, 5): True, (6.5, 0, 7, 1): False, (5, 1, 8, 8): True}
+    df = spark.createDataFrame([tuple(map(float, k)) for k in cases], "w double, s double, e double, n double")
+    met = df.select("w", "s", "e", "n", G.box_meets_ring(F.struct("w", "s", "e", "n"), F.expr(ring)).alias("meets"))
+    assert {tuple(x)[:4]: x["meets"] for x in met.collect()} == {tuple(map(float, k)): v for k, v in cases.items()}
