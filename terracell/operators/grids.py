@@ -4,11 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terracell.functions import geodesy
-from terracell.functions.geometry import segment_box_distance
+from terracell.functions.geometry import segment_near_box
 from terracell.functions.names import bbox_name
+from terracell.plans.skew import tasks_for
 
 # Grids stay inside this longitude.
 EDGE = 179.999
+PER_TASK = 200_000
 
 
 def _lattice(edges, grid_width, step_size, grid_res, region_id):
@@ -71,31 +73,37 @@ def reference_grids(edges, grid_width=2560, step_size=1280, grid_res=10, region_
 
     A grid meets a region if an edge touches it or its lower left corner lies inside. Each edge gives one run of columns
     for every row of grids it passes, and the crossings of a row's lower line, in order, bound runs of corners that lie
-    inside. Only these runs are generated: the work follows edges and result, not the bounds of a region.
+    inside. Only these runs are generated: the work follows edges and result, not the bounds of a region. A row of a region's
+    grids is made in one task, of which there are as many as the lattices have places for: edges are few and small, and what
+    they make is not.
     """
     frame = _lattice(edges, grid_width, step_size, grid_res, region_id)
+    places = frame.agg(F.sum((F.col("_rows") + 1).cast("double") * (F.col("_cols") + 1))).first()[0]
     step, height = F.col("_yres") * step_size, F.col("_yres") * grid_width
     south = F.col("_s") + F.col("grid_row") * step_size * F.col("_yres")
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    held = edges.select(region_id, "x0", "y0", "x1", "y1").join(frame, region_id)
+    held = edges.select(region_id, "x0", "y0", "x1", "y1").hint("merge").join(frame, region_id)
     rows = _run((F.least(y0, y1) - height - F.col("_s")) / step, (F.greatest(y0, y1) - F.col("_s")) / step, F.col("_rows"))
-    held = held.withColumn("grid_row", F.explode(rows))
+    held = held.withColumn("grid_row", F.explode(rows)).repartition(tasks_for(places, PER_TASK), region_id, "grid_row")
+
+    # crossings of the row's lower line come first and in order; every odd one begins a run that the next one ends
+    crossing = F.when((y0 > south) != (y1 > south), x0 + (south - y0) * (x1 - x0) / (y1 - y0))
+    line = Window.partitionBy(region_id, "grid_row").orderBy(F.col("_x").asc_nulls_last())
+    held = held.withColumn("_x", crossing).withColumns({"_to": F.lead("_x").over(line), "_k": F.row_number().over(line)})
 
     # the part of an edge inside its row's band; a flat edge is in whole
     at = lambda y: F.when(y0 == y1, x0).otherwise(x0 + (F.least(F.greatest(y, F.least(y0, y1)), F.greatest(y0, y1)) - y0) * F.try_divide(x1 - x0, y1 - y0))
     ends = [at(south), F.when(y0 == y1, x1).otherwise(at(south + height))]
-    touched = held.withColumn("grid_col", F.explode(_columns(F.least(*ends), F.greatest(*ends), grid_width, step_size)))
-    touched = touched.withColumns(_grid_box(grid_width, step_size))
-    touched = touched.filter(segment_box_distance(x0, y0, x1, y1, F.struct("w", "s", "e", "n")) <= 0)
-
-    crossing = held.filter((y0 > south) != (y1 > south)).withColumn("_x", x0 + (south - y0) * (x1 - x0) / (y1 - y0))
-    line = Window.partitionBy(region_id, "grid_row").orderBy("_x")
-    crossing = crossing.withColumns({"_to": F.lead("_x").over(line), "_k": F.row_number().over(line)}).filter("_k % 2 = 1")
-    inside = crossing.withColumn("grid_col", F.explode(_columns(F.col("_x"), F.col("_to"), grid_width, step_size)))
-    inside = inside.withColumns(_grid_box(grid_width, step_size)).filter("w > _x and w < _to")
-
-    out = [region_id, "grid_row", "grid_col", "w", "s", "e", "n"]
-    found = touched.select(*out).union(inside.select(*out)).dropDuplicates([region_id, "grid_row", "grid_col"])
+    touched = _columns(F.least(*ends), F.greatest(*ends), grid_width, step_size)
+    inside = F.when(F.col("_x").isNotNull() & F.col("_to").isNotNull() & (F.col("_k") % 2 == 1), _columns(F.col("_x"), F.col("_to"), grid_width, step_size))
+    tagged = lambda columns, flag: F.coalesce(F.transform(columns, lambda c: F.struct(F.lit(flag).alias("_in"), c.alias("grid_col"))), F.array())
+    found = held.select("*", F.inline(F.concat(tagged(touched, False), tagged(inside, True))))
+    # inline makes each box once: a filter on plain columns would be moved below them and repeat them
+    box = F.struct(*[c.alias(k) for k, c in _grid_box(grid_width, step_size).items()])
+    found = found.select(region_id, "grid_row", "grid_col", "x0", "y0", "x1", "y1", "_x", "_to", "_in", F.inline(F.array(box)))
+    found = found.filter(F.when(F.col("_in"), (F.col("w") > F.col("_x")) & (F.col("w") < F.col("_to"))).otherwise(segment_near_box(x0, y0, x1, y1, F.struct("w", "s", "e", "n"))))
+
+    found = found.select(region_id, "grid_row", "grid_col", "w", "s", "e", "n").dropDuplicates([region_id, "grid_row", "grid_col"])
     return found.withColumn("file_name", bbox_name(F.col("w"), F.col("s"), F.col("e"), F.col("n")))
 
 

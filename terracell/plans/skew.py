@@ -1,10 +1,13 @@
 """Joins and running totals that stay even when one key holds much of the data."""
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 SALTS = 16
 PATCH = 512
+PAIRS = 4_000_000
 
 
 def _salt(columns, salts):
@@ -98,6 +101,49 @@ def split_hot(left, right, keys, target, left_on, right_on):
     )
 
 
+def tasks_for(work, per_task):
+    """Number of tasks for an amount of work; rows say little about it where each of them meets or makes many others."""
+    return max(1, min(math.ceil((work or 0) / per_task), 100_000))
+
+
+def join_by_work(left, right, keys, left_on, right_on=None, pairs=PAIRS):
+    """Inner join on coarse ``keys`` where many rows meet many, with about ``pairs`` pairs to a task at any size.
+
+    The pairs of every key are counted first, one row per key. The total sets the number of tasks: adaptive execution goes by
+    bytes and would leave small tables, whose pairs are many, to one task. A key with more pairs than ``pairs`` is cut into
+    ``_pl`` parts of its left rows (by a hash of ``left_on``) and ``_pr`` of its right ones (``right_on``), a grid in which each
+    pair still meets once; without ``right_on`` only the left side is cut, so a left row meets all of its right rows in one
+    task. The result has ``_pl`` and ``_pr`` and is partitioned by them and ``keys``. Neither side is broadcast: Spark would
+    judge that by the size of the files, before rows are dealt to keys.
+    """
+    keys = list(keys)
+    count = lambda df, side: df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(side))
+    work = count(left, "_nl").join(count(right, "_nr"), keys).withColumn("_work", F.col("_nl") * F.col("_nr"))
+    total, rows, most = work.agg(F.sum("_work"), F.sum(F.col("_nl") + F.col("_nr")), F.max("_work")).first()
+    n = tasks_for((total or 0) + 4 * (rows or 0), pairs)
+    if not most or most <= pairs:
+        # no literal takes part in the keys: Spark would exchange the rows once more
+        met = left.repartition(n, *keys).hint("merge").join(right.repartition(n, *keys), keys)
+        return met.withColumns({"_pl": F.lit(0), "_pr": F.lit(0)})
+    side = math.sqrt(pairs)
+    parts = lambda own, other: F.when(F.col(other) <= side, F.ceil(F.col("_work") / pairs)).otherwise(F.ceil(F.col(own) / side))
+    kl, kr = (parts("_nl", "_nr"), parts("_nr", "_nl")) if right_on else (F.ceil(F.col("_work") / pairs), F.lit(1))
+    hot = work.filter(F.col("_work") > pairs).select(
+        *keys, F.least(kl, F.col("_nl")).cast("int").alias("_kl"), F.least(kr, F.col("_nr")).cast("int").alias("_kr")
+    )
+    own = lambda parts, on: F.pmod(F.xxhash64(*on), F.coalesce(F.col(parts), F.lit(1))).cast("int")
+    everywhere = lambda parts: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
+    left = left.join(hot, keys, "left").withColumn("_pl", own("_kl", left_on))
+    right = right.join(hot, keys, "left").withColumn("_pl", everywhere("_kl"))
+    on = [*keys, "_pl"]
+    if right_on:
+        left, right = left.withColumn("_pr", everywhere("_kr")), right.withColumn("_pr", own("_kr", right_on))
+        on = [*on, "_pr"]
+    left, right = left.drop("_kl", "_kr"), right.drop("_kl", "_kr")
+    met = left.repartition(n, *on).hint("merge").join(right.repartition(n, *on), on)
+    return met if right_on else met.withColumn("_pr", F.lit(0))
+
+
 def numbered(df, keys, order, segment, tie=(), name="rn"):
     """Row number per ``keys`` along the integer column ``order`` in two levels.
 
