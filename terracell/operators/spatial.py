@@ -5,9 +5,9 @@ import math
 from pyspark.sql import functions as F
 
 from terracell.functions import geometry as G
-from terracell.plans.skew import split_hot
+from terracell.plans.skew import join_by_work
 
-HOT_BUCKET = 200_000
+HOT_BUCKET = 2_000
 
 
 def _to_buckets(df, box, cell):
@@ -22,15 +22,12 @@ def box_join(left, right, left_box, right_box, cell, left_id, right_id=None, hot
     Boxes are structs w,s,e,n in columns ``left_box`` and ``right_box``, and column names of the two
     sides must differ. Both sides are dealt to square buckets of side ``cell`` (choose about a typical
     box), so the overlap test becomes a filter on an equi join. A pair is reported only from the bucket
-    that holds the lower left corner of its overlap, so no distinct is needed. Buckets with more than
-    ``hot`` rows on either side are split over several tasks by the ids (by the box where none is given).
+    that holds the lower left corner of its overlap, so no distinct is needed. A task tests about ``hot`` times
+    ``hot`` pairs, and buckets with more are split over several tasks by the ids (by the box where none is given).
     """
     keys = ["_bx", "_by"]
-    a, b = split_hot(
-        _to_buckets(left, left_box, cell), _to_buckets(right, right_box, cell), keys, hot, [left_id], [right_id or right_box]
-    )
+    joined = join_by_work(_to_buckets(left, left_box, cell), _to_buckets(right, right_box, cell), keys, [left_id], [right_id or right_box], hot * hot)
     corner = lambda side: F.floor(F.greatest(F.col(left_box)[side], F.col(right_box)[side]) / F.lit(cell)).cast("int")
-    joined = a.join(b, keys + ["_pl", "_pr"])
     joined = joined.filter(G.boxes_intersect(F.col(left_box), F.col(right_box)))
     return joined.filter((corner("w") == F.col("_bx")) & (corner("s") == F.col("_by"))).drop(*keys, "_pl", "_pr")
 
@@ -62,17 +59,19 @@ def boxes_meet(left, right, left_box, right_box, finest=2.0**-10, levels=10, spr
     own level, the smaller on its own or as a guest, and guests never meet guests. So one equi join serves all sizes,
     each side is read once, and no box is cut into cells smaller than itself. ``finest`` and ``levels`` only set the
     range of sizes that is told apart; boxes beyond it are right but lie in more cells or share them with more others. A pair is
-    reported from the cell with the lower left corner of its overlap. A crowded cell is one join key, which adaptive
-    execution splits on both sides.
+    reported from the cell with the lower left corner of its overlap. Tasks hold about equal numbers of pairs, and a crowded
+    cell is split on both sides.
     """
     spread_left, place_left = _levels(left_box, finest, levels, spread)
     spread_right, place_right = _levels(right_box, finest, levels, spread)
+    # boxes are few and small in their files but lie in many cells, so they are dealt to tasks first
+    left, right = left.repartition(left_box), right.repartition(right_box)
     # side 0: the right box is at its own level; side 1: the left one is, and the right one is a guest
     a = spread_left(left).withColumn("_side", F.explode(F.when(F.col("_own"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_own")
     b = spread_right(right).withColumn("_side", F.when(F.col("_own"), F.lit(0)).otherwise(F.lit(1))).drop("_own")
-    met = a.join(b, ["_side", "_lv", "_bx", "_by"]).filter(G.boxes_intersect(F.col(left_box), F.col(right_box)))
+    met = join_by_work(a, b, ["_side", "_lv", "_bx", "_by"], [left_box], [right_box]).filter(G.boxes_intersect(F.col(left_box), F.col(right_box)))
     corner = lambda side: F.greatest(place_left(side, F.col("_lv")), place_right(side, F.col("_lv")))
-    return met.filter((corner("w") == F.col("_bx")) & (corner("s") == F.col("_by"))).drop("_side", "_lv", "_bx", "_by")
+    return met.filter((corner("w") == F.col("_bx")) & (corner("s") == F.col("_by"))).drop("_side", "_lv", "_bx", "_by", "_pl", "_pr")
 
 
 def tiles_for_regions(tiles, regions, cell, expand=0.15, shrink=2e-7, region_id="region_id"):
