@@ -4,10 +4,12 @@ An edge row is ``region_id``, ``part``, ``ring`` and ``x0, y0, x1, y1``. Inside
 ring is held in one row of an exchange, and the work is linear in edges and candidates.
 """
 
+import math
+
 from pyspark.sql import functions as F
 
 from terracell.functions import geometry as G
-from terracell.operators.spatial import box_join
+from terracell.plans.skew import join_by_work
 
 
 def region_edges(regions, ring="ring", keys=("region_id", "part", "ring_id")):
@@ -31,35 +33,87 @@ def _bounds(edges, region_id):
     )
 
 
+def _crossed(x, y):
+    """Whether a ray to the right from the point crosses the edge."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    return ((y0 > y) != (y1 > y)) & (x < x0 + (y - y0) * (x1 - x0) / (y1 - y0))
+
+
+def _edges_from_west(edges, region_id):
+    """Edges with ``_west``, the west of their region's bounds: a ray to the right may start from there."""
+    bounds = _bounds(edges, region_id).select(region_id, F.col("region_box.w").alias("_west"))
+    held = edges.select(region_id, "x0", "y0", "x1", "y1").hint("merge").join(bounds, region_id, "left")
+    return held.withColumn("_west", F.least("_west", "x0", "x1"))
+
+
+def _by_pair(found, spots, home, id_column, region_id, keys):
+    """Aggregation over the edges that a row of ``spots`` meets of a region.
+
+    A join on ``keys`` and the parts of the left side has all edges for a row in one task, so pairs are not exchanged. Only if
+    an id stands for rows with different homes, they are gathered from all places.
+    """
+    places = spots.groupBy(id_column).agg((F.min(home) < F.max(home)).alias("_apart")).agg(F.bool_or("_apart")).first()[0]
+    return found.groupBy(region_id, id_column, *([] if places else [*keys, "_pl", "_pr"]))
+
+
 def points_in_regions(points, edges, cell, point_id, region_id="region_id", x="x", y="y"):
     """Pairs (region, point id) of points inside a region; ``points`` has ``point_id``, x and y.
 
-    Edges are dealt to strips of height ``cell``. A point meets the edges of its own strip and of regions whose bounds
-    hold it; an odd number of them to its right means inside.
+    A point is in one square of side ``cell``. An edge goes to the squares of its rows from the west of its region to its own
+    east end, where it may cross a ray to the right; an odd number of crossings means inside. So a point meets all edges
+    it needs in its square, and no pair is exchanged.
     """
-    spot = points.select(point_id, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    spot = spot.withColumn("_spot", F.struct(F.col("_x").alias("w"), F.col("_y").alias("s"), F.col("_x").alias("e"), F.col("_y").alias("n")))
-    near = box_join(spot, _bounds(edges, region_id), "_spot", "region_box", cell, point_id, region_id)
-    strip = lambda v: F.floor(v / F.lit(cell)).cast("long")
-    near = near.select(point_id, region_id, "_x", "_y", strip(F.col("_y")).alias("_strip"))
+    place = lambda v: F.floor(v / F.lit(cell)).cast("long")
+    spots = points.select(point_id, F.col(x).alias("_x"), F.col(y).alias("_y")).withColumns({"_bx": place(F.col("_x")), "_by": place(F.col("_y"))})
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    dealt = edges.filter(y0 != y1).select(region_id, "x0", "y0", "x1", "y1", F.explode(F.sequence(strip(F.least(y0, y1)), strip(F.greatest(y0, y1)))).alias("_strip"))
-    crossing = ((y0 > F.col("_y")) != (y1 > F.col("_y"))) & (F.col("_x") < x0 + (F.col("_y") - y0) * (x1 - x0) / (y1 - y0))
-    met = near.join(dealt, [region_id, "_strip"]).filter(crossing)
-    return met.groupBy(region_id, point_id).agg((F.count(F.lit(1)) % 2 == 1).alias("_in")).filter("_in").select(region_id, point_id)
+    dealt = _edges_from_west(edges.filter(F.col(region_id).isNotNull()), region_id).filter(y0 != y1)
+    dealt = dealt.withColumn("_by", F.explode(F.sequence(place(F.least(y0, y1)), place(F.greatest(y0, y1)))))
+    dealt = dealt.withColumn("_bx", F.explode(F.sequence(place(F.col("_west")), place(F.greatest(x0, x1)))))
+    met = join_by_work(spots, dealt, ["_bx", "_by"], [point_id]).filter((F.col("_x") >= F.col("_west")) & _crossed(F.col("_x"), F.col("_y")))
+    counted = _by_pair(met, spots, F.struct("_x", "_y"), point_id, region_id, ["_bx", "_by"]).agg((F.count(F.lit(1)) % 2 == 1).alias("_in"))
+    return counted.filter("_in").select(region_id, point_id)
 
 
 def regions_meet_boxes(boxes, edges, cell, box_id, region_id="region_id", box="box", within=0.0):
     """Pairs (region, box id) where the closed box comes within ``within`` of the region.
 
-    Either an edge of the region comes that near to the box, or the box lies inside and so does its corner.
+    Either an edge of the region comes that near to the box, or the box lies inside and so does its lower left corner. A box
+    is at home in one square, that of its corner, of side ``cell`` times the power of 4 that is just larger than itself. An
+    edge goes to all squares whose boxes may reach it, and to those where it may cross a ray from a corner. So a box
+    meets all edges it needs at home, and no pair is exchanged.
     """
-    sided = edges.select(region_id, "x0", "y0", "x1", "y1", _box(edges, within).alias("_edge_box"))
-    near = box_join(boxes.select(box_id, box), sided, box, "_edge_box", cell, box_id, region_id)
-    far = G.segment_box_distance(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], F.col(box))
-    by_edge = near.filter(far <= within).select(region_id, box_id)
-    corners = boxes.select(box_id, F.col(box)["w"].alias("x"), F.col(box)["s"].alias("y"))
-    return by_edge.union(points_in_regions(corners, edges, cell, box_id, region_id)).distinct()
+    side = F.greatest(F.col("_box")["e"] - F.col("_box")["w"], F.col("_box")["n"] - F.col("_box")["s"])
+    level = F.greatest(F.ceil(F.log(F.greatest(side, F.lit(float(cell))) * (1 + 1e-9) / F.lit(float(cell))) / math.log(4) - 1e-9), F.lit(0))
+    place = lambda v: F.floor(v / F.col("_side")).cast("long")
+    spots = boxes.select(box_id, F.col(box).alias("_box")).withColumn("_level", level.cast("int"))
+    spots = spots.withColumn("_side", F.lit(float(cell)) * F.pow(F.lit(4.0), F.col("_level")))
+    spots = spots.withColumns({"_bx": place(F.col("_box")["w"]), "_by": place(F.col("_box")["s"])}).filter("_bx is not null and _by is not null and _level is not null").drop("_side")
+    sizes = spots.groupBy("_level").agg(F.max(F.col("_box")["e"] - F.col("_box")["w"]).alias("w"), F.max(F.col("_box")["n"] - F.col("_box")["s"]).alias("h")).collect()
+    one = lambda z: F.struct(*[F.lit(v).alias(k) for k, v in (("_level", z[0]), ("_side", float(cell) * 4.0 ** z[0]), ("_w", z[1]), ("_h", z[2]))])
+    levels = F.array(*[one(z) for z in sizes or [(0, 0.0, 0.0)]])
+
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    d = F.lit(float(within))
+    dealt = _edges_from_west(edges, region_id).select("*", F.inline(levels))
+    dealt = dealt.withColumn("_by", F.explode(F.sequence(place(F.least(y0, y1) - d - F.col("_h")), place(F.greatest(y0, y1) + d))))
+    # a flat edge crosses no ray
+    first = F.least(x0, x1) - d - F.col("_w")
+    first = F.when(y0 == y1, first).otherwise(F.least(first, F.col("_west")))
+    dealt = dealt.withColumn("_bx", F.explode(F.sequence(place(first), place(F.greatest(x0, x1) + d)))).drop("_w", "_h", "_side")
+    keys = ["_level", "_bx", "_by"]
+    b = F.col("_box")
+    near = F.when(
+        (F.least(x0, x1) - d <= b["e"]) & (F.greatest(x0, x1) + d >= b["w"]) & (F.least(y0, y1) - d <= b["n"]) & (F.greatest(y0, y1) + d >= b["s"]),
+        G.segment_near_box(x0, y0, x1, y1, b, within),
+    ).otherwise(False)
+    crossed = F.col(region_id).isNotNull() & (b["w"] >= F.col("_west")) & F.coalesce(_crossed(b["w"], b["s"]), F.lit(False))
+    met = join_by_work(spots, dealt, keys, [box_id])
+    # inline drops what neither touches nor crosses, and unlike a filter is not moved below the tests
+    tests = F.struct(near.alias("_near"), crossed.alias("_crossed"))
+    met = met.select(box_id, region_id, *keys, "_pl", "_pr", F.inline(F.filter(F.array(tests), lambda t: t["_near"] | t["_crossed"])))
+    found = _by_pair(met, spots, F.struct("_box.w", "_box.s", "_box.e", "_box.n"), box_id, region_id, keys)
+    found = found.agg(F.bool_or("_near").alias("_near"), F.count_if("_crossed").alias("_n"))
+    return found.filter(F.col("_near") | (F.col("_n") % 2 == 1)).select(region_id, box_id)
 
 
 def regions_to_footprints(regions, footprints, cell, ring="ring", region_id="region_id", file="file_name"):
