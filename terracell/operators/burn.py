@@ -7,7 +7,7 @@ from terracell.functions.classes import JUNCTION_CLASS
 from terracell.functions.geometry import point_segment_distance
 from terracell.functions.ranges import explode_range
 from terracell.operators.spatial import box_join
-from terracell.plans.skew import salted_join
+from terracell.plans.skew import join_by_work, salted_join
 
 RADIUS = 5e-5
 
@@ -100,7 +100,8 @@ def edges_in_grids(edges, grids, cell, grid="scene_id", feature="fid", by=0.0):
     pairs = pairs.withColumn("_strip", F.explode(F.sequence(strip(F.col("grid_box.s")), strip(F.col("grid_box.n")))))
     dealt = edges.withColumns({"_low": low, "_high": high})
     dealt = dealt.withColumn("_strip", F.explode(F.sequence(strip(F.col("_low")), strip(F.col("_high")))))
-    met = dealt.join(pairs, [feature, "_strip"]).filter((F.col("_low") <= F.col("grid_box.n")) & (F.col("_high") >= F.col("grid_box.s")))
+    # not broadcast: by the size of the files the edges would seem small enough, before they are dealt to strips
+    met = dealt.hint("merge").join(pairs, [feature, "_strip"]).filter((F.col("_low") <= F.col("grid_box.n")) & (F.col("_high") >= F.col("grid_box.s")))
     first = F.greatest(strip(F.col("_low")), strip(F.col("grid_box.s")))
     return met.filter(F.col("_strip") == first).drop("_strip", "_low", "_high", "grid_box")
 
@@ -166,8 +167,9 @@ def line_junctions(segments, bucket, keys=("scene_id",), line=None, least=3, tol
     span = lambda a, b: F.explode(F.sequence(place(F.least(a, b) - tolerance), place(F.greatest(a, b) + tolerance)))
     dealt = segments.select(*line, "x0", "y0", "x1", "y1").withColumn("_bx", span(F.col("x0"), F.col("x1"))).withColumn("_by", span(F.col("y0"), F.col("y1")))
     far = point_segment_distance(F.col("x"), F.col("y"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
-    met = points.join(dealt, [*keys, "_bx", "_by"]).filter(far <= tolerance)
     own = [c for c in line if c not in keys]
+    met = join_by_work(points, dealt, [*keys, "_bx", "_by"], ["x", "y"], [*own, "x0", "y0", "x1", "y1"])
+    met = met.filter(far <= tolerance)
     return met.groupBy(*keys, "x", "y").agg(F.count_distinct(*own).alias("lines")).filter(F.col("lines") >= least)
 
 
