@@ -170,8 +170,12 @@ def on_common_lattice(cells, sources):
 
 
 def cut_to_targets(cells, sources, targets, bucket, method="nearest"):
-    """Resample every overlapping source onto each target, then keep the first valid value."""
-    paired = pair_cells(cells, raster_pairs(sources, targets, bucket))
+    """Resample every overlapping source onto each target, then keep the first valid value.
+
+    Sources without a cell are left out before they are paired: pairs grow with sources times targets.
+    """
+    held = sources.join(cells.select("scene_id").distinct(), "scene_id", "left_semi")
+    paired = pair_cells(cells, raster_pairs(held, targets, bucket))
     return mosaic_first({"nearest": nearest, "cubic": cubic}[method](paired))
 
 
