@@ -102,15 +102,11 @@ def regions_meet_boxes(boxes, edges, cell, box_id, region_id="region_id", box="b
     dealt = dealt.withColumn("_bx", F.explode(F.sequence(place(first), place(F.greatest(x0, x1) + d)))).drop("_w", "_h", "_side")
     keys = ["_level", "_bx", "_by"]
     b = F.col("_box")
-    near = F.when(
-        (F.least(x0, x1) - d <= b["e"]) & (F.greatest(x0, x1) + d >= b["w"]) & (F.least(y0, y1) - d <= b["n"]) & (F.greatest(y0, y1) + d >= b["s"]),
-        G.segment_near_box(x0, y0, x1, y1, b, within),
-    ).otherwise(False)
+    beside = (F.least(x0, x1) - d <= b["e"]) & (F.greatest(x0, x1) + d >= b["w"]) & (F.least(y0, y1) - d <= b["n"]) & (F.greatest(y0, y1) + d >= b["s"])
     crossed = F.col(region_id).isNotNull() & (b["w"] >= F.col("_west")) & F.coalesce(_crossed(b["w"], b["s"]), F.lit(False))
-    met = join_by_work(spots, dealt, keys, [box_id])
-    # inline drops what neither touches nor crosses, and unlike a filter is not moved below the tests
-    tests = F.struct(near.alias("_near"), crossed.alias("_crossed"))
-    met = met.select(box_id, region_id, *keys, "_pl", "_pr", F.inline(F.filter(F.array(tests), lambda t: t["_near"] | t["_crossed"])))
+    # most pairs end at this cheap test, inside the join
+    met = join_by_work(spots, dealt, keys, [box_id]).filter(beside | crossed)
+    met = met.select(box_id, region_id, *keys, "_pl", "_pr", G.segment_near_box(x0, y0, x1, y1, b, within).alias("_near"), crossed.alias("_crossed"))
     found = _by_pair(met, spots, F.struct("_box.w", "_box.s", "_box.e", "_box.n"), box_id, region_id, keys)
     found = found.agg(F.bool_or("_near").alias("_near"), F.count_if("_crossed").alias("_n"))
     return found.filter(F.col("_near") | (F.col("_n") % 2 == 1)).select(region_id, box_id)
