@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from terracell.functions import geometry as G
-from terracell.plans.skew import join_by_work
+from terracell.plans.skew import dealt_to_tasks, join_by_work
 
 HOT_BUCKET = 2_000
 
@@ -65,7 +65,7 @@ def boxes_meet(left, right, left_box, right_box, finest=2.0**-10, levels=10, spr
     spread_left, place_left = _levels(left_box, finest, levels, spread)
     spread_right, place_right = _levels(right_box, finest, levels, spread)
     # boxes are few and small in their files but lie in many cells, so they are dealt to tasks first
-    left, right = left.repartition(left_box), right.repartition(right_box)
+    left, right = dealt_to_tasks(left, left_box), dealt_to_tasks(right, right_box)
     # side 0: the right box is at its own level; side 1: the left one is, and the right one is a guest
     a = spread_left(left).withColumn("_side", F.explode(F.when(F.col("_own"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_own")
     b = spread_right(right).withColumn("_side", F.when(F.col("_own"), F.lit(0)).otherwise(F.lit(1))).drop("_own")

@@ -106,6 +106,12 @@ def tasks_for(work, per_task):
     return max(1, min(math.ceil((work or 0) / per_task), 100_000))
 
 
+def dealt_to_tasks(df, on, per_task=100_000):
+    """Rows dealt to tasks by ``on`` if they are more than ``per_task``; before steps that make many rows of each."""
+    n = tasks_for(df.count(), per_task)
+    return df if n == 1 else df.repartition(n, on)
+
+
 def join_by_work(left, right, keys, left_on, right_on=None, pairs=PAIRS):
     """Inner join on coarse ``keys`` where many rows meet many, with about ``pairs`` pairs to a task at any size.
 
