@@ -74,19 +74,10 @@ _BYTES = np.random.RandomState(20240229).randint(0, 2**63, 256, dtype=np.int64).
 _BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[ord(c) for c in WHITE]] = True
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n):
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
-    if len(_POWERS[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        for i, b in enumerate((_BASE, inverse)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS
+PIECE = 1 << 16  # bytes hashed at once
+_POWERS, _INVERSE = (
+    np.multiply.accumulate(np.array([1] + [b] * PIECE, np.uint64)) for b in (int(_BASE), pow(int(_BASE), -1, 2**64))
+)
 
 
 def mix64(h):
@@ -103,7 +94,8 @@ def word_hashes(texts):
     """64-bit hashes of all words of ``texts`` (bytes), and where each text's words start.
 
     A word is a run of bytes that are not ASCII white space; A-Z count as a-z. Equal words have equal hashes. Returns
-    (hashes, starts) with ``starts`` one longer than ``texts``.
+    (hashes, starts) with ``starts`` one longer than ``texts``. Words are hashed ``PIECE`` bytes at a time, so beside the
+    bytes themselves only the words take memory.
     """
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
@@ -113,16 +105,35 @@ def word_hashes(texts):
     if not space[0]:
         edge = np.concatenate(([0], edge))
     first, last = edge[0::2], edge[1::2]
-    powers, inverse = _powers(len(joined) + 1)
-    sums = np.empty(len(joined) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTES[joined] * powers[: len(joined)], out=sums[1:])
-    h = (sums[last] - sums[first]) * inverse[first]
+    h = np.empty(len(first), np.uint64)
+    i = 0
+    while i < len(h):
+        # the words that end inside a piece; a word beyond it goes alone
+        j = int(np.searchsorted(last, first[i] + PIECE, side="right"))
+        if j > i:
+            part = joined[first[i] : last[j - 1]]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTES[part] * _POWERS[: len(part)], out=sums[1:])
+            a, b = first[i:j] - first[i], last[i:j] - first[i]
+            h[i:j] = (sums[b] - sums[a]) * _INVERSE[a]
+        else:
+            j = i + 1
+            h[i] = _long_word(joined[first[i] : last[i]])
+        i = j
     h += (last - first).astype(np.uint64) * _MIX
     starts = np.concatenate(([0], np.searchsorted(first, ends)))
     return mix64(h), starts
 
 
+def _long_word(word):
+    """The sum that ``word_hashes`` takes of a word, piece by piece."""
+    total = 0
+    for at in range(0, len(word), PIECE):
+        part = _BYTES[word[at : at + PIECE]]
+        total += int((part * _POWERS[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), at, 2**64)
+    return total % 2**64
+
+
 def shingle_hashes(words, starts, k):
     """Hashes of the ``k``-word shingles of each text, in order, and where each text's shingles start.
 
@@ -156,11 +167,18 @@ def text_bytes(column):
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]
 
 
+def slices(batches, rows=128):
+    """Arrow batches in slices of ``rows`` rows: of a batch, only a slice need be Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(batches, size):
     """Lists of ids and of texts (bytes) of about ``size`` bytes from Arrow batches of (id, text)."""
     ids, texts, held = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+    for part in slices(batches):
+        for i, t in zip(part.column(0).to_pylist(), text_bytes(part.column(1))):
             ids.append(i), texts.append(t)
             held += len(t)
             if held >= size or len(ids) == 65_535:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terracell.llm.common import chunks, free_name, mix64, numbered_by, parallelism, shingle_hashes, word_hashes, written
+from terracell.llm.common import chunks, free_name, mix64, numbered_by, parallelism, shingle_hashes, slices, word_hashes, written
 from terracell.plans.skew import salted_join, split_hot
 
 K = 4
@@ -87,30 +87,32 @@ def _fragments(k, fragments):
     """A task's shingles by fragment. ``tokens`` are packed 46-bit hashes; ``docs`` the document of each, or 65535 for a
     shingle that two documents of the chunk share, which those have counted already."""
 
+    def part(chunk, ids, texts):
+        h, doc, sizes = _sets(texts, k)
+        prints = _prints(h, sizes)
+        key = np.sort((h >> SHIFT << SHIFT) | doc.astype(np.uint64))
+        token, owner = key >> SHIFT, (key & np.uint64(0xFFFF)).astype(np.uint16)
+        # a token twice in one document (cut off bits) counts as shared: never too few
+        same = token[1:] == token[:-1]
+        first, shared = np.ones(len(key), bool), np.zeros(len(key), bool)
+        first[1:] = ~same
+        shared[1:] |= same
+        shared[:-1] |= same
+        counts = np.bincount(owner[shared], minlength=len(ids)).astype(np.int64)
+        owner[shared] = 65535
+        token, owner = token[first], owner[first]
+        bounds = (np.arange(fragments) * ((1 << 46) // fragments)).astype(np.uint64)
+        cut = np.searchsorted(token, bounds[1:])
+        header = np.array([-(1 << 62) if i is None else i for i in ids], np.int64).tobytes() + sizes.tobytes() + prints.tobytes() + counts.tobytes()
+        rows = [(HEADER - chunk % fragments, chunk, header, b"")]
+        parts = zip(np.split(token, cut), np.split(owner, cut))
+        rows += [(f, chunk, _pack(t - bounds[f]), o.tobytes()) for f, (t, o) in enumerate(parts) if len(t)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PARTS)], schema=_PARTS)
+
     def run(batches):
         base = TaskContext.get().partitionId() << 32
         for n, (ids, texts) in enumerate(chunks(batches, CHUNK_BYTES)):
-            h, doc, sizes = _sets(texts, k)
-            prints = _prints(h, sizes)
-            key = np.sort((h >> SHIFT << SHIFT) | doc.astype(np.uint64))
-            token, owner = key >> SHIFT, (key & np.uint64(0xFFFF)).astype(np.uint16)
-            # a token twice in one document (cut off bits) counts as shared: never too few
-            same = token[1:] == token[:-1]
-            first, shared = np.ones(len(key), bool), np.zeros(len(key), bool)
-            first[1:] = ~same
-            shared[1:] |= same
-            shared[:-1] |= same
-            counts = np.bincount(owner[shared], minlength=len(ids)).astype(np.int64)
-            owner[shared] = 65535
-            token, owner = token[first], owner[first]
-            bounds = (np.arange(fragments) * ((1 << 46) // fragments)).astype(np.uint64)
-            cut = np.searchsorted(token, bounds[1:])
-            chunk = base + n
-            header = np.array([-(1 << 62) if i is None else i for i in ids], np.int64).tobytes() + sizes.tobytes() + prints.tobytes() + counts.tobytes()
-            rows = [(HEADER - chunk % fragments, chunk, header, b"")]
-            parts = zip(np.split(token, cut), np.split(owner, cut))
-            rows += [(f, chunk, _pack(t - bounds[f]), o.tobytes()) for f, (t, o) in enumerate(parts) if len(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PARTS)], schema=_PARTS)
+            yield part(base + n, ids, texts)
 
     return run
 
@@ -123,9 +125,8 @@ def _shared(key, table):
     names, tokens, docs = (table.column(c).to_pylist() for c in ("chunk", "tokens", "docs"))
     if key[0].as_py() < 0:
         return pa.table({"chunk": names, "header": tokens, "docs": docs}, schema=_COUNTS)
-    tokens = [_unpack(t) for t in tokens]
-    sizes, token = np.array([len(t) for t in tokens]), np.concatenate(tokens)
-    owner = np.concatenate([np.frombuffer(o, np.uint16) for o in docs])
+    token = np.concatenate([_unpack(t) for t in tokens])
+    sizes, owner = np.array([len(o) // 2 for o in docs]), np.concatenate([np.frombuffer(o, np.uint16) for o in docs])
     at = np.repeat(np.arange(len(names)), sizes)
     order = np.argsort(token, kind="stable")
     ranked = token[order]
@@ -180,13 +181,12 @@ def _tokens(k):
 
 
 def _segments(fragments):
-    """(doc, tokens) as rows (fragment, docs, sizes, tokens), one per batch and fragment."""
+    """(doc, tokens) as rows (fragment, docs, sizes, tokens), one per chunk and fragment."""
 
     def run(batches):
-        for batch in batches:
-            docs = np.array(batch.column(0).to_pylist(), np.int64)
-            packed = batch.column(1).to_pylist()
-            token = np.concatenate([np.frombuffer(t, np.uint64) for t in packed] or [np.empty(0, np.uint64)])
+        for docs, packed in chunks(batches, CHUNK_BYTES):
+            docs = np.array(docs, np.int64)
+            token = np.concatenate([np.frombuffer(t, np.uint64) for t in packed])
             at = np.repeat(np.arange(len(docs)), [len(t) // 8 for t in packed])
             f = (token.astype(np.float64) * (fragments / 2.0**64)).astype(np.int32)
             np.minimum(f, fragments - 1, out=f)
@@ -340,7 +340,7 @@ def _members(batches):
 
 def _pieces(batches):
     """(block, doc, tokens) cut into the fragments of the block."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for block, doc, tokens in zip(*(c.to_pylist() for c in batch.columns)):
             token = np.frombuffer(tokens, np.uint64)

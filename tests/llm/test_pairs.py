@@ -1,8 +1,11 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from terracell.llm import jaccard_join
+from terracell.llm import common, jaccard_join
 from tests.llm.frames import by_id, documents, prose
 
 
@@ -124,3 +127,56 @@ def test_a_template_group_below_the_threshold_makes_no_pairs(spark):
     assert jaccard_join._across(postings, none, 85).count() == 0
     out = by_id(jaccard_join.classes(documents(spark, rows)), "component_id")
     assert out == {i: i for i in range(300)}
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def plain_hash(word):
+    total = sum(int(common._BYTES[c]) * pow(int(common._BASE), i, 2**64) for i, c in enumerate(word))
+    return int(common.mix64(np.array([(total + len(word) * int(common._MIX)) % 2**64], np.uint64))[0])
+
+
+def test_words_are_hashed_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(common, "PIECE", 8)
+    texts = [b"", b" ", b"a bb  ccc\tD", b"seven77 eight888 nine99999 " + b"x" * 40, b"Z" * 16 + b"\n" + b"y" * 17]
+    hashes, starts = common.word_hashes(texts)
+    assert [int(h) for h in hashes] == [plain_hash(w) for t in texts for w in t.split()]
+    assert starts.tolist() == [0, 0, 0, 4, 8, 10]
+
+
+def test_hashing_a_chunk_takes_little_memory():
+    """A worker held 128 MB of powers and 96 MB of products for a chunk of 4 MB."""
+    one = " ".join(prose(s, 200) for s in range(5)).encode()
+    texts = [one] * (jaccard_join.CHUNK_BYTES // len(one))
+    assert peak_mb(lambda: common.word_hashes(texts)) < 80
+    assert peak_mb(lambda: common.word_hashes([b"x" * jaccard_join.CHUNK_BYTES])) < 80
+
+
+def test_a_full_batch_is_cut_before_its_sets_are_unpacked():
+    n, each = 4096, 1024
+    sets = np.sort(np.random.RandomState(1).randint(0, 2**63, (n, each), dtype=np.int64).astype(np.uint64) * np.uint64(2), axis=1)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc", "tokens"])
+    found = {}
+
+    def run():
+        for out in jaccard_join._segments(4)([batch]):
+            for f, docs in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                found[f] = found.get(f, 0) + len(docs) // 8
+
+    assert peak_mb(run) < 64
+    assert [found[f] for f in range(4)] == np.bincount((sets >> np.uint64(62)).astype(int).ravel()).tolist()
+
+
+def test_chunks_do_not_follow_batches():
+    rows = [(i, "x" * (i % 7)) for i in range(1000)]
+    whole = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["doc", "text"])
+    want = list(common.chunks([whole.slice(i, 1) for i in range(1000)], 500))
+    assert list(common.chunks([whole], 500)) == want and sum((ids for ids, _ in want), []) == list(range(1000))
+    assert [part.num_rows for part in common.slices([whole, whole.slice(0, 0)], 300)] == [300, 300, 300, 100]
