@@ -1,3 +1,5 @@
+import pathlib
+
 import numpy as np
 import pytest
 
@@ -77,3 +79,32 @@ def test_centers_of_a_dense_group_become_one():
 def test_reach_misses_nothing_in_few_dimensions():
     assert near_vectors.reach_of(0.93, 20) == pytest.approx(np.sqrt(0.14) / 2)
     assert near_vectors.reach_of(0.93, 64) < near_vectors.reach_of(0.93, 32) < near_vectors.reach_of(0.93, 20)
+
+
+def bytes_under(folder):
+    return sum(p.stat().st_size for p in folder.rglob("part-*"))
+
+
+def test_vectors_without_order_are_not_written_again_and_again(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, v.astype(np.float32).tolist(), 0, 0, "p") for i, v in enumerate(r.normal(size=(3000, 64)))]
+    held, home = spark.createDataFrame(rows, COLUMNS).repartition(4), pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = bytes_under(home)
+    assert near_vectors.near_vectors(held, target=150, block=150).filter("n_links = 0 and kept").count() == 3000
+    assert bytes_under(home) - before < 4 * 3000 * 64 * 4
+
+
+def test_cut_groups_in_rounds_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "ROUND", 0.5)
+    monkeypatch.setattr(near_vectors, "ROUND_ROWS", 100)
+    monkeypatch.setattr(near_vectors, "SIDE", 16)
+    monkeypatch.setattr(near_vectors, "SHARE", 5)
+    r = np.random.default_rng(3)
+    middles, rows = r.normal(size=(8, 12)), vectors(4, 150, 12)
+    rows = [(i, (np.array(e) * 0.25 + middles[i % 8] * 3).astype(np.float32).tolist(), label) for i, e, label in rows]
+    held = spark.createDataFrame([(*x, 0, "p") for x in rows], COLUMNS).repartition(3)
+    seen, cells = [], near_vectors.cells
+    monkeypatch.setattr(near_vectors, "cells", lambda *a: seen.append(cells(*a)) or seen[-1])
+    out = near_vectors.near_vectors(held, target=40, block=20, sample=400).collect()
+    assert sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in out) == brute(rows)
+    assert seen[0]
