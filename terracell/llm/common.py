@@ -23,17 +23,6 @@ def written(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written_and_released(df, name):
-    """As ``written``; the files that its exchanges left on the executors' disks go with the job, not when the driver collects garbage."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
-    try:
-        return written(df, name)
-    finally:
-        conf.unset(key) if before is None else conf.set(key, before)
-
-
 def free_name(df, name):
     """A column name that ``df`` does not have (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -33,8 +33,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from terracell.llm.common import parallelism, written, written_and_released
+from terracell.llm.common import parallelism, written
 from terracell.llm.jaccard_join import components
+from terracell.plans.lineage import saved
 from terracell.plans.skew import tasks_for
 
 THRESHOLD = 0.93
@@ -277,7 +278,7 @@ def linked(members, threshold, block=BLOCK):
     """Per class and pair of blocks: copies linked with it, and the smallest class it reaches there."""
     rows = F.least(F.lit(block), F.greatest(F.lit(1024), F.floor(BLOCK_BYTES / (8 * F.col("dim")))))
     count = F.count(F.lit(1))
-    sizes = written_and_released(members.groupBy(*_CELL).agg(count.alias("members")).withColumn("blocks", F.ceil(F.col("members") / rows).cast("int")), "cells")
+    sizes = saved(members.groupBy(*_CELL).agg(count.alias("members")).withColumn("blocks", F.ceil(F.col("members") / rows).cast("int")), "cells")
     size = F.col("members").cast("double")
     held, sent, pairs = sizes.agg(F.sum(size), F.sum(size * F.col("blocks")), F.sum(size * size / 2)).first()
     rounds = tasks_for(sent, max(ROUND * (held or 0), ROUND_ROWS))
@@ -294,7 +295,7 @@ def linked(members, threshold, block=BLOCK):
         sent = dealt.withColumn("other", F.explode(others if rounds == 1 else F.filter(others, lambda other: turn(other) == k)))
         sent = sent.withColumns({"low": low(F.col("other")), "high": high(F.col("other"))})
         sent = sent.select(*pair, "lead", "h1", "h2", "m", "block", "trail", "e").repartition(tasks, *pair)
-        return written_and_released(sent.groupBy(*pair).applyInArrow(_products(threshold), _FOUND_DDL), "found")
+        return saved(sent.groupBy(*pair).applyInArrow(_products(threshold), _FOUND_DDL), "found")
 
     return reduce(lambda a, b: a.unionByName(b), [of_round(k) for k in range(rounds)])
 
@@ -310,7 +311,7 @@ def near_vectors(rows, id="vec_id", vector="embedding", label="label", threshold
     slim = slim.filter("usable").withColumns({"h1": F.xxhash64("label", "e"), "h2": F.xxhash64(F.lit(1), "label", "e")})
 
     classes = slim.groupBy("label", "h1", "h2").agg(F.min("id").cast("long").alias("lead"), F.count(F.lit(1)).alias("m"), F.first("e").alias("e"))
-    classes = written_and_released(classes.withColumn("dim", F.size("e")), "classes")
+    classes = saved(classes.withColumn("dim", F.size("e")), "classes")
     cuts = cells(classes, threshold, target, sample, sigmas)
     found = linked(entered(classes, cuts, threshold, sigmas), threshold, block)
     node = lambda *c: F.struct(*[F.col(x).alias(y) for x, y in zip(c, ("lead", "h1", "h2"))])
@@ -320,7 +321,7 @@ def near_vectors(rows, id="vec_id", vector="embedding", label="label", threshold
     known = classes.select("h1", "h2", "lead", "m").join(sums, ["h1", "h2"], "left").join(reached, ["h1", "h2"], "left")
     parts = F.ceil(F.col("m") / SHARE).cast("int").alias("parts")
     known = known.select("h1", "h2", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("least", "lead").alias("component_id"), parts)
-    known = written_and_released(known, "known")
+    known = saved(known, "known")
     # a vector of very many copies is dealt to several tasks; such vectors are few
     part_of = lambda parts: F.pmod(F.xxhash64("id"), F.coalesce(parts, F.lit(1))).cast("int")
     rows = slim.select("id", "h1", "h2").join(F.broadcast(known.filter("parts > 1").select("h1", "h2", "parts")), ["h1", "h2"], "left")

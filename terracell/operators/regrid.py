@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terracell.functions.bands import has_image
 from terracell.functions.ranges import explode_range
+from terracell.operators.onto import onto_targets
 from terracell.operators.spatial import box_join
 from terracell.plans.skew import PATCH, join_patches, join_scenes, patch_range
 
@@ -180,9 +181,12 @@ def cut_to_targets(cells, sources, targets, bucket, method="nearest"):
 
 
 def cut_bands_to_targets(cells, bands, sources, targets, bucket):
-    """Image cells (``scene_id``, r, c and ``bands``) on each target: nearest, first source with data in all bands at once."""
+    """Image cells (``scene_id``, r, c and ``bands``) on each target: nearest, first source with data in all bands at once.
+
+    Pairs of targets and sources are taken where they meet (:func:`onto_targets`); no row is made of them.
+    """
     value = F.when(has_image(*[F.col(b) for b in bands]), F.struct(*bands))
-    out = cut_to_targets(cells.select("scene_id", "r", "c", value.alias("v")), sources, targets, bucket)
+    out = onto_targets(cells.select("scene_id", "r", "c", value.alias("v")), sources, targets, bucket)
     return out.select("scene_id", "r", "c", "v.*")
 
 

@@ -1,15 +1,21 @@
 """Scoring polygons: grids, layers, features, scores, blended mosaic."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from terracell.functions.bands import blend_weight, zero_fill
 from terracell.operators import regrid
 from terracell.operators.grids import grid_cells, grid_scenes, reference_grids
 from terracell.operators.layers import drop_missing_chips
+from terracell.operators.onto import onto_targets
 from terracell.operators.scoring import chip_tensors, features, score_chips, scores_to_cells
-from terracell.plans.skew import attach_stats, join_scenes
+from terracell.plans.lineage import saved
+from terracell.plans.skew import attach_stats, join_scenes, tasks_for
 from terracell.plans.stages import stage
 
+ROUND_CELLS = 1 << 24
+
 
 def impute_wide(df, chip_keys, channels, limit=0.5):
     """Fill missing channels by their chip mean where less than ``limit`` of the whole chip is missing."""
@@ -36,15 +42,13 @@ def score_grids(image, elevation, grids, channels, predict, per_call=32, keys=("
 
 def blended_mosaic(scores, scenes, targets, bucket, blend="weighted"):
     """Scores of overlapping grids on the target grids: weighted mean, or first valid in grid order."""
-    pairs = regrid.raster_pairs(scenes, targets, bucket)
     if blend == "first":
-        out = regrid.mosaic_first(regrid.nearest(regrid.pair_cells(scores.withColumnRenamed("score", "v"), pairs)))
+        out = onto_targets(scores.withColumnRenamed("score", "v"), scenes, targets, bucket)
     else:
         sized = join_scenes(scores, scenes.select("scene_id", "height", "width"))
         weight = blend_weight(F.col("r"), F.col("c"), F.col("height"), F.col("width"))
         packed = sized.select("scene_id", "r", "c", F.struct((F.col("score") * weight).alias("vw"), weight.alias("w")).alias("v"))
-        near = regrid.nearest(regrid.pair_cells(packed, pairs))
-        out = regrid.mosaic_weighted(near.select("scene_id", "r", "c", "v.vw", "v.w"))
+        out = onto_targets(packed, scenes, targets, bucket, "weighted")
     return out.withColumn("v", zero_fill(F.col("v")))
 
 
@@ -52,7 +56,10 @@ def layers_on_grids(image, image_scenes, elevation, elevation_scenes, scenes, ba
     """Image bands (nearest) and elevation (``relief``) on every cell of the grids; what a layer lacks is missing."""
     on_cell = ["scene_id", "r", "c"]
     bands_cut = regrid.cut_bands_to_targets(image, bands, image_scenes, scenes, bucket)
-    relief_cut = regrid.cut_to_targets(elevation, elevation_scenes, scenes, bucket, relief).withColumnRenamed("v", "elevation")
+    if relief == "nearest":
+        relief_cut = onto_targets(elevation, elevation_scenes, scenes, bucket).withColumnRenamed("v", "elevation")
+    else:
+        relief_cut = regrid.cut_to_targets(elevation, elevation_scenes, scenes, bucket, relief).withColumnRenamed("v", "elevation")
     cells = grid_cells(scenes).drop("v")
     return cells.join(bands_cut, on_cell, "left").join(relief_cut, on_cell, "left")
 
@@ -65,6 +72,15 @@ def score_layers(layers, spec, predict, per_call=32, keys=("scene_id",)):
     return scores_to_cells(score_chips(chip_tensors(wide, keys, channels), keys, channels, predict, per_call), keys)
 
 
+def score_in_rounds(layers, spec, predict, per_call=32, keys=("scene_id",), cells=ROUND_CELLS):
+    """``score_layers`` of so many grids at a time that they have about ``cells`` cells; what a round exchanged goes with it."""
+    rounds = tasks_for(layers.count(), cells)
+    if rounds == 1:
+        return score_layers(layers, spec, predict, per_call, keys)
+    of = lambda k: layers.filter(F.pmod(F.xxhash64(*keys), F.lit(rounds)) == k)
+    return reduce(lambda a, b: a.unionByName(b), [saved(score_layers(of(k), spec, predict, per_call, keys), "scores") for k in range(rounds)])
+
+
 def deploy(
     edges, image, image_scenes, elevation, elevation_scenes, spec, predict, bucket, grid_width=832, step=None, grid_res=10,
     out_width=None, out_res=None, blend="weighted", relief="cubic", per_call=32, folder=None,
@@ -84,7 +100,7 @@ def deploy(
     keep = lambda name, build: stage(spark, folder, name, build)
     scenes = keep("scenes", lambda: grid_scenes(reference_grids(edges, grid_width, step or grid_width, grid_res), grid_width))
     layers = keep("layers", lambda: layers_on_grids(image, image_scenes, elevation, elevation_scenes, scenes, spec.bands, bucket, relief))
-    scores = keep("scores", lambda: score_layers(layers, spec, predict, per_call))
+    scores = keep("scores", lambda: score_in_rounds(layers, spec, predict, per_call))
     targets = scenes
     if out_res is not None:
         wide = out_width or grid_width

@@ -31,6 +31,22 @@ def scratch_path(spark, name):
     return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
+def saved(df, name):
+    """``df`` written once to the shared folder and read back; the files that its exchanges left go with the job.
+
+    A lost executor replays nothing, and Parquet takes a small part of a checkpoint. Else the files of an exchange stay until the
+    driver happens to collect its garbage.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = scratch_path(spark, name), spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut(df):
     """Checkpoint ``df`` reliably, so a lost executor never replays the rounds before it."""
     spark = df.sparkSession
