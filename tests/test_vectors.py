@@ -1,11 +1,13 @@
 """Spatial joins, grids, burning, regridding and mosaics against plain loops."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import base
 from terracell.functions import geometry as G
 from terracell.operators import burn, grids, regrid, spatial
 from terracell.operators.regions import region_edges
@@ -270,3 +272,13 @@ def test_box_meets_ring_with_a_notch(spark):
     df = spark.createDataFrame([tuple(map(float, k)) for k in cases], "w double, s double, e double, n double")
     met = df.select("w", "s", "e", "n", G.box_meets_ring(F.struct("w", "s", "e", "n"), F.expr(ring)).alias("meets"))
     assert {tuple(x)[:4]: x["meets"] for x in met.collect()} == {tuple(map(float, k)): v for k, v in cases.items()}
+
+
+def test_fast_rounding_gives_the_same_numbers(spark):
+    draw = random.Random(6)
+    ties = [(k + 0.5) / 1e6 * s for k in (*range(40), 123456, 10**9, 10**12) for s in (1, -1)]
+    odd = [None, 0.0, -0.0, -1e-9, 1e-300, 1e6, 1e17, -1e300, float("inf"), float("-inf"), float("nan")]
+    held = [*ties, *odd, *[draw.uniform(-1, 1) * 10 ** draw.randrange(-8, 14) for _ in range(4000)], *[round(draw.uniform(-99, 99), 6) for _ in range(999)]]
+    df = spark.createDataFrame([(v,) for v in held], "v double")
+    pairs = df.select(base.r6(F.col("v")).alias("a"), base.r6_fast(F.col("v")).alias("b")).collect()
+    assert all(repr(x.a) == repr(x.b) for x in pairs)
